@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
-MODULES = [mixing]
+MODULES = [mixing, secrets]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
