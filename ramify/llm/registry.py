@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import fingerprints, language, mixing, secrets, toxicity
 
-MODULES = [mixing, secrets]
+MODULES = [mixing, secrets, fingerprints, toxicity, language]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
