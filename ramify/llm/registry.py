@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, mixing, secrets, toxicity
+from . import fingerprints, language, mixing, secrets, sentencepiece, toxicity
 
-MODULES = [mixing, secrets, fingerprints, toxicity, language]
+MODULES = [mixing, secrets, fingerprints, toxicity, language, sentencepiece]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
