@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, lines, minhash, mixing, secrets, sentencepiece, toxicity
+from . import embeddings, fingerprints, language, lines, minhash, mixing, secrets, sentencepiece, toxicity
 
-MODULES = [lines, minhash, mixing, secrets, fingerprints, toxicity, language, sentencepiece]
+MODULES = [lines, mixing, embeddings, secrets, fingerprints, toxicity, language, sentencepiece, minhash]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
