@@ -95,7 +95,7 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def refined(data: np.ndarray, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by the first LENGTH bytes at least (Larsson and Sadakane 2007)."""
+    """Suffix array and ranks (Larsson and Sadakane 2007)."""
     n = len(data)
     order = np.argsort(eight, kind="stable")
     ordered = eight[order]
@@ -103,7 +103,7 @@ def refined(data: np.ndarray, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     depth = 8
-    while depth < LENGTH:
+    while True:
         head = np.flatnonzero(new)
         sizes = np.diff(np.r_[head, n])
         open_ = np.repeat(sizes > 1, sizes)
