@@ -1,10 +1,48 @@
-"""The corpus pipeline: stages over documents, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: stages over documents, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Every stage takes all rows that the one before kept; all but the last return the columns of documents.
+Documents that score as toxic go; repeated chunks of lines go, and with them documents that consist of
+nothing else; of each group of near copies the first stays; sources are brought to their target weights
+by taking rows up to three times, cut where a quota ends; what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ramify.llm import lines, minhash, mixing, sentencepiece, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.without_toxic(docs, labels)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
+
+#: A classifier, sampled signatures and integer quotas by hash are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
