@@ -8,10 +8,11 @@ their weighted Jaccard similarity. Samples are banded, ROWS to a band, and texts
 candidates (at 0.8: 99.7 % of pairs).
 
 Candidates are verified by their weighted Jaccard similarity, LIKE or more being a link. Within a
-bucket every text is compared with the bucket's smallest, which costs one pair per row. Then texts of a
-bucket whose components still differ are compared with each other, unless their distances to the
-bucket's smallest differ by more than a link can bridge (the distance is a metric). So every pair of a
-bucket that could join two components is decided, and pairs within a component are not emitted.
+bucket every text is compared with the bucket's smallest, which costs one pair per row. Then the
+buckets that still hold several components are settled: their texts are dealt into blocks of at most
+BLOCK texts and BLOCK_CHARS characters, a task compares one pair of blocks by matrix products over the
+shingles they share, and one spanning edge per text leaves it. So every pair of a bucket that could join
+two components is decided, and pairs are never rows of a table.
 
 Edge cases: a null text is empty; a text without words is linked with nothing; equal texts are always in
 one class; rows that share a doc_id are one document; a null doc_id is an id like any other and comes
@@ -37,6 +38,7 @@ HASHES = BANDS * ROWS
 DF_BITS, DF_BLOCK = 18, 4096
 IDF_WEIGHT = 0.05
 _TABLE_BITS = 16
+BLOCK, BLOCK_CHARS, _COLUMNS = 256, 4_000_000, 4096
 _CACHE = 1_000_000
 _SHINGLES = 1 << 20
 _NONE = -(1 << 63)
@@ -158,8 +160,42 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / high if high > 0 else 0.0
 
 
+def marked(found: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag as a set: one mark per shingle and count up to its own, with the weight of a single one.
+
+    The weighted Jaccard similarity of two bags is that of these sets by weight.
+    """
+    each = np.repeat(found, counts)
+    order = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return each + order.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), np.repeat(factor, counts)
+
+
+def linked(bags: list[tuple[np.ndarray, np.ndarray]], split: int, like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with a similarity of at least `like`: between the first `split` and the rest, or all if split is 0."""
+    marks, owner = np.concatenate([b[0] for b in bags]), np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    weights = np.concatenate([b[1] for b in bags])
+    total = np.bincount(owner, weights=weights, minlength=len(bags))
+    kinds, place, times = np.unique(marks, return_inverse=True, return_counts=True)
+    shared = times[place] > 1
+    owner, weights, place = owner[shared], weights[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+    turn = np.argsort(place, kind="stable")
+    owner, weights, place = owner[turn], weights[turn], place[turn]
+    rows = slice(0, split) if split else slice(0, len(bags))
+    columns = slice(split, len(bags)) if split else rows
+    low = np.zeros((rows.stop - rows.start, columns.stop - columns.start))
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, _COLUMNS):
+        a, b = np.searchsorted(place, [first, first + _COLUMNS])
+        part = np.zeros((len(bags), _COLUMNS))
+        part[owner[a:b], place[a:b] - first] = np.sqrt(weights[a:b])
+        low += part[rows] @ part[columns].T
+    high = total[rows][:, None] + total[columns][None, :] - low
+    i, j = np.nonzero(low >= like * high - 1e-9)
+    i, j = i + rows.start, j + columns.start
+    return (i, j) if split else (i[i < j], j[i < j])
+
+
 def signatures(rows: DataFrame, lift) -> DataFrame:
-    """__doc, the text's two 64-bit hashes (null without words) and its band keys."""
+    """__doc, the text's length, its two 64-bit hashes (null without words) and its band keys."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Sampler(lift.value)
@@ -183,9 +219,9 @@ def signatures(rows: DataFrame, lift) -> DataFrame:
                 if size >= _SHINGLES:
                     flush()
             flush()
-            yield pd.DataFrame({"__doc": pdf["__doc"], "hi": pd.array([d[0] for d in done], dtype="Int64"), "lo": pd.array([d[1] for d in done], dtype="Int64"), "keys": [d[2] for d in done]})
+            yield pd.DataFrame({"__doc": pdf["__doc"], "size": pdf["text"].map(len), "hi": pd.array([d[0] for d in done], dtype="Int64"), "lo": pd.array([d[1] for d in done], dtype="Int64"), "keys": [d[2] for d in done]})
 
-    return rows.select("__doc", "text").mapInPandas(signed, "__doc long, hi long, lo long, keys array<long>")
+    return rows.select("__doc", "text").mapInPandas(signed, "__doc long, size long, hi long, lo long, keys array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, lift) -> DataFrame:
@@ -212,6 +248,64 @@ def verified(pairs: DataFrame, rows: DataFrame, lift) -> DataFrame:
     return both.mapInPandas(compared, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
+def settled(placed: DataFrame, rows: DataFrame, lift, like: float) -> DataFrame:
+    """Spanning links (a, b) of the texts of buckets (band, key, b, component, blocks), block pair by block pair."""
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    dealt = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "b", "component")
+    texts = rows.select("__doc", "text")
+    order = ["band", "key", "one", "two"]
+    dealt = dealt.join(texts, F.col("b") == F.col("__doc")).drop("__doc").repartition(*order).sortWithinPartitions(*order, "block", "b")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, known, rest = Sampler(lift.value), {}, None
+
+        def bag(doc: int, text: str):
+            if (doc, len(text)) not in known:
+                if len(known) >= 4 * BLOCK:
+                    known.clear()
+                found, counts = shingles(text)
+                known[doc, len(text)] = marked(found, counts, np.exp(own.lift[(found >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.float64)))
+            return known[doc, len(text)]
+
+        def group(blocks: np.ndarray, crossing: bool, ids: np.ndarray, parts: np.ndarray, texts: np.ndarray, out: list):
+            split = int(np.searchsorted(blocks, blocks[-1])) if crossing else 0
+            if len(ids) < 2 or (crossing and not split) or (parts == parts[0]).all():
+                return
+            i, j = linked([bag(d, t) for d, t in zip(ids.tolist(), texts)], split, like)
+            i, j = i[parts[i] != parts[j]], j[parts[i] != parts[j]]
+            # Each text's smallest neighbour over all paths: enough to span what is linked here.
+            least = np.arange(len(ids))
+            while True:
+                low = np.minimum(least[i], least[j])
+                if (least[i] == low).all() and (least[j] == low).all():
+                    break
+                np.minimum.at(least, i, low)
+                np.minimum.at(least, j, low)
+            moved = np.flatnonzero(least != np.arange(len(ids)))
+            out.append((ids[moved], ids[least[moved]]))
+
+        def groups(frame: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            out: list = [(np.zeros(0, dtype=np.int64),) * 2]
+            own_block, ids, parts, texts = (frame[c].to_numpy() for c in ("block", "b", "component", "text"))
+            crossing = frame["one"].to_numpy() != frame["two"].to_numpy()
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                group(own_block[a:b], bool(crossing[a]), ids[a:b], parts[a:b], texts[a:b], out)
+            return pd.DataFrame({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])})
+
+        for pdf in batches:
+            rest = pdf if rest is None or not len(rest) else pd.concat([rest, pdf], ignore_index=True)
+            mark = rest[order].to_numpy()
+            ends = np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1
+            if len(ends):
+                yield groups(rest, ends)
+                rest = rest.iloc[ends[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield groups(rest, np.array([len(rest)]))
+
+    return dealt.mapInPandas(compared, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its group) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -221,8 +315,8 @@ def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     signed = checkpointed(signatures(rows, lift))
     worded = signed.filter("hi is not null")
     groups = worded.groupBy("hi", "lo").agg(F.min("__doc").alias("text_id"))
-    members = checkpointed(worded.join(groups, ["hi", "lo"]).select("__doc", "text_id", F.when(F.col("__doc") == F.col("text_id"), F.col("keys")).alias("keys")))
-    banded = members.filter("keys is not null").select(F.col("__doc").alias("b"), F.posexplode("keys").alias("band", "key")).distinct()
+    members = checkpointed(worded.join(groups, ["hi", "lo"]).select("__doc", "text_id", "size", F.when(F.col("__doc") == F.col("text_id"), F.col("keys")).alias("keys")))
+    banded = members.filter("keys is not null").select(F.col("__doc").alias("b"), "size", F.posexplode("keys").alias("band", "key")).groupBy("b", "band", "key").agg(F.max("size").alias("size"))
     buckets = banded.groupBy("band", "key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     banded = checkpointed(banded.join(buckets, ["band", "key"]))
     tried = checkpointed(verified(banded.filter("a != b").select("a", "b").distinct(), rows, lift))
@@ -235,17 +329,12 @@ def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     found = components(links)
     # Buckets that still hold several components: their texts against each other, across components only.
     label = found.select(F.col("id").alias("b"), "component")
-    known = tried.select("a", "b", "like")
-    placed = banded.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band", "key")
-    placed = placed.join(open_, ["band", "key"]).join(known, ["a", "b"], "left").filter("a != b")
-    placed = checkpointed(placed.select("band", "key", "b", "component", F.coalesce("like", F.lit(0.0)).alias("like")))
-    other = placed.select("band", "key", F.col("b").alias("c"), F.col("component").alias("other"), F.col("like").alias("alike"))
-    across = placed.join(other, ["band", "key"]).filter((F.col("component") < F.col("other")) & (F.abs(F.col("like") - F.col("alike")) <= 1.0 - like + 1e-9))
-    more = across.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    more = checkpointed(verified(more, rows, lift).filter(F.col("like") >= like).select("a", "b"))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    placed = banded.join(label, "b", "left").select("band", "key", "b", "size", F.coalesce("component", "b").alias("component"))
+    open_ = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    open_ = checkpointed(open_.filter("lo != hi").select("band", "key", blocks.alias("blocks")))
+    if not open_.isEmpty():
+        found = components(links.unionByName(checkpointed(settled(placed.join(open_, ["band", "key"]), rows, lift, like))))
     found = found.select(F.col("id").alias("text_id"), "component")
     worded = members.select("__doc", "text_id").join(found, "text_id", "left").select("__doc", F.coalesce("component", "text_id").alias("class"))
     out = worded.unionByName(signed.filter("hi is null").select("__doc", F.col("__doc").alias("class")))
