@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 
 LENGTH, GRAM, LIMIT = 200, 24, 2048
-_BATCH, _SHARD, _LANES = 1 << 20, 1 << 21, 4096
+_BATCH, _SHARD, _LANES = 1 << 19, 1 << 20, 4096
 _NONE = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,6 +222,8 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
     dealt = pieces.repartition(*order).sortWithinPartitions(*order, "digest")
 
     def done(frame: pd.DataFrame) -> pd.DataFrame:
+        # Equal rows of one doc_id send their pieces twice.
+        frame = frame.drop_duplicates(["anchor", "salt", "digest"])
         out = []
         hits = repeated_windows(list(frame["data"]))
         for anchor, salt, salts, digest, data, hit in zip(frame["anchor"], frame["salt"], frame["salts"], frame["digest"], frame["data"], hits):
@@ -282,49 +284,54 @@ def merged(windows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(merge, "anchor long, digest long, from int, to int")
 
 
-def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """All rows (row, __doc, hi, lo, n, sha, times) and the repeated windows by row (row, from, to).
-
-    Windows are given for one row of each text; `times` says how many rows have the text.
+def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (row, __doc, n, sha, times), the texts (row, text) that may lose a part, and their repeated
+    windows (row, from, to). `times` says how many rows have the text.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
     scan = checkpointed(scanned(rows).withColumn("row", F.monotonically_increasing_id()))
-    texts = scan.groupBy("hi", "lo").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times"))
-    own = scan.join(texts, ["hi", "lo"])
-    known = checkpointed(own.select("row", "__doc", "hi", "lo", "n", "sha", "times", "first"))
+    times = scan.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("times"))
+    known = checkpointed(scan.select("row", "__doc", "hi", "lo", "n", "sha").join(times, ["hi", "lo"]))
     zipped = F.explode(F.arrays_zip("anchors", "digests", "firsts", "numbers")).alias("x")
-    runs = own.filter("row = first").select("row", zipped).select("row", F.col("x.anchors").alias("anchor"), F.col("x.digests").alias("digest"), F.col("x.firsts").alias("at"), F.col("x.numbers").alias("number"))
+    runs = scan.select("row", zipped).select("row", F.col("x.anchors").alias("anchor"), F.col("x.digests").alias("digest"), F.col("x.firsts").alias("at"), F.col("x.numbers").alias("number"))
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     runs = checkpointed(runs.join(again, "anchor"))
     kinds = checkpointed(runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("places"), F.min("row").alias("row")))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     salts = F.ceil(F.col("kinds") / F.lit(limit)).cast("int")
-    asked = kinds.join(several, "anchor").select("anchor", "digest", "row", "places", salts.alias("salts"), F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"))
+    asked = kinds.join(several, "anchor").select("anchor", "digest", "row", salts.alias("salts"), F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"))
     # Where a kind's first run lies in its row.
-    spot = runs.groupBy("anchor", "digest", "row").agg(F.min("at").alias("at"), F.first("number").alias("number"))
+    spot = runs.groupBy("anchor", "digest", "row").agg(F.min("at").alias("at"), F.min("number").alias("number"))
     asked = asked.join(spot, ["anchor", "digest", "row"])
     lists = asked.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", "number", "salts", "salt")).alias("runs"))
-    lists = lists.join(known.select("row", F.col("__doc").alias("d"), "hi", "lo"), "row").select("d", "hi", "lo", "runs")
+    named = known.select("row", F.col("__doc").alias("d"), "hi", "lo", "times").join(runs.select("row").distinct(), "row").join(lists, "row", "left")
+    named = named.filter((F.col("times") == 1) | F.col("runs").isNotNull())
+
+    @F.pandas_udf("boolean")
+    def same(text: pd.Series, hi: pd.Series, lo: pd.Series) -> pd.Series:
+        return pd.Series([_hashes(_bytes(t)) == (a, b) for t, a, b in zip(text, hi, lo)], dtype=bool)
+
+    # The one time that texts are shuffled; those that matter are kept for both uses.
+    texts = rows.join(named, F.col("__doc") == F.col("d")).filter(same("text", "hi", "lo"))
+    texts = stored(texts.select("row", "__doc", "text", "times", "runs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, hi, lo, own in zip(pdf["text"], pdf["hi"], pdf["lo"], pdf["runs"]):
+            for text, own in zip(pdf["text"], pdf["runs"]):
                 data = _bytes(text)
-                if _hashes(data) == (hi, lo):
-                    out.extend((r["anchor"], r["salt"], r["salts"], r["digest"], data[r["at"] : r["at"] + r["number"] + LENGTH - 1]) for r in own)
+                out.extend((r["anchor"], r["salt"], r["salts"], r["digest"], data[r["at"] : r["at"] + r["number"] + LENGTH - 1]) for r in own)
             yield pd.DataFrame(out, columns=["anchor", "salt", "salts", "digest", "data"])
 
-    pieces = rows.join(lists, F.col("__doc") == F.col("d")).select("text", "hi", "lo", "runs").mapInPandas(cut, "anchor long, salt int, salts int, digest long, data binary")
-    # Equal rows of one doc_id send their pieces twice.
-    shards = checkpointed(sorted_shards(pieces.dropDuplicates(["anchor", "salt", "digest"])))
+    pieces = texts.filter("runs is not null").select("text", "runs").mapInPandas(cut, "anchor long, salt int, salts int, digest long, data binary")
+    shards = checkpointed(sorted_shards(pieces))
     inside = shards.filter("key is null").select("anchor", "digest", "from", "to")
     inside = inside.unionByName(merged(shards.filter("key is not null")))
     # A kind with several places is repeated as a whole; of the others the shards' windows are.
     whole = runs.join(kinds.filter("places > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("at").alias("from"), F.expr("at + number - 1").alias("to"))
     part = inside.join(kinds.filter("places = 1").select("anchor", "digest"), ["anchor", "digest"]).distinct()
     part = runs.join(part, ["anchor", "digest"]).select("row", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
-    return known, whole.unionByName(part)
+    return known, texts.filter("times = 1").select("row", "__doc", "text"), whole.unionByName(part)
 
 
 def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -340,29 +347,24 @@ def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, removed (byte spans) and kept_sha256 of every row of docs (doc_id, text)."""
-    known, windows = repeats(docs, limit)
-    lists = windows.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("windows"))
+    known, texts, windows = repeats(docs, limit)
+    lists = windows.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("windows")).withColumnRenamed("row", "its")
     none = F.lit(_NONE)
     full = (F.col("times") > 1) & (F.col("n") >= LENGTH)
-    partly = known.filter("times = 1").join(lists, "row")
-    partly = checkpointed(partly.select("row", F.col("__doc").alias("d"), "hi", "lo", "windows"))
     empty = hashlib.sha256(b"").hexdigest()
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    rest = known.join(partly.select("row"), "row", "left_anti").select(
+    rest = known.join(texts.select("row"), "row", "left_anti").select(
         F.nullif("__doc", none).alias("doc_id"), F.col("n").alias("n_bytes"),
         F.when(full, F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")))).otherwise(nothing).alias("removed"),
         F.when(full, F.lit(empty)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, hi, lo, own in zip(pdf["__doc"], pdf["text"], pdf["hi"], pdf["lo"], pdf["windows"]):
+            for doc, text, own in zip(pdf["__doc"], pdf["text"], pdf["windows"]):
                 data = _bytes(text)
-                if _hashes(data) != (hi, lo):
-                    continue  # another text of the same doc_id
-                found = spans([(w["from"], w["to"]) for w in own])
+                found = spans([(w["from"], w["to"]) for w in own]) if own is not None else []
                 kept, at = hashlib.sha256(), 0
                 for a, b in found:
                     kept.update(data[at:a])
@@ -371,7 +373,8 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
                 out.append((doc, len(data), [{"start": a, "stop": b} for a, b in found], kept.hexdigest()))
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "removed", "kept_sha256"])
 
-    some = rows.join(partly, F.col("__doc") == F.col("d")).select("__doc", "text", "hi", "lo", "windows").mapInPandas(reduced, "doc long, n_bytes long, removed array<struct<start:int,stop:int>>, kept_sha256 string")
+    some = texts.join(lists, F.col("row") == F.col("its"), "left").select("__doc", "text", "windows")
+    some = some.mapInPandas(reduced, "doc long, n_bytes long, removed array<struct<start:int,stop:int>>, kept_sha256 string")
     return rest.unionByName(some.select(F.nullif("doc", none).alias("doc_id"), "n_bytes", "removed", "kept_sha256"))
 
 
