@@ -1,0 +1,362 @@
+"""Operators against brute force on small fixtures."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from ramify.llm import embeddings, fingerprints, language, lines, minhash, mixing, secrets, sentencepiece, suffixes, toxicity
+from ramify.llm.components import components
+from ramify.llm.vocabulary import MODEL, load
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_highest_quotients():
+    rng = random.Random(1)
+    for _ in range(60):
+        votes = [rng.choice([0, rng.randint(1, 50), rng.randint(1, 2000)]) for _ in range(rng.randint(1, 8))]
+        seats = rng.randint(0, 60)
+        caps = [rng.choice([3, 10, 1000]) for _ in votes]
+        want = [0] * len(votes)
+        for _ in range(seats):
+            open_ = [i for i in range(len(votes)) if votes[i] and want[i] < caps[i]]
+            if open_:
+                want[max(open_, key=lambda i: (Fraction(votes[i], 2 * want[i] + 1), -i))] += 1
+        assert mixing.sainte_lague(votes, seats, caps) == want
+
+
+def test_targets_fill():
+    assert mixing.fill_targets([10, 10, 10], [5, 2, 1], 30, 3) == pytest.approx([18.75, 7.5, 3.75])
+    assert mixing.fill_targets([1, 10, 19], [5, 2, 1], 30, 3) == pytest.approx([3, 18, 9])
+
+
+def test_mix(spark, texts):
+    rows = mixing.op2_mixing(spark, DATA).collect()
+    again = {tuple(r) for r in mixing.op2_mixing(spark, DATA).collect()}
+    sizes = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in texts.items()}
+    assert {tuple(r) for r in rows} == again and all(r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[k] - target[k]) <= 0.01 * target[k] + 5 for k in target)
+
+
+def test_mixed_documents_hold_the_words_taken(spark, docs):
+    rows = mixing.mixed_documents(docs).collect()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += count(r["text"])
+    want = {r["doc_id"]: r["taken"] for r in mixing.op2_mixing(spark, DATA).collect() if r["taken"]}
+    assert dict(got) == want and rows[0].asDict().keys() == set(docs.columns)
+
+
+def base_spans(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = []
+    for rank, (kind, p, g, least) in enumerate((("assign", assign, 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))):
+        found += [(m.start(), rank, m.end(), kind) for m in p.finditer(text) if len(m[g]) >= least]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    parts = ["password: ", "token=", "'", '"', "api_key = ", "API-KEY", "secret=token: abcdefgh", "AKIA", "ABCDEFGHIJ123456", "deadbeef0123", "0123456789abcdef", " ", "é😀", "hunter2!", "\n", "Qx7", "-", "Zk9" * 8]
+    rows = [(i, "s" + str(i % 4), "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    rows += [(300 + i, f"o{i}", "here T0kenValue1234567890abcXYZ ends") for i in range(4)] + [(310, "o0", "alone Zz0kenValue1234567890abcXYZ")]
+    out = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, source string, text string")).select("doc_id", secrets._joined(F.col("base")).alias("b"), secrets._joined(F.col("spans")).alias("s"), "n_example").collect()}
+    assert all(out[i]["b"] == base_spans(t) and set(out[i]["b"].split(",")) - {""} <= set(out[i]["s"].split(",")) for i, _, t in rows)
+    assert out[300]["s"] == "" and out[300]["n_example"] == 1 and out[310]["s"] == "owned:6:33"
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints(spark, texts):
+    rows = fingerprints.op5_fingerprints(spark, DATA).collect()
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    errors = []
+    for r in rows:
+        text, following = texts[r["doc_id"]], texts[after[r["doc_id"]]]
+        m = len(text) // 3
+        edited = text[: len(text) - m] + following[:m]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        for other, near in ((edited, r["near_edited"]), (following, r["near_next"])):
+            a, b = shingle_set(text), shingle_set(other)
+            errors.append(near - len(a & b) / max(1, len(a | b)))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
+
+
+def test_neighbours_across_ranges(spark):
+    ids = [5, 900, 17, 3, 42, 1000, 77]
+    got = {r["doc_id"]: r["next_id"] for r in fingerprints.neighbours(spark.createDataFrame([(i, 1) for i in ids], "doc_id long, n_chars int"), 4).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(x, x) == root(x) for x in parent)
+
+
+def test_embeddings_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.RandomState(4)
+    base = rng.standard_normal((12, 32))
+    x = np.concatenate([base, base.repeat(20, axis=0) + 0.22 * rng.standard_normal((240, 32)), base[:3], rng.standard_normal((200, 32))]).astype(np.float32)
+    out = embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = np.array([r["n_links"] for r in out])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.99 * near.sum()
+
+
+def test_rotated_codes_are_unbiased():
+    rng = np.random.RandomState(5)
+    x, y = rng.standard_normal((2, 4000, 64))
+    y = 0.8 * x + 0.6 * y
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    turn = embeddings.rotations(64, 1)
+    a, b = x @ turn.T, y @ turn.T
+    signs = np.where(a > 0, 1, -1) / 8.0
+    factor = (signs * a).sum(axis=1)
+    error = (signs * b).sum(axis=1) / factor - (x * y).sum(axis=1)
+    assert abs(error.mean()) < 0.005
+    assert (np.abs(error) <= embeddings.WIDTH * np.sqrt((1 - factor**2) / factor**2 / 63)).all()
+
+
+def near_text(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"w{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_minhash_finds_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [near_text(rng, words, rng.randint(0, 12)) for _ in range(20)]
+    rows += [" ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randint(1, 200))) for _ in range(100)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    pairs = [(i, j, jaccard(rows[i], rows[j])) for g in range(12) for i in range(20 * g, 20 * g + 20) for j in range(20 * g, i)]
+    strong = [(i, j) for i, j, s in pairs if s >= 0.82]
+    assert len(strong) > 100 and sum(got[i] == got[j] for i, j in strong) >= 0.99 * len(strong)
+    parent = list(range(len(rows)))
+    for i, j, s in pairs:
+        if s >= 0.77:
+            parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
+    assert all(parent[i] == parent[got[i]] for i in got), "no class joins what no chain of likeness joins"
+
+
+def test_consistent_samples_agree_as_often_as_bags_are_like():
+    rng = np.random.RandomState(7)
+    own = minhash.Sampler(np.zeros(1 << minhash.DF_BITS, dtype=np.float32))
+    shared = rng.randint(0, 1 << 62, (300, 60), dtype=np.uint64)
+    agree = want = 0.0
+    for row in shared:
+        a, b = np.sort(row[:50]), np.sort(row[10:])
+        keys = own.bands([(a, np.ones(50, dtype=int)), (b, np.ones(50, dtype=int))])
+        agree += (keys[0] == keys[1]).mean()
+        want += (40 / 60) ** minhash.ROWS
+    assert abs(agree - want) / 300 < 0.04
+
+
+def test_lines(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(6))
+    passage = [line() for _ in range(12)]
+    rows = [[line() for _ in range(rng.randint(0, 9))] + (passage if i % 3 == 0 else []) + [line() for _ in range(rng.randint(0, 9))] for i in range(60)]
+    docs = spark.createDataFrame([(i, "\n".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in lines.deduplicated(docs).collect()}
+    # The same by brute force: chunks by document, first holder keeps.
+    first = {}
+    for i, r in enumerate(rows):
+        for a, b in lines.boundaries(r):
+            first.setdefault(tuple(r[a:b]), i)
+    for i, r in enumerate(rows):
+        gone = {k for a, b in lines.boundaries(r) if first[tuple(r[a:b])] < i for k in range(a, b)}
+        assert out[i]["text"] == "\n".join(x for k, x in enumerate(r) if k not in gone)
+    assert all(len(passage) - out[i]["__removed"] <= 8 for i in range(3, 60, 3)) and out[0]["__removed"] == 0
+
+
+def windows_removed(texts, size=suffixes.LENGTH):
+    data = {i: t.encode() for i, t in texts.items()}
+    seen = Counter(b[p : p + size] for b in data.values() for p in range(len(b) - size + 1))
+    out = {}
+    for i, b in data.items():
+        cover = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - size + 1):
+            if seen[b[p : p + size]] > 1:
+                cover[p : p + size] = True
+        out[i] = hashlib.sha256(bytes(np.frombuffer(b, dtype=np.uint8)[~cover])).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("limit", [suffixes.LIMIT, 2])
+def test_suffixes(spark, limit):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 7)))
+    passages = [" ".join(word() for _ in range(70)) for _ in range(3)]
+    texts = {i: " ".join(rng.choice([word(), word(), word(), rng.choice(passages)[rng.randint(0, 40) :]]) for _ in range(rng.randint(0, 30))) for i in range(60)}
+    texts[60], texts[61] = "ab" * 400, texts[3]
+    got = {r["doc_id"]: r["kept_sha256"] for r in suffixes.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), limit).collect()}
+    assert got == windows_removed(texts)
+
+
+def test_kasai_and_refinement():
+    rng = random.Random(10)
+    data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"abc" * 200
+    view = np.frombuffer(data, dtype=np.uint8)
+    eight = suffixes.words_at(view)
+    order, rank = suffixes.refined(view, eight)
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    got = suffixes.common(eight, order, rank)
+    for k in range(1, len(data)):
+        a, b = data[order[k - 1] :], data[order[k] :]
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert got[k] == min(n, suffixes.LENGTH)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return sentencepiece.Encoder(load())
+
+
+def test_chunks_meet_in_the_whole(encoder, texts):
+    rng = random.Random(11)
+    odd = ["".join(rng.choice("aaabx ▁\n漢é") for _ in range(400)) for _ in range(20)] + ["a" * 900, " " * 300, "日本語" * 90]
+    pieces = sentencepiece.byte_pieces(load())
+    for text in [*list(texts.values())[:20], *odd]:
+        text = text[:3000]
+        whole = encoder.whole(sentencepiece.marked(text, True))
+        for chunk in (16, 77):
+            parts = [(sentencepiece.marked(text[k : k + chunk + encoder.reach], k == 0), min(chunk, len(text) - k) + (k == 0), k + 1 if k else 0) for k in range(0, len(text), chunk)]
+            path = sentencepiece.states([encoder.matrix(t, n, base, i == len(parts) - 1) for i, (t, n, base) in enumerate(parts)])
+            ids = [encoder.traced(t, n, a, b) for (t, n, _), a, b in zip(parts, path, path[1:])]
+            assert [i for x in ids for i in x] == whole
+            assert "".join(sentencepiece.decode(x, pieces, k == 0) for k, x in enumerate(ids)) == text
+
+
+def test_sums_are_the_librarys(encoder, texts):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    import sentencepiece as sp
+
+    vocabulary, model = load(), pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1  # unigram
+    for i, p in enumerate(model.pieces):
+        if vocabulary.pieces[i]:
+            p.score = vocabulary.scores[i]
+    own = sp.SentencePieceProcessor(model_proto=model.SerializeToString())
+    score = lambda ids: sum(vocabulary.scores[i] for i in ids if vocabulary.pieces[i])
+    for text in list(texts.values())[:60]:
+        assert score(own.encode(text)) == score(encoder.whole(sentencepiece.marked(text, True)))
+
+
+def test_round_trip(spark, docs):
+    rows = sentencepiece.round_trip(docs)
+    assert rows.filter("not exact").count() == 0 and rows.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    vocabulary = load()
+    small = sentencepiece.encode(docs, vocabulary, 500)
+    a = {r["doc_id"]: r["ids"] for r in rows.select("doc_id", "ids").collect()} if rows.filter("chunks > 1").count() == 0 else None
+    whole = {}
+    for r in small.orderBy("doc_id", "chunk").collect():
+        whole.setdefault(r["doc_id"], []).extend(r["ids"])
+    if a:
+        assert whole == a
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    pieces = ("a", "b", "ab", "ba", "▁", "▁a", "")
+    p = np.array([[0.2, 0.1, 0.3, 0.1, 0.2, 0.1, 0.0]])
+    automaton, singles = language.matcher(pieces), frozenset(x for x in pieces if len(x) == 1)
+
+    def total(word):
+        return 1.0 if not word else sum(p[0][i] * total(word[len(x) :]) for i, x in enumerate(pieces) if x and word.startswith(x))
+
+    for word in ("▁abab", "▁aab", "▁bba"):
+        got = language.log_forward(word, automaton, singles, p.T.tolist(), 1)[0]
+        assert got == pytest.approx(np.log(total(word)))
+    # Longer words go another way to the same sums.
+    monkeypatch.setattr(language, "_LONG", 2)
+    for word in ("▁abab", "▁aab"):
+        assert language.log_forward(word, automaton, singles, p.T.tolist(), 1)[0] == pytest.approx(np.log(total(word)))
+
+
+def test_language_held_out(spark, docs):
+    rows = language.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_toxicity_held_out(spark):
+    at = DATA.replace("0.001", "0.01")
+    rows = toxicity.op6_toxicity(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] for r in held if not r["toxic"]) <= 0.05 * len(held)
+    hits = [r["predicted"] for r in held if r["toxic"]]
+    assert sum(hits) >= 0.4 * len(hits) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_ftrl_is_sparse():
+    rng = np.random.RandomState(12)
+    rows = [np.unique(np.append(rng.randint(100, 5000, 30), np.full(int(i % 4 == 0), 7))) for i in range(800)]
+    labels = np.array([i % 4 == 0 for i in range(800)], dtype=int)
+    numbers, weights, start = toxicity.train(rows, labels)
+    best = dict(zip(numbers.tolist(), weights.tolist()))
+    assert best[7] > 1 and start < 0 and len(numbers) < 500
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == columns, name
+        assert docs.count() > 0
