@@ -121,8 +121,12 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]
     """Languages by code point and their piece probabilities (languages x pieces)."""
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
+    # A hash limit that leaves about three times SAMPLE of each language, so that no rank sees a whole language.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    likely = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("rows") < 3 * SAMPLE)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    few = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
     # At most SAMPLE ids of each language, so this side is always small.
     some = known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
     sent = spark.sparkContext.broadcast(vocabulary.pieces)
