@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import physics, rng, vector
 from .operators import image, paths, voxel
+from .operators.turtle import turtle
 from .plans import grammar, network
 from .sources import params, reports
+from .sources import volumes as volumes_of
 
 TISSUE = (64, 64, 32)
 LINE = ("l_orderkey", "l_linenumber")
@@ -421,6 +423,41 @@ def grammar_sizes(spark, sf_dir):
     return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("stems"), F.sum(F.size("p") - 1).cast("long").alias("steps"))
 
 
+@query("SELECT s_suppkey network_id, CAST(1 + 5 * (pow(2, m - 2) - 1) + 5 * pow(2, m - 2) + pow(2, m - 1) + pow(2, m) + 4 * (pow(2, m) - 1) AS BIGINT) n_rows, CAST(2 * (pow(2, m) - 1) AS BIGINT) gaps FROM (SELECT s_suppkey, s_suppkey % 3 + 6 m FROM supplier)")
+def turtle_sizes(spark, sf_dir):
+    """State rows and gaps of every network's text."""
+    rows = turtle(grammar.programs(parameters(spark, sf_dir)))
+    return rows.groupBy("network_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_gap").cast("long")).alias("gaps"))
+
+
+@query("SELECT s_suppkey network_id, CAST(6 * (pow(2, s_suppkey % 3 + 4) - 1) AS BIGINT) points FROM supplier")
+def program_windows(spark, sf_dir):
+    """Points in windows of every network's text."""
+    found = network.program_windows(grammar.programs(parameters(spark, sf_dir)))
+    return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query(f"WITH {_POINTS}, kept AS (SELECT network_id, seq, x, y, z, diam FROM points WHERE NOT gap) SELECT * FROM kept UNION ALL SELECT network_id, max(seq) + 1, 0.1::DOUBLE, 0.1::DOUBLE, 1.0::DOUBLE, 5.0::DOUBLE FROM kept GROUP BY network_id")
+def generate_points(spark, sf_dir):
+    """A point put behind every polyline."""
+    points = polylines(spark, sf_dir).filter(~F.isnan("x"))
+    more = points.select("network_id").distinct().select("network_id", F.lit(0).cast("long").alias("seq"), *[F.lit(v).alias(c) for c, v in zip(paths.POINT, (0.1, 0.1, 1.0, 5.0))])
+    return paths.generate_points(points, more, gap=False)
+
+
+@query("SELECT s_suppkey network_id, printf('Lnet_i%d_%d.tiff', s_suppkey % 3 + 6, s_suppkey) AS name, printf('network %d with %d levels', s_suppkey, s_suppkey % 3 + 6) AS line FROM supplier")
+def output_names(spark, sf_dir):
+    """File names and progress lines of every network."""
+    rows = parameters(spark, sf_dir)
+    return rows.select("network_id", reports.output_name(F.col("n"), F.col("network_id")).alias("name"), reports.progress(F.col("network_id"), F.col("n")).alias("line"))
+
+
+@query(f"WITH {_FIRST} SELECT * FROM firsts WHERE run = 0")
+def find_vessel(spark, sf_dir):
+    """The first run of every polyline."""
+    return paths.run_of(paths.distinct_first(paths.gap_segments(polylines(spark, sf_dir))), 0)
+
+
 @query()
 def grammar_nodes(spark, sf_dir):
     """Stems of every network's tree, point by point."""
@@ -436,19 +473,21 @@ def grammar_programs(spark, sf_dir):
 @query()
 def turtle_rows(spark, sf_dir):
     """State rows of every network's text."""
-    from .operators.turtle import turtle
-
     return turtle(grammar.programs(parameters(spark, sf_dir)))
 
 
 @query()
 def other_grammars(spark, sf_dir):
     """State rows of the texts of the rule that begins with a stem and a fork of other rules."""
-    from .operators.turtle import turtle
-
     return turtle(grammar.programs(parameters(spark, sf_dir), "I"))
 
 
+@query()
+def network_stacks(spark, sf_dir):
+    """Voxels of every network's text as stacks of pages."""
+    return volumes_of.tiff_stacks(network.program_voxels(parameters(spark, sf_dir), "F", TISSUE), TISSUE)
+
+
 @query()
 def network_voxels(spark, sf_dir):
     """Voxels of every network, from its parameters."""
