@@ -21,6 +21,7 @@ first; an empty table gives an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,17 +115,23 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _tables() -> tuple[np.ndarray, ...]:
+    """r, ln c, beta and the multipliers that choose from them: fixed numbers, made once per worker."""
+    rng = np.random.RandomState(11)
+    size = (HASHES, 1 << _TABLE_BITS)
+    r = rng.gamma(2.0, 1.0, size).astype(np.float32)
+    ln_c = np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)
+    beta = rng.random_sample(size).astype(np.float32)
+    return r, ln_c, beta, rng.randint(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class Sampler:
     """Consistent weighted samples; r, ln c and beta of a shingle come from tables by its hash."""
 
     def __init__(self, lift: np.ndarray):
-        rng = np.random.RandomState(11)
-        size = (HASHES, 1 << _TABLE_BITS)
         self.lift = lift
-        self.r = rng.gamma(2.0, 1.0, size).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)
-        self.beta = rng.random_sample(size).astype(np.float32)
-        self.odd = rng.randint(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.r, self.ln_c, self.beta, self.odd = _tables()
 
     def weights(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """ln of the weights."""
