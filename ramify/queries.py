@@ -154,11 +154,11 @@ def query(sql: str | None = None):
 _R9 = lambda c, n=9: F.round(c, n)
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round({_u('a')}, 12) u, CAST(floor({_u('b')} * 9.0) + 6 AS INT) n, round({rng.normal_sql(_u('c'), _u('d'))}, 9) z FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber, CAST({_u('a')} * 281474976710656.0 AS BIGINT) u, CAST(floor({_u('b')} * 9.0) + 6 AS INT) n, round({rng.normal_sql(_u('c'), _u('d'))}, 9) z FROM lineitem")
 def params_draws(spark, sf_dir):
     """Keyed uniform, whole and normal draws."""
     draw = lambda n: rng.uniform(F.col("seed"), F.col("network_id"), F.col("path"), n)
-    return draws(spark, sf_dir).select(*LINE, F.round(draw("a"), 12).alias("u"), rng.integer(draw("b"), 6, 14).alias("n"), _R9(rng.normal(draw("c"), draw("d"))).alias("z"))
+    return draws(spark, sf_dir).select(*LINE, (draw("a") * F.lit(float(1 << 48))).cast("long").alias("u"), rng.integer(draw("b"), 6, 14).alias("n"), _R9(rng.normal(draw("c"), draw("d"))).alias("z"))
 
 
 def _draw_params_sql() -> str:
