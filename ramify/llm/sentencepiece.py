@@ -35,7 +35,7 @@ from .common import table
 from .language import matcher
 from .vocabulary import MODEL, SPACE, Vocabulary, load
 
-CHUNK = 16_384
+CHUNK = 65_536
 UNKNOWN = 10 * 1024
 #: Stands for a word mark of the text itself; no text from UTF-8 holds it.
 _MARK = "\udc96"
@@ -55,6 +55,7 @@ class Encoder:
         self.reach = max(map(len, vocabulary.pieces))
         self.unknown = min(vocabulary.scores) - UNKNOWN
         self.known: dict[str, list[int]] = {}
+        self.summed: dict[str, tuple[int, int, int, int]] = {}
 
     def edges(self, text: str) -> list[tuple[int, int, int]]:
         """(end, start, id) by end; id -1 for a letter that is no piece."""
@@ -103,6 +104,24 @@ class Encoder:
                 self.known[word] = got
         return got
 
+    def sums(self, word: str) -> tuple[int, int, int, int]:
+        """Score and number of a word's best pieces, and the sums of their starts and of their squares."""
+        got = self.summed.get(word)
+        if got is None:
+            _, last = self.table(word, {0: 0}, len(word), 0, _SHORT if len(word) <= 256 else _LONG)
+            score = number = starts = squares = 0
+            end = len(word)
+            while last[end] is not None:
+                end, i = last[end]
+                score += self.scores[i] if i >= 0 else self.unknown
+                number, starts, squares = number + 1, starts + end, squares + end * end
+            got = score, number, starts, squares
+            if len(word) <= 64:
+                if len(self.summed) >= _CACHE:
+                    self.summed.clear()
+                self.summed[word] = got
+        return got
+
     def whole(self, marked: str) -> list[int]:
         """Ids of a text that is not cut."""
         out: list[int] = []
@@ -139,12 +158,13 @@ class Encoder:
         for i in states:
             best, _ = self.table(text[:first], {i: 0}, first, base, _LONG)
             column.append(best[first])
-        middle = first
-        total = 0
-        for m in _WORDS.finditer(text[first:at]):
-            best, _ = self.table(m.group(), {0: 0}, len(m.group()), base + middle, _LONG)
-            total += best[-1]
-            middle += len(m.group())
+        # A word's sums move with its place: starts by number * place, squares by the binomial.
+        place, score, number, starts, squares = base + first, 0, 0, 0, 0
+        for word in _WORDS.findall(text[first:at]):
+            a, n, x, y = self.sums(word)
+            score, number, starts, squares = score + a, number + n, starts + n * place + x, squares + (n * place + 2 * x) * place + y
+            place += len(word)
+        total = (score << _LONG[0]) - (number << _LONG[1]) + (starts << _LONG[2]) + squares
         best, _ = self.table(text[at:], {0: 0}, size - at, base + at, _LONG)
         return "parts", column, [None if best[size - at + j] is None else total + best[size - at + j] for j in goals]
 
