@@ -18,9 +18,13 @@ def plot_segments(points: DataFrame, widths: bool = True) -> DataFrame:
     return ahead.filter(F.col("x1").isNotNull() & ~F.isnan("x0") & ~F.isnan("x1"))
 
 
+#: Fixed value: the pattern of a stack's file name.
+NAME = "Lnet_i%d_%d.tiff"
+
+
 def output_name(n: Column, index: Column) -> Column:
     """The file name of a network's stack."""
-    return F.format_string("Lnet_i%d_%d.tiff", n, index)
+    return F.format_string(NAME, n, index)
 
 
 def progress(index: Column, n: Column) -> Column:
