@@ -33,7 +33,7 @@ ROUNDS = 3
 #: Probability of a letter that is no piece, in every language.
 UNKNOWN = 1e-9
 SMOOTH = 0.05
-_CACHE = 400_000
+_CACHE = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONG = 40
 

@@ -40,8 +40,8 @@ DF_BITS, DF_BLOCK = 18, 4096
 IDF_WEIGHT = 0.05
 _TABLE_BITS = 16
 BLOCK, BLOCK_CHARS, _COLUMNS = 256, 4_000_000, 4096
-_CACHE = 1_000_000
-_SHINGLES = 1 << 20
+_CACHE = 150_000
+_SHINGLES = 1 << 18
 _NONE = -(1 << 63)
 
 

@@ -40,7 +40,7 @@ UNKNOWN = 10 * 1024
 #: Stands for a word mark of the text itself; no text from UTF-8 holds it.
 _MARK = "\udc96"
 _WORDS = re.compile(f"^[^{SPACE}]+|{SPACE}+[^{SPACE}]*")
-_CACHE = 400_000
+_CACHE = 200_000
 #: Bits below the score, the number of pieces and the sum of starts.
 _SHORT, _LONG = (54, 44, 26), (190, 158, 92)
 

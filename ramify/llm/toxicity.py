@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 1.0
 STEMS, LEAST_ROWS = (4, 5, 6), 8
 #: Updates aimed at: a small sample is gone through more often.
 UPDATES, MOST_EPOCHS = 24_000, 40
-_CACHE = 1_000_000
+_CACHE = 150_000
 
 
 class Tokens(dict):
@@ -91,7 +91,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     seen = np.zeros(size, dtype=np.int32)
     for r in rows:
         seen[r] += 1
-    rows = [np.append(r[seen[r] >= LEAST_ROWS], size) for r in rows]
+    # Only what LEAST_ROWS rows have is kept in memory from here.
+    for k, r in enumerate(rows):
+        rows[k] = np.append(r[seen[r] >= LEAST_ROWS], np.int32(size)).astype(np.int32)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             i = rows[k]
@@ -125,16 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
 
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = [(zlib.crc32(str(i).encode()), i, v, f) for pdf in batches for i, v, f in zip(pdf["doc_id"], pdf["label"], pdf["found"])]
-        every.sort()
-        kept, total = [], 0
-        for _, _, v, f in every:
+        every.sort(reverse=True)
+        rows, labels, total = [], [], 0
+        while every:
+            _, _, v, f = every.pop()
             total += len(f) // 4
-            if total <= MAX_FEATURES or not kept:
-                kept.append((v, np.frombuffer(f, dtype="<i4").astype(np.int64)))
-        if kept:
-            numbers, weights, intercept = train([f for _, f in kept], np.array([v for v, _ in kept]))
-            p = sum(v for v, _ in kept)
-            q = len(kept) - p
+            if total <= MAX_FEATURES or not rows:
+                rows.append(np.frombuffer(f, dtype="<i4"))
+                labels.append(v)
+        if rows:
+            numbers, weights, intercept = train(rows, np.array(labels))
+            p = sum(labels)
+            q = len(labels) - p
             if p and q and counts.get(1) and counts.get(0):
                 intercept += float(np.log(counts[1] / counts[0]) - np.log(p / q))
             yield pd.DataFrame({"number": np.append(numbers, -1), "weight": np.append(weights, intercept)})
