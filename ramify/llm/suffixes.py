@@ -216,7 +216,7 @@ def scanned(rows: DataFrame) -> DataFrame:
 def sorted_shards(pieces: DataFrame) -> DataFrame:
     """Windows of runs (anchor, salt, salts, digest, data) that are repeated within their shard: digest, from, to.
 
-    Where an anchor has several shards, also one row per window for the merge: key.
+    Where an anchor has several shards, also the sorted digests of a shard's windows, packed by bucket.
     """
     order = ["anchor", "salt"]
     dealt = pieces.repartition(*order).sortWithinPartitions(*order, "digest")
@@ -224,14 +224,24 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
     def done(frame: pd.DataFrame) -> pd.DataFrame:
         # Equal rows of one doc_id send their pieces twice.
         frame = frame.drop_duplicates(["anchor", "salt", "digest"])
-        out = []
+        out, spread = [], {}
         hits = repeated_windows(list(frame["data"]))
         for anchor, salt, salts, digest, data, hit in zip(frame["anchor"], frame["salt"], frame["salts"], frame["digest"], frame["data"], hits):
-            out.extend((anchor, digest, a, b, None, salt) for a, b in intervals(hit, 0))
+            out.extend((anchor, digest, a, b, None, salt, None, None, None) for a, b in intervals(hit, 0))
             if salts > 1:
-                out.extend((anchor, digest, w, w, xxhash.xxh3_64_intdigest(data[w : w + LENGTH]) - (1 << 63), salt) for w in range(len(hit)))
-        found = pd.DataFrame(out, columns=["anchor", "digest", "from", "to", "key", "salt"])
-        return found.astype({"key": "object"}).assign(key=pd.array(found["key"].tolist(), dtype="Int64"))
+                keys = [xxhash.xxh3_64_intdigest(data[w : w + LENGTH]) for w in range(len(hit))]
+                spread.setdefault((anchor, salt, salts), []).append((np.array(keys, dtype=np.uint64), np.full(len(hit), digest, dtype=np.int64), np.arange(len(hit), dtype=np.int32)))
+        for (anchor, salt, salts), parts in spread.items():
+            keys, digests, places = (np.concatenate(x) for x in zip(*parts))
+            bucket = (keys % np.uint64(4 * salts)).astype(np.int64)
+            turn = np.lexsort((keys, bucket))
+            keys, digests, places, bucket = keys[turn], digests[turn], places[turn], bucket[turn]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            out.extend((anchor, None, None, None, int(bucket[a]), salt, keys[a:b].tobytes(), digests[a:b].tobytes(), places[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]))
+        # Column by column: whole numbers beside None must not pass through floats.
+        names = ["anchor", "digest", "from", "to", "bucket", "salt", "keys", "digests", "places"]
+        columns = list(zip(*out)) if out else [[]] * len(names)
+        return pd.DataFrame({n: pd.array(list(c), dtype="Int64") if i < 6 else pd.Series(list(c), dtype=object) for i, (n, c) in enumerate(zip(names, columns))})
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, size = [], 0
@@ -250,38 +260,28 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
         if size:
             yield done(pd.concat(rest, ignore_index=True))
 
-    return dealt.mapInPandas(shard, "anchor long, digest long, from int, to int, key long, salt int")
+    return dealt.mapInPandas(shard, "anchor long, digest long, from int, to int, bucket long, salt int, keys binary, digests binary, places binary")
 
 
-def merged(windows: DataFrame) -> DataFrame:
-    """Windows (anchor, digest, from, to, key, salt) whose key another shard of the anchor has too."""
-    dealt = windows.repartition("anchor", "key").sortWithinPartitions("anchor", "key", "salt")
+def merged(packed: DataFrame) -> DataFrame:
+    """Windows (anchor, digest, from, to) whose digest another shard of the anchor has too.
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (rest["anchor"] == rest["anchor"].iat[-1]) & (rest["key"] == rest["key"].iat[-1])
-            yield found(rest[~last])
-            rest = rest[last]
-        if rest is not None:
-            yield found(rest)
-
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        # Sorted keys of each shard; a key's place among another's tells whether it is there.
-        keep = np.zeros(len(frame), dtype=bool)
-        pair = (frame["anchor"].to_numpy().view(np.uint64) * _MIX) ^ frame["key"].to_numpy().view(np.uint64)
-        salt = frame["salt"].to_numpy()
-        by_salt = {s: np.sort(pair[salt == s]) for s in np.unique(salt).tolist()}
-        for own in by_salt:
-            mine = np.flatnonzero(salt == own)
-            for other, keys in by_salt.items():
-                if other != own:
-                    at = np.minimum(np.searchsorted(keys, pair[mine]), len(keys) - 1)
-                    keep[mine] |= keys[at] == pair[mine]
-        return frame.loc[keep, ["anchor", "digest", "from", "to"]]
-
-    return dealt.mapInPandas(merge, "anchor long, digest long, from int, to int")
+    A group holds one bucket of one anchor; there are as many buckets as keep it to a few times LIMIT.
+    """
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(b, dtype=np.uint64) for b in pdf["keys"]]
+        out = []
+        for own, digests, places in zip(range(len(keys)), pdf["digests"], pdf["places"]):
+            there = np.sort(np.concatenate([k for i, k in enumerate(keys) if i != own] or [np.zeros(0, dtype=np.uint64)]))
+            if len(there):
+                at = np.minimum(np.searchsorted(there, keys[own]), len(there) - 1)
+                hit = there[at] == keys[own]
+                out.append((np.frombuffer(digests, dtype=np.int64)[hit], np.frombuffer(places, dtype=np.int32)[hit]))
+        digest, place = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        return pd.DataFrame({"anchor": pdf["anchor"].iloc[0], "digest": digest, "from": place, "to": place}, index=range(len(digest)))
+
+    return packed.groupBy("anchor", "bucket").applyInPandas(merge, "anchor long, digest long, from int, to int")
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -325,8 +325,8 @@ def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame,
 
     pieces = texts.filter("runs is not null").select("text", "runs").mapInPandas(cut, "anchor long, salt int, salts int, digest long, data binary")
     shards = checkpointed(sorted_shards(pieces))
-    inside = shards.filter("key is null").select("anchor", "digest", "from", "to")
-    inside = inside.unionByName(merged(shards.filter("key is not null")))
+    inside = shards.filter("bucket is null").select("anchor", "digest", "from", "to")
+    inside = inside.unionByName(merged(shards.filter("bucket is not null").select("anchor", "bucket", "keys", "digests", "places")))
     # A kind with several places is repeated as a whole; of the others the shards' windows are.
     whole = runs.join(kinds.filter("places > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("at").alias("from"), F.expr("at + number - 1").alias("to"))
     part = inside.join(kinds.filter("places = 1").select("anchor", "digest"), ["anchor", "digest"]).distinct()
