@@ -1,13 +1,14 @@
 """Line dedup over content-defined chunks of lines.
 
 Every line is hashed, a rolling hash runs over the last WINDOW line hashes, and a chunk ends behind a line
-where it is a multiple of EVERY and the chunk has LEAST lines. Boundaries thus depend on nearby lines
-alone and settle again after an insertion. Chunks are grouped by their hash and their bytes, so what is
+where it is a multiple of EVERY and the chunk has LEAST lines and a letter or digit. What is left behind
+the last boundary is a chunk too, or joins the last chunk where it has neither. Boundaries thus depend on
+nearby lines alone and settle again after an insertion, and chunks hold every line of a text. Chunks are grouped by their hash and their bytes, so what is
 equal is equal byte for byte; of a chunk that several documents hold the one with the smallest doc_id
 keeps it, and within a document the first place does. All other places lose these lines.
 
-Edge cases: a null text stays null and has no lines; an empty text stays empty; chunks without a letter or
-digit are never removed, nor are chunks of one line; a document may lose all its lines, its text is then
+Edge cases: a null text stays null and has no lines; an empty text stays empty; texts without a letter or
+digit lose nothing, nor do texts of one line; copies of any other text lose every line; a document may lose all its lines, its text is then
 empty; rows that share a doc_id keep what that id keeps; null ids come last; an empty table gives an
 empty table; other columns are carried along untouched.
 """
@@ -39,13 +40,16 @@ def boundaries(lines: list[str]) -> list[tuple[int, int]]:
         rolling[back:] = rolling[back:] + h[:-back] * _BASE ** np.uint64(back)
     rolling ^= rolling >> np.uint64(29)
     ends = np.flatnonzero(rolling * _BASE >> np.uint64(33) & np.uint64(0x7FFFFFFF) < np.uint64(0x80000000 // EVERY)) + 1
+    worded = np.concatenate([[0], np.cumsum([any(c.isalnum() for c in x) for x in lines])])
     out, start = [], 0
     for end in ends.tolist():
-        if end - start >= LEAST:
+        if end - start >= LEAST and worded[end] > worded[start]:
             out.append((start, end))
             start = end
-    if n - start >= LEAST:
+    if n - start >= LEAST and worded[n] > worded[start] or not out:
         out.append((start, n))
+    elif start < n:
+        out[-1] = (out[-1][0], n)
     return out
 
 

@@ -84,6 +84,13 @@ def test_odd_results(spark, docs):
     assert toxicity.without_toxic(docs, labels(spark, empty=True)).count() == len(ROWS)
 
 
+def test_copies_lose_every_line(spark):
+    texts = ["\n".join(f"line {i} {k} of {n}" for k in range(n)) for n in range(2, 12) for i in range(20)] + ["\n\n--\n\nwords\n\n--", "--\n--\n--\na b\nc d\n--"]
+    rows = [(i + len(texts) * c, x) for c in range(2) for i, x in enumerate(texts)]
+    out = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["__removed"] == (r["__lines"] if r["doc_id"] >= len(texts) else 0) for r in out)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
