@@ -3,19 +3,23 @@
 Every line is hashed, a rolling hash runs over the last WINDOW line hashes, and a chunk ends behind a line
 where it is a multiple of EVERY and the chunk has LEAST lines and a letter or digit. What is left behind
 the last boundary is a chunk too, or joins the last chunk where it has neither. Boundaries thus depend on
-nearby lines alone and settle again after an insertion, and chunks hold every line of a text. Chunks are grouped by their hash and their bytes, so what is
-equal is equal byte for byte; of a chunk that several documents hold the one with the smallest doc_id
-keeps it, and within a document the first place does. All other places lose these lines.
+nearby lines alone and settle again after an insertion, and chunks hold every line of a text. Beside the
+chunks every line and its next are a unit of their own, treated alike, so that a run of two or more lines
+goes wherever the boundaries fall. Units are found by hash; the texts of those that several documents hold
+are then compared, so what is equal is equal byte for byte. Of a unit that several documents hold the one
+with the smallest doc_id keeps it, and within a document the first place does. All other places lose these
+lines; of equal lines one at least stays.
 
 Edge cases: a null text stays null and has no lines; an empty text stays empty; texts without a letter or
-digit lose nothing, nor do texts of one line; copies of any other text lose every line; a document may lose all its lines, its text is then
-empty; rows that share a doc_id keep what that id keeps; null ids come last; an empty table gives an
-empty table; other columns are carried along untouched.
+digit lose nothing, nor do texts of one line; copies of any other text lose every line; a document may
+lose all its lines, its text is then empty; what overlaps its own first place stays; rows that share a
+doc_id keep what that id keeps; null ids come last; an empty table gives an empty table; other columns
+are carried along untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,14 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 WINDOW, EVERY, LEAST = 2, 2, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+Digest = Callable[[bytes], int]
 
 
 def boundaries(lines: list[str]) -> list[tuple[int, int]]:
-    """Chunks as (first line, line behind the last)."""
+    """Chunks, and the pairs of lines beside them, in order as (first line, line behind the last)."""
     n = len(lines)
     if n < LEAST:
         return []
@@ -40,7 +45,8 @@ def boundaries(lines: list[str]) -> list[tuple[int, int]]:
         rolling[back:] = rolling[back:] + h[:-back] * _BASE ** np.uint64(back)
     rolling ^= rolling >> np.uint64(29)
     ends = np.flatnonzero(rolling * _BASE >> np.uint64(33) & np.uint64(0x7FFFFFFF) < np.uint64(0x80000000 // EVERY)) + 1
-    worded = np.concatenate([[0], np.cumsum([any(c.isalnum() for c in x) for x in lines])])
+    word = np.array([any(c.isalnum() for c in x) for x in lines])
+    worded = np.concatenate([[0], np.cumsum(word)])
     out, start = [], 0
     for end in ends.tolist():
         if end - start >= LEAST and worded[end] > worded[start]:
@@ -50,68 +56,97 @@ def boundaries(lines: list[str]) -> list[tuple[int, int]]:
         out.append((start, n))
     elif start < n:
         out[-1] = (out[-1][0], n)
-    return out
-
-
-def chunks(lines: list[str]) -> Iterator[tuple[int, int, str, int, int]]:
-    """first, behind, text and two 64-bit hashes of every chunk that may be removed."""
+    # Lines without a letter or digit are paired with the lines around them, however many stand together.
+    at = np.flatnonzero(word)
+    if len(at):
+        near = np.flatnonzero(word[1:] | word[:-1]).tolist()
+        out.extend((k, k + 2) for k in near)
+        wide = np.flatnonzero(np.diff(at) > 2)
+        out.extend(zip(at[wide].tolist(), (at[wide + 1] + 1).tolist()))
+        if at[0] > 1:
+            out.append((0, int(at[0]) + 1))
+        if n - at[-1] > 2:
+            out.append((int(at[-1]), n))
+    return sorted(set(out))
+
+
+def chunks(lines: list[str], digest: Digest = xxhash.xxh3_128_intdigest) -> Iterator[tuple[int, int, str, int, int]]:
+    """first, behind, text and two 64-bit hashes of every chunk and pair that may be removed."""
     for a, b in boundaries(lines):
         body = "\n".join(lines[a:b])
         if any(c.isalnum() for c in body):
-            h = xxhash.xxh3_128_intdigest(body.encode("utf-8", "surrogatepass"))
+            h = digest(body.encode("utf-8", "surrogatepass"))
             yield a, b, body, (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def _found(bodies: bool):
+def repeated(docs: DataFrame, digest: Digest) -> DataFrame:
+    """__doc and the hashes of its chunks that other documents hold too, of docs (__doc, text)."""
+
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["__doc"], pdf["text"]):
-                seen = {}
-                for _, _, body, hi, lo in chunks(text.split("\n")) if text else ():
-                    seen[hi, lo] = body
-                out.extend((doc, hi, lo, body) for (hi, lo), body in seen.items())
-            frame = pd.DataFrame(out, columns=["__doc", "hi", "lo", "body"])
-            yield frame if bodies else frame[["__doc", "hi", "lo"]]
+                out.extend((doc, hi, lo) for hi, lo in {c[3:] for c in chunks(text.split("\n"), digest)} if text)
+            yield pd.DataFrame(out, columns=["__doc", "hi", "lo"]).astype("int64")
+
+    places = docs.filter("text is not null").mapInPandas(found, "__doc long, hi long, lo long")
+    first = places.groupBy("hi", "lo").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).filter("first < last").drop("last")
+    gone = (F.col("__doc") > F.col("first")).alias("gone")
+    return places.join(first, ["hi", "lo"]).groupBy("__doc").agg(F.collect_set(F.struct("hi", "lo", gone)).alias("__held"))
 
-    return found
 
+def unequal(rows: DataFrame, digest: Digest) -> dict[tuple[int, int], dict[str, int]]:
+    """Texts and first holders of the chunks in rows (__doc, text, __held) that share a hash but not their bytes."""
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """__doc and the hashes of the chunks that it has to give up, of docs (__doc, text)."""
-    whole = docs.mapInPandas(_found(True), "__doc long, hi long, lo long, body string")
-    first = whole.groupBy("hi", "lo", "body").agg(F.min("__doc").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n", "body")
-    places = docs.mapInPandas(_found(False), "__doc long, hi long, lo long")
-    return places.join(first, ["hi", "lo"]).filter(F.col("__doc") > F.col("first")).groupBy("__doc").agg(F.collect_set(F.struct("hi", "lo")).alias("__gone"))
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, text, held in zip(pdf["__doc"], pdf["text"], pdf["__held"]):
+                held = {(g["hi"], g["lo"]) for g in held}
+                out.extend((doc, hi, lo, body) for body, hi, lo in {c[2:] for c in chunks(text.split("\n"), digest)} if (hi, lo) in held)
+            yield pd.DataFrame(out, columns=["__doc", "hi", "lo", "body"])
+
+    bodies = rows.filter("__held is not null").select("__doc", "text", "__held").mapInPandas(found, "__doc long, hi long, lo long, body string")
+    clash = bodies.select("hi", "lo", "body").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo")
+    known = clash.collect()  # with 128 bits, none
+    out: dict[tuple[int, int], dict[str, int]] = {(r["hi"], r["lo"]): {} for r in known}
+    if out:
+        clash = rows.sparkSession.createDataFrame(known, clash.schema)
+        for r in bodies.join(F.broadcast(clash), ["hi", "lo"]).groupBy("hi", "lo", "body").agg(F.min("__doc").alias("first")).collect():
+            out[r["hi"], r["lo"]][r["body"]] = r["first"]
+    return out
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) -> DataFrame:
     """docs with text reduced, and with __lines, __removed (lines) and __spans (removed runs of lines)."""
     last = F.lit((1 << 63) - 1)
     rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), last))
-    gone = repeated(rows.select("__doc", "text")).withColumnRenamed("__doc", "__its")
-    joined = rows.join(gone, F.col("__doc") == F.col("__its"), "left").drop("__doc", "__its")
+    held = repeated(rows.select("__doc", "text"), digest).withColumnRenamed("__doc", "__its")
+    joined = stored(rows.join(held, F.col("__doc") == F.col("__its"), "left").drop("__its"))
+    odd = unequal(joined, digest)
 
     @F.pandas_udf("text string, lines long, removed long, spans string")
-    def reduced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, gone in batches:
+    def reduced(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for docs, texts, helds in batches:
             out = []
-            for text, given in zip(texts, gone):
+            for doc, text, held in zip(docs, texts, helds):
                 if text is None:
                     out.append((None, 0, 0, ""))
                     continue
                 lines = text.split("\n")
-                given = {(g["hi"], g["lo"]) for g in given} if given is not None else set()
-                keep, spans, seen = np.ones(len(lines), dtype=bool), [], set()
-                for a, b, body, hi, lo in chunks(lines):
-                    if (hi, lo) in given or body in seen:
+                gone = {(g["hi"], g["lo"]) for g in held if g["gone"]} if held is not None else set()
+                keep, seen = np.ones(len(lines), dtype=bool), {}
+                for a, b, body, hi, lo in chunks(lines, digest):
+                    elsewhere = odd[hi, lo].get(body, doc) < doc if (hi, lo) in odd else (hi, lo) in gone
+                    # What overlaps its own first place is no other place.
+                    if elsewhere or seen.setdefault(body, b) <= a:
                         keep[a:b] = False
-                        spans.append(f"{a}:{b}")
-                    seen.add(body)
+                turns = np.flatnonzero(np.diff(np.r_[True, keep, True].astype(np.int8))).tolist()
+                spans = [f"{a}:{b}" for a, b in zip(turns[::2], turns[1::2])]
                 out.append(("\n".join(x for x, k in zip(lines, keep) if k) if spans else text, len(lines), int((~keep).sum()), ",".join(spans)))
             yield pd.DataFrame(out, columns=["text", "lines", "removed", "spans"])
 
-    done = joined.withColumn("__r", reduced("text", "__gone"))
+    done = joined.withColumn("__r", reduced("__doc", "text", "__held")).drop("__doc", "__held")
     kept = [F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return done.select(*kept, F.col("__r.lines").alias("__lines"), F.col("__r.removed").alias("__removed"), F.col("__r.spans").alias("__spans"))
 

@@ -91,6 +91,18 @@ def test_copies_lose_every_line(spark):
     assert all(r["__removed"] == (r["__lines"] if r["doc_id"] >= len(texts) else 0) for r in out)
 
 
+def test_short_repeated_runs_go(spark):
+    own = lambda i, k: f"own {i} {k}"
+    runs = [[f"run {j} {k}" for k in range(2 + j % 5)] for j in range(40)]
+    rows = [(i, "\n".join([*(own(i, k) for k in range(i % 4)), *runs[i % 40], *(own(i, 9 - k) for k in range(i % 3))])) for i in range(80)]
+    rows += [(90, "a 1\n\n\n\nb 2\nx"), (91, "y\na 1\n\n\n\nb 2"), (92, "q\nq\nq\nu\nq\nq")]
+    # Also with hashes that differ for few texts.
+    for digest in ((), (lambda b: len(b) % 8,)):
+        out = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), *digest).collect()}
+        assert all(out[i]["__removed"] == (len(runs[i % 40]) if i >= 40 else 0) for i in range(80))
+        assert (out[90]["__removed"], out[91]["text"], out[92]["text"], out[92]["__spans"]) == (0, "y", "q\nq\nq\nu", "4:6")
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
