@@ -14,9 +14,13 @@ BLOCK texts and BLOCK_CHARS characters, a task compares one pair of blocks by ma
 shingles they share, and one spanning edge per text leaves it. So every pair of a bucket that could join
 two components is decided, and pairs are never rows of a table.
 
-Edge cases: a null text is empty; a text without words is linked with nothing; equal texts are always in
-one class; rows that share a doc_id are one document; a null doc_id is an id like any other and comes
-first; an empty table gives an empty table; other columns are not looked at.
+Every row has a key of its own, so rows are tied by their texts alone. Of a class the row with the smallest
+doc_id is kept, then the one whose text has the smallest hash.
+
+Edge cases: a null text is empty; a text without words is linked with nothing, such rows are all kept; equal
+texts are always in one class; rows that share a doc_id, or have none, are documents of their own, so class_id
+names their class only together with the kept row's text; a null doc_id comes first; an empty table gives an
+empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 from .components import components
 
 WORDS, LIKE = 5, 0.8
@@ -42,7 +46,6 @@ _TABLE_BITS = 16
 BLOCK, BLOCK_CHARS, _COLUMNS = 256, 4_000_000, 4096
 _CACHE = 150_000
 _SHINGLES = 1 << 18
-_NONE = -(1 << 63)
 
 
 class _Words(dict):
@@ -202,7 +205,7 @@ def linked(bags: list[tuple[np.ndarray, np.ndarray]], split: int, like: float) -
 
 
 def signatures(rows: DataFrame, lift) -> DataFrame:
-    """__doc, the text's length, its two 64-bit hashes (null without words) and its band keys."""
+    """__doc, doc_id, the text's length, its two 64-bit hashes (null without words) and its band keys."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Sampler(lift.value)
@@ -226,9 +229,12 @@ def signatures(rows: DataFrame, lift) -> DataFrame:
                 if size >= _SHINGLES:
                     flush()
             flush()
-            yield pd.DataFrame({"__doc": pdf["__doc"], "size": pdf["text"].map(len), "hi": pd.array([d[0] for d in done], dtype="Int64"), "lo": pd.array([d[1] for d in done], dtype="Int64"), "keys": [d[2] for d in done]})
+            yield pd.DataFrame({"__doc": pdf["__doc"], "its": pdf["its"], "none": pdf["none"], "size": pdf["text"].map(len), "hi": pd.array([d[0] for d in done], dtype="Int64"), "lo": pd.array([d[1] for d in done], dtype="Int64"), "keys": [d[2] for d in done]})
 
-    return rows.select("__doc", "text").mapInPandas(signed, "__doc long, size long, hi long, lo long, keys array<long>")
+    # A null id would make pandas' column one of floats.
+    ids = rows.select("__doc", F.coalesce("doc_id", F.lit(0).cast("long")).alias("its"), F.isnull("doc_id").alias("none"), "text")
+    done = ids.mapInPandas(signed, "__doc long, its long, none boolean, size long, hi long, lo long, keys array<long>")
+    return done.withColumn("doc_id", F.when(~F.col("none"), F.col("its"))).drop("its", "none")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, lift) -> DataFrame:
@@ -313,26 +319,26 @@ def settled(placed: DataFrame, rows: DataFrame, lift, like: float) -> DataFrame:
     return dealt.mapInPandas(compared, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of its group) of every row of docs (doc_id, text)."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, __doc. They are stored, as keys made again could be others."""
+    return stored(docs.withColumn("__doc", F.monotonically_increasing_id()))
+
+
+def classed(docs: DataFrame, like: float) -> DataFrame:
+    """__doc, doc_id, class_id (the smallest doc_id of its group) and kept of every row of docs (__doc, doc_id, text)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("__doc", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
     lift = spark.sparkContext.broadcast(factors(document_frequencies(rows), n))
     signed = checkpointed(signatures(rows, lift))
     worded = signed.filter("hi is not null")
-    groups = worded.groupBy("hi", "lo").agg(F.min("__doc").alias("text_id"))
-    members = checkpointed(worded.join(groups, ["hi", "lo"]).select("__doc", "text_id", "size", F.when(F.col("__doc") == F.col("text_id"), F.col("keys")).alias("keys")))
-    banded = members.filter("keys is not null").select(F.col("__doc").alias("b"), "size", F.posexplode("keys").alias("band", "key")).groupBy("b", "band", "key").agg(F.max("size").alias("size"))
+    groups = checkpointed(worded.groupBy("hi", "lo").agg(F.min("__doc").alias("text_id"), F.min(F.struct("doc_id", "__doc")).alias("first")))
+    members = checkpointed(worded.join(groups, ["hi", "lo"]).select("__doc", "doc_id", "text_id", "first", "size", F.when(F.col("__doc") == F.col("text_id"), F.col("keys")).alias("keys")))
+    banded = members.filter("keys is not null").select(F.col("__doc").alias("b"), "size", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     banded = checkpointed(banded.join(buckets, ["band", "key"]))
     tried = checkpointed(verified(banded.filter("a != b").select("a", "b").distinct(), rows, lift))
     links = tried.filter(F.col("like") >= like).select("a", "b")
-    # Rows that share a doc_id tie the classes of their texts.
-    same = members.filter("__doc != text_id").select(F.col("__doc").alias("a"), F.col("text_id").alias("b")).distinct()
-    shared = same.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).filter("m != x").select(F.col("m").alias("a"), F.col("x").alias("b"))
-    own = members.filter("__doc = text_id").select(F.col("__doc").alias("a")).distinct().join(same, "a").select("a", "b")
-    links = links.unionByName(shared).unionByName(own)
     found = components(links)
     # Buckets that still hold several components: their texts against each other, across components only.
     label = found.select(F.col("id").alias("b"), "component")
@@ -342,23 +348,30 @@ def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     open_ = checkpointed(open_.filter("lo != hi").select("band", "key", blocks.alias("blocks")))
     if not open_.isEmpty():
         found = components(links.unionByName(checkpointed(settled(placed.join(open_, ["band", "key"]), rows, lift, like))))
-    found = found.select(F.col("id").alias("text_id"), "component")
-    worded = members.select("__doc", "text_id").join(found, "text_id", "left").select("__doc", F.coalesce("component", "text_id").alias("class"))
-    out = worded.unionByName(signed.filter("hi is null").select("__doc", F.col("__doc").alias("class")))
-    none = F.lit(_NONE)
-    return out.select(F.nullif("__doc", none).alias("doc_id"), F.nullif("class", none).alias("class_id"))
+    # Texts that are linked get the first row of their component; the others their own.
+    linked_ = found.select(F.col("id").alias("text_id"), "component").join(groups, "text_id")
+    heads = linked_.groupBy("component").agg(F.min(F.struct("first.doc_id", "hi", "lo", "first.__doc")).alias("head"))
+    heads = linked_.select("text_id", "component").join(heads, "component").select("text_id", F.struct("head.doc_id", "head.__doc").alias("head"))
+    worded = members.join(heads, "text_id", "left").select("__doc", "doc_id", F.coalesce("head", "first").alias("head"))
+    out = worded.unionByName(signed.filter("hi is null").select("__doc", "doc_id", F.struct("doc_id", "__doc").alias("head")))
+    return out.select("__doc", "doc_id", F.col("head.doc_id").alias("class_id"), (F.col("__doc") == F.col("head.__doc")).alias("kept"))
+
+
+def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its group) and kept (one row of its class is) of every row of docs (doc_id, text)."""
+    return classed(keyed(docs.select("doc_id", "text")), like).drop("__doc")
 
 
 def one_of_each(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """The documents that are the first of their class, one row each, with their columns."""
-    kept = classes(docs, like).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The first row of each class, with its columns."""
+    rows = keyed(docs)
+    kept = classed(rows, like).filter("kept").select(F.col("__doc").alias("__kept"))
+    return rows.join(kept, F.col("__doc") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document."""
-    rows = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_minhash": op7_minhash}

@@ -103,6 +103,20 @@ def test_short_repeated_runs_go(spark):
         assert (out[90]["__removed"], out[91]["text"], out[92]["text"], out[92]["__spans"]) == (0, "y", "q\nq\nq\nu", "4:6")
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    text = lambda i: " ".join(f"t{i}w{k}" for k in range(60))
+    big = (1 << 60) + 1
+    rows = [(None, text(i), i) for i in range(20)] + [(7, text(i), i) for i in range(20, 40)] + [(100 + i, text(i), i) for i in range(10, 30)] + [(big, text(50), 50), (big + 1, text(50), 50), (3, text(30), 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    kept = minhash.one_of_each(docs).collect()
+    assert sorted(r["n"] for r in kept) == [*range(40), 50]
+    want = {i: None if i < 20 else 3 if i == 30 else 7 if i < 40 else big for i in [*range(40), 50]}
+    assert {r["n"]: r["doc_id"] for r in kept} == want
+    got = minhash.classes(docs).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 41
+    assert {r["doc_id"]: r["class_id"] for r in got}[big + 1] == big and all(r["class_id"] is None for r in got if r["doc_id"] and 110 <= r["doc_id"] < 120)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
