@@ -108,11 +108,13 @@ def mix(rows: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, re
     """
     spark = rows.sparkSession
     planned = rows if planned is None else planned
-    n = planned.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    shards = min(SHARDS, 1 << max(0, (n // ROWS_PER_SHARD)).bit_length())
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(shards)).cast("int")
-    sums = planned.groupBy(key.alias("__key"), shard.alias("__shard")).agg(F.sum("__size").alias("__shard_size"))
+    # Shards by each source's own rows: all but the smallest sources have hundreds of rows to a shard.
+    counts = checkpointed(planned.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")))
+    bits = F.length(F.regexp_replace(F.bin(F.floor(F.col("__n") / ROWS_PER_SHARD)), "^0$", ""))
+    shards = F.broadcast(counts.select("__key", F.least(F.lit(SHARDS), F.pow(F.lit(2), bits)).cast("int").alias("__shards")))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("__shards")).cast("int")
+    sums = planned.withColumn("__key", key).join(shards, "__key").groupBy("__key", shard.alias("__shard")).agg(F.sum("__size").alias("__shard_size"))
     sums = checkpointed(sums)
     sources = sums.groupBy("__key").agg(F.sum("__shard_size").alias("__source_size"))
     sources = sources.groupBy(F.lit(0).alias("__all")).applyInPandas(
@@ -126,7 +128,10 @@ def mix(rows: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, re
     end = F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rounds = F.when(F.col("__shard_size") > 0, F.floor(F.try_divide(F.col("__quota"), F.col("__shard_size")))).otherwise(F.lit(0)).cast("long")
     return (
-        rows.withColumns({"__key": key, "__shard": shard})
+        rows.withColumn("__key", key)
+        .join(shards, "__key")
+        .withColumn("__shard", shard)
+        .drop("__shards")
         .join(quotas, ["__key", "__shard"])
         .withColumns({"__end": end, "__rounds": rounds})
         .withColumn("__part", F.col("__quota") - F.col("__rounds") * F.col("__shard_size") - (F.col("__end") - F.col("__size")))

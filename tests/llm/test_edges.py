@@ -117,6 +117,14 @@ def test_rows_without_an_id_of_their_own(spark):
     assert {r["doc_id"]: r["class_id"] for r in got}[big + 1] == big and all(r["class_id"] is None for r in got if r["doc_id"] and 110 <= r["doc_id"] < 120)
 
 
+def test_mixing_cuts_few_texts(spark):
+    rows = [(i, f"s{i % 20}", 30) for i in range(4000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, __size long")).collect()
+    # 200 rows to a source are one shard, which cuts one text at most.
+    cut = [r["source"] for r in out if r["__taken"] % r["__size"]]
+    assert len(cut) == len(set(cut)) and len(out) == len(rows) and sum(r["__taken"] for r in out) == 30 * len(rows)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
