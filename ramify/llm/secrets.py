@@ -2,8 +2,8 @@
 
 Candidates are the matches of three patterns (assign, access, hex) and, beside them, other long tokens
 that mix letters and digits. Hashes of the candidates' values are counted by distinct repositories and
-owners over all rows. A value that several owners carry is a widely copied example; one that stays
-with few owners looks live. Base spans are always reported; of the other tokens only those that look
+owners over all rows. A value that several owners carry, or that fills a hundred repositories of each
+owner it has, is a widely copied example; one that stays with few looks live. Base spans are always reported; of the other tokens only those that look
 live are, as kind "owned". Here a document stands for a repository and its source for the owner.
 
 Edge cases: a null text is empty; a null source is an owner of its own; a null doc_id is a value like
@@ -27,6 +27,8 @@ OTHER = r"[A-Za-z0-9+/_=-]{20,}"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: So many owners make a value an example.
 EXAMPLE_OWNERS = 3
+#: So do so many repositories for each owner.
+EXAMPLE_REPOSITORIES = 100
 
 _SPAN = "array<struct<start:bigint,kind:int,stop:bigint,size:bigint,hash:string>>"
 
@@ -87,12 +89,13 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """One row per row of docs: doc_id, base spans, all spans and the number of live and example spans."""
     rows = checkpointed(candidates(docs).withColumn("row", F.when(F.size("base") + F.size("other") > 0, F.xxhash64("doc_id", "base", "other"))))
     found = rows.filter("row is not null").dropDuplicates(["doc_id", "row", "source"]).select("doc_id", "row", "source", F.explode(F.concat("base", "other")).alias("x"))
     found = found.select("doc_id", "row", "source", "x", F.col("x.hash").alias("hash"))
-    judged = found.join(ownership(found), "hash").withColumn("live", F.col("owners") < example_owners)
+    few = (F.col("owners") < example_owners) & (F.col("repositories") < F.col("owners") * example_repositories)
+    judged = found.join(ownership(found), "hash").withColumn("live", few)
     # Sources of one doc_id have the same spans and counts; each span counts once.
     by_row = judged.groupBy(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row")).agg(F.collect_set(F.struct("x.start", "x.kind", "x.stop", "live")).alias("judged"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean>>")

@@ -125,6 +125,12 @@ def test_mixing_cuts_few_texts(spark):
     assert len(cut) == len(set(cut)) and len(out) == len(rows) and sum(r["__taken"] for r in out) == 30 * len(rows)
 
 
+def test_secrets_of_many_repositories_are_examples(spark):
+    rows = [(i, "a", "see T0kenValue1234567890abcXYZ") for i in range(100)] + [(200 + i, "ab"[i % 2], "see Zz0kenValue1234567890abcXYZ") for i in range(40)]
+    out = {r["doc_id"]: (len(r["spans"]), r["n_live"], r["n_example"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(out[i] == ((0, 0, 1) if i < 100 else (1, 1, 0)) for i in out) and len(out) == 140
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
