@@ -82,13 +82,30 @@ def words(text: str | None) -> list[str]:
     return [SPACE + w for w in _LETTERS.findall(text.lower())] if text else []
 
 
+def log_sum(a: float, b: float) -> float:
+    """ln(exp(a) + exp(b))."""
+    a, b = max(a, b), min(a, b)
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def expected(counts: Counter, automaton, singles: frozenset[str], p: list[float]) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the counted words."""
     uses = np.zeros(len(p))
     for word, times in counts.items():
-        if len(word) > _LONG:
-            continue  # such words are no evidence of a language's pieces; they are scored all the same
         found = edges(word, automaton, singles)
+        if len(word) > _LONG:
+            # The same sums in logarithms, as the products of long words are too small for floats.
+            logs = [math.log(p[i]) if i >= 0 else math.log(UNKNOWN) for _, _, i in found]
+            fore, back = [-math.inf] * (len(word) + 1), [-math.inf] * (len(word) + 1)
+            fore[0] = back[-1] = 0.0
+            for (end, n, _), log in zip(found, logs):
+                fore[end] = log_sum(fore[end], fore[end - n] + log)
+            for (end, n, _), log in zip(reversed(found), reversed(logs)):
+                back[end - n] = log_sum(back[end - n], back[end] + log)
+            for (end, n, i), log in zip(found, logs):
+                if i >= 0:
+                    uses[i] += times * math.exp(fore[end - n] + log + back[end] - fore[-1])
+            continue
         fore, back = [0.0] * (len(word) + 1), [0.0] * (len(word) + 1)
         fore[0] = back[-1] = 1.0
         for end, n, i in found:

@@ -131,6 +131,20 @@ def test_secrets_of_many_repositories_are_examples(spark):
     assert all(out[i] == ((0, 0, 1) if i < 100 else (1, 1, 0)) for i in out) and len(out) == 140
 
 
+def test_long_runs_of_letters_are_learned_from(monkeypatch):
+    from collections import Counter
+
+    pieces = ("a", "b", "ab", "ba", "▁", "▁a", "")
+    automaton, singles, p = language.matcher(pieces), frozenset("ab▁"), [0.2, 0.1, 0.3, 0.1, 0.2, 0.1, 0.0]
+    words = Counter({"▁ababba": 2, "▁axb": 1, "x▁bba": 3})
+    short = language.expected(words, automaton, singles, p)
+    monkeypatch.setattr(language, "_LONG", 2)
+    assert language.expected(words, automaton, singles, p) == pytest.approx(short)
+    # Every letter of a run of 6,000 is in some piece.
+    uses = language.expected(Counter({"▁" + "ab" * 3000: 1}), automaton, singles, p)
+    assert sum(n * len(x) for n, x in zip(uses, pieces)) == pytest.approx(6001)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
