@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
 
@@ -12,17 +16,47 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of an Arrow batch between Spark and a Python worker: texts are long, and a batch is held several times.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the one its context was given.
 
-    Only where the session has none (local tests) a temporary folder is set.
+    Where there is none, a session on one machine (as in tests) gets a temporary folder; on a cluster that is an error.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ramify-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ramify-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, where it has Spark's own sizes; sizes that a user chose stay."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def released(work):
+    """A function over batches that gives its worker's free memory back at its end: workers are used again by later stages."""
+
+    @functools.wraps(work)
+    def whole(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return whole
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -38,14 +38,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _LONG = 40
 
 
-def matcher(pieces: tuple[str, ...]):
-    """An Aho-Corasick automaton over the pieces; its values are (length, id)."""
+def matcher(pieces: tuple[str, ...], gains: list[float] | None = None):
+    """An Aho-Corasick automaton over the pieces; its values are (length, id), and gains[id] where there are gains."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
     for i, p in enumerate(pieces):
         if p:
-            found.add_word(p, (len(p), i))
+            found.add_word(p, (len(p), i) if gains is None else (len(p), i, gains[i]))
     found.make_automaton()
     return found
 
