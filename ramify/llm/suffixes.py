@@ -1,19 +1,20 @@
 """Suffix-array dedup: bytes inside a LENGTH-byte string that also starts anywhere else are removed.
 
 Every window of LENGTH bytes has an anchor, the GRAM-byte string in it with the smallest hash, and equal
-windows have equal anchors. Runs of windows with one anchor are the units of work. An anchor that
-occurs once settles its windows: they are unique. Runs that are equal as a whole settle theirs: they are
+windows have equal anchors. Neighbouring windows with one anchor string are a run, the unit of work; a run is cut at
+SPAN windows, so periodic text has no more runs than other text. An anchor that one run alone has, at one place,
+settles its windows: they are unique. Runs that are equal as a whole settle theirs: they are
 repeated. The rest, one of each kind of run, goes to shards by anchor. In a shard the suffixes are sorted by
-Larsson-Sadakane refinement (only groups not yet resolved are sorted again, by doubled prefixes) in
-numpy, common prefixes come from Kasai's scan run in parallel lanes, and windows that share LENGTH bytes
-with another are repeated. An anchor with more than LIMIT kinds of runs is spread over several shards;
+Larsson-Sadakane refinement (only groups not yet resolved are sorted again, by doubled prefixes, until they share
+LENGTH bytes) in numpy, common prefixes come from Kasai's scan run in parallel lanes, and windows that share LENGTH
+bytes with another are repeated. An anchor with more than LIMIT kinds of runs is spread over several shards;
 these are merged by binary search of window digests among the sorted digests of the other shards.
 
 Equal texts are collapsed first: each loses all its bytes if it has LENGTH of them.
 
-Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; rows that share a doc_id are
-documents of their own; a null doc_id is an id like any other; an empty table gives an empty table;
-other columns are not looked at. Digests have 128 bits (anchor and run or window).
+Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; rows have keys of their own, so rows that
+share a doc_id, or have none, are documents of their own; an empty table gives an empty table;
+other columns are not looked at. Digests have 128 bits (anchor and run, or window).
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, lean, released, stored, table
 
-LENGTH, GRAM, LIMIT = 200, 24, 2048
+LENGTH, GRAM, LIMIT = 200, 64, 2048
+SPAN = LENGTH - GRAM + 1
 _BATCH, _SHARD, _LANES = 1 << 19, 1 << 20, 4096
 _NONE = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -45,19 +48,20 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def grams(eight: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM-byte strings (GRAM a multiple of 8) from each place on."""
-    n = len(eight) - GRAM + 8
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for k in range(0, GRAM, 8):
-        out = (out ^ eight[k : k + len(out)]) * _MIX
+    """Hashes of the GRAM-byte strings (GRAM eight times a power of two) from each place on, by doubling."""
+    out, size = eight, 8
+    while size < GRAM:
+        n = max(0, len(out) - size)
+        out = (out[:n] * _MIX) ^ (out[size:] + np.uint64(size))
         out ^= out >> np.uint64(32)
-    return out * np.uint64(0xC2B2AE3D27D4EB4F)
+        size *= 2
+    return out[: max(0, len(eight) - GRAM + 1)] * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def anchored(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its runs: anchor hashes, first window and number of windows."""
+def anchored(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+    """For each text its runs: anchor hashes, first window, number of windows, and whether the anchor moves inside."""
     out: list = [None] * len(texts)
-    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
     at, held, size = 0, [], 0
     while at <= len(texts):
         if at < len(texts):
@@ -73,39 +77,45 @@ def anchored(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     hashes = grams(words_at(np.frombuffer(b"".join(texts), dtype=np.uint8)))
     n = len(hashes)
     bits = np.uint64(max(1, int(n).bit_length()))
     # The hash's top bits and the place from the right: of equal strings the last one counts.
     low = (hashes >> bits << bits) | (np.uint64(n) - np.arange(n, dtype=np.uint64))
-    span, width = LENGTH - GRAM + 1, 1
-    while width * 2 <= span:
+    width = 1
+    while width * 2 <= SPAN:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    if span > width:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+    if SPAN > width:
+        low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
     places = n - (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     start = 0
     for text in texts:
         own = places[start : start + len(text) - LENGTH + 1]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        yield hashes[own[first]].view(np.int64), first, np.diff(np.r_[first, len(own)])
+        anchors = hashes[own]
+        new = np.r_[True, anchors[1:] != anchors[:-1]]
+        # The anchor's first window, of a run that is cut every SPAN windows.
+        head = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        first = np.flatnonzero((np.arange(len(own)) - head) % SPAN == 0)
+        number = np.diff(np.r_[first, len(own)])
+        yield anchors[first].view(np.int64), first, number, own[first] != own[first + number - 1]
         start += len(text)
 
 
-def refined(data: np.ndarray, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks (Larsson and Sadakane 2007)."""
+def refined(data: np.ndarray, eight: np.ndarray, enough: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `enough` bytes, their ranks, and each suffix's group: the rank of the first
+    that shares these bytes (Larsson and Sadakane 2007, ended where longer prefixes don't matter).
+    """
     n = len(data)
-    order = np.argsort(eight, kind="stable")
+    order = np.argsort(eight)
     ordered = eight[order]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     depth = 8
-    while True:
-        head = np.flatnonzero(new)
-        sizes = np.diff(np.r_[head, n])
+    while depth < enough:
+        sizes = np.diff(np.r_[np.flatnonzero(new), n])
         open_ = np.repeat(sizes > 1, sizes)
         if not open_.any():
             break
@@ -113,22 +123,25 @@ def refined(data: np.ndarray, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray
         own = order[slots]
         ahead = own + depth
         key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        group = rank[own]
-        turn = np.lexsort((key, group))
-        own, key, group = own[turn], key[turn], group[turn]
+        # Slots are those of the groups in order, so group and key together sort the slots within each group.
+        both = (rank[own] << 32) | key
+        turn = np.argsort(both)
+        own, both = own[turn], both[turn]
         order[slots] = own
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
+        fresh = np.r_[True, both[1:] != both[:-1]]
         new[slots] = fresh
         rank[own] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))]
         depth *= 2
+    group = rank.copy()
     rank[order] = np.arange(n)
-    return order, rank
+    return order, rank, group
 
 
-def common(eight: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def common(eight: np.ndarray, order: np.ndarray, rank: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Common prefix of each sorted suffix with the one before, up to LENGTH (Kasai et al. 2001).
 
-    The text is scanned in lanes side by side; going one byte on keeps all but one byte of the prefix.
+    The text is scanned in lanes side by side; going one byte on keeps all but one byte of the prefix. Suffixes of one
+    group share LENGTH bytes; as their order in it is open, the place after them starts from nothing.
     """
     n = len(order)
     step = -(-n // _LANES)
@@ -141,20 +154,21 @@ def common(eight: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray
         r = rank[i]
         j = order[np.maximum(r - 1, 0)]
         have = length[lanes]
-        live = np.flatnonzero(r > 0)
         have[r == 0] = 0
+        same = (r > 0) & (group[i] == group[j])
+        live = np.flatnonzero((r > 0) & ~same)
         while len(live):
             a, b = i[live] + have[live], j[live] + have[live]
             inside = (a < n) & (b < n) & (have[live] < LENGTH)
             live, a, b = live[inside], a[inside], b[inside]
             differs = eight[a] ^ eight[b]
             # Equal bytes before the first difference; the padding behind the end equals nothing that counts.
-            same = np.where(differs == 0, 8, 7 - np.floor(np.log2(np.maximum(differs, 1).astype(np.float64))).astype(np.int64) // 8)
-            same = np.where(differs >> np.uint64(56) != 0, 0, np.maximum(same, 0))
-            have[live] += same
+            equal = np.where(differs == 0, 8, 7 - np.floor(np.log2(np.maximum(differs, 1).astype(np.float64))).astype(np.int64) // 8)
+            equal = np.where(differs >> np.uint64(56) != 0, 0, np.maximum(equal, 0))
+            have[live] += equal
             live = live[differs == 0]
-        out[r] = np.minimum(have, LENGTH)
-        length[lanes] = np.maximum(have - 1, 0)
+        out[r] = np.where(same, LENGTH, np.minimum(have, LENGTH))
+        length[lanes] = np.where(same, 0, np.maximum(have - 1, 0))
     return out
 
 
@@ -163,8 +177,8 @@ def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     eight = words_at(data)
-    order, rank = refined(data, eight)
-    shared = common(eight, order, rank)
+    order, rank, alike = refined(data, eight)
+    shared = common(eight, order, rank, alike)
     starts = np.cumsum(np.r_[0, sizes[:-1]])
     valid = np.zeros(len(data), dtype=bool)
     for a, n in zip(starts.tolist(), sizes.tolist()):
@@ -193,22 +207,23 @@ def _hashes(data: bytes) -> tuple[int, int]:
 
 
 def scanned(rows: DataFrame) -> DataFrame:
-    """__doc, hashes, length, digest and runs of every row."""
+    """__doc, the text's hashes, length, digest and runs of every row."""
 
+    @released
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             data = [_bytes(t) for t in pdf["text"]]
-            both = [_hashes(d) for d in data]
             runs = anchored(data)
             digests = [
                 [xxhash.xxh3_64_intdigest(d[s : s + k + LENGTH - 1]) - (1 << 63) for s, k in zip(first.tolist(), number.tolist())]
-                for d, (_, first, number) in zip(data, runs)
+                for d, (_, first, number, _) in zip(data, runs)
             ]
-            yield pd.DataFrame({
-                "__doc": pdf["__doc"], "hi": [b[0] for b in both], "lo": [b[1] for b in both], "n": [len(d) for d in data],
-                "sha": [hashlib.sha256(d).hexdigest() for d in data], "anchors": [r[0] for r in runs], "digests": digests,
-                "firsts": [r[1].astype(np.int32) for r in runs], "numbers": [r[2].astype(np.int32) for r in runs],
-            })
+            yield pdf[["__doc", "hi", "lo"]].assign(
+                n=[len(d) for d in data], sha=[hashlib.sha256(d).hexdigest() for d in data], anchors=[r[0] for r in runs], digests=digests,
+                firsts=[r[1].astype(np.int32) for r in runs],
+                # Negative where the anchor moves inside a run.
+                numbers=[np.where(r[3], -r[2], r[2]).astype(np.int32) for r in runs],
+            )
 
     return rows.mapInPandas(scan, "__doc long, hi long, lo long, n long, sha string, anchors array<long>, digests array<long>, firsts array<int>, numbers array<int>")
 
@@ -229,12 +244,12 @@ def sorted_shards(pieces: DataFrame) -> DataFrame:
         for anchor, salt, salts, digest, data, hit in zip(frame["anchor"], frame["salt"], frame["salts"], frame["digest"], frame["data"], hits):
             out.extend((anchor, digest, a, b, None, salt, None, None, None) for a, b in intervals(hit, 0))
             if salts > 1:
-                keys = [xxhash.xxh3_64_intdigest(data[w : w + LENGTH]) for w in range(len(hit))]
-                spread.setdefault((anchor, salt, salts), []).append((np.array(keys, dtype=np.uint64), np.full(len(hit), digest, dtype=np.int64), np.arange(len(hit), dtype=np.int32)))
+                keys = b"".join(xxhash.xxh3_128_digest(data[w : w + LENGTH]) for w in range(len(hit)))
+                spread.setdefault((anchor, salt, salts), []).append((np.frombuffer(keys, dtype=_PAIR), np.full(len(hit), digest, dtype=np.int64), np.arange(len(hit), dtype=np.int32)))
         for (anchor, salt, salts), parts in spread.items():
             keys, digests, places = (np.concatenate(x) for x in zip(*parts))
-            bucket = (keys % np.uint64(4 * salts)).astype(np.int64)
-            turn = np.lexsort((keys, bucket))
+            bucket = (keys["hi"] % np.uint64(4 * salts)).astype(np.int64)
+            turn = np.lexsort((keys["lo"], keys["hi"], bucket))
             keys, digests, places, bucket = keys[turn], digests[turn], places[turn], bucket[turn]
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             out.extend((anchor, None, None, None, int(bucket[a]), salt, keys[a:b].tobytes(), digests[a:b].tobytes(), places[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]))
@@ -270,10 +285,10 @@ def merged(packed: DataFrame) -> DataFrame:
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(b, dtype=np.uint64) for b in pdf["keys"]]
+        keys = [np.frombuffer(b, dtype=_PAIR) for b in pdf["keys"]]
         out = []
         for own, digests, places in zip(range(len(keys)), pdf["digests"], pdf["places"]):
-            there = np.sort(np.concatenate([k for i, k in enumerate(keys) if i != own] or [np.zeros(0, dtype=np.uint64)]))
+            there = np.sort(np.concatenate([k for i, k in enumerate(keys) if i != own] or [np.zeros(0, dtype=_PAIR)]))
             if len(there):
                 at = np.minimum(np.searchsorted(there, keys[own]), len(there) - 1)
                 hit = there[at] == keys[own]
@@ -285,36 +300,38 @@ def merged(packed: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (row, __doc, n, sha, times), the texts (row, text) that may lose a part, and their repeated
+    """All rows (row, doc_id, n, sha, times), the texts (row, text) that may lose a part, and their repeated
     windows (row, from, to). `times` says how many rows have the text.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
-    scan = checkpointed(scanned(rows).withColumn("row", F.monotonically_increasing_id()))
-    times = scan.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("times"))
-    known = checkpointed(scan.select("row", "__doc", "hi", "lo", "n", "sha").join(times, ["hi", "lo"]))
+    lean(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    # Two hashes that the JVM makes name a text wherever it is read; a row is found again by its id and its text.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("__doc"), text.alias("text"), F.xxhash64(text).alias("hi"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("lo"))
+    scan = stored(scanned(rows).withColumn("row", F.monotonically_increasing_id()))
+    # Tables that are joined by a key that may be hot are kept first: Spark can split such a join then.
+    copies = checkpointed(scan.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("head")).filter("times > 1"))
+    known = scan.select("row", "__doc", "hi", "lo", "n", "sha").join(copies, ["hi", "lo"], "left")
+    known = checkpointed(known.select("row", "__doc", "hi", "lo", "n", "sha", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("head", "row").alias("head")))
     zipped = F.explode(F.arrays_zip("anchors", "digests", "firsts", "numbers")).alias("x")
     runs = scan.select("row", zipped).select("row", F.col("x.anchors").alias("anchor"), F.col("x.digests").alias("digest"), F.col("x.firsts").alias("at"), F.col("x.numbers").alias("number"))
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    inner = F.col("number") < 0
+    again = checkpointed(runs.groupBy("anchor").agg(F.sum(F.when(inner, 2).otherwise(1)).alias("c")).filter("c > 1").select("anchor"))
     runs = checkpointed(runs.join(again, "anchor"))
-    kinds = checkpointed(runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("places"), F.min("row").alias("row")))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    spot = F.struct("row", "at", "number")
+    kinds = checkpointed(runs.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("places"), F.min(spot).alias("first")))
+    alone = F.max(((F.col("places") == 1) & (F.col("first.number") < 0)).cast("int"))
+    several = checkpointed(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), alone.alias("moves")).filter("kinds > 1 or moves = 1"))
     salts = F.ceil(F.col("kinds") / F.lit(limit)).cast("int")
-    asked = kinds.join(several, "anchor").select("anchor", "digest", "row", salts.alias("salts"), F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"))
-    # Where a kind's first run lies in its row.
-    spot = runs.groupBy("anchor", "digest", "row").agg(F.min("at").alias("at"), F.min("number").alias("number"))
-    asked = asked.join(spot, ["anchor", "digest", "row"])
-    lists = asked.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", "number", "salts", "salt")).alias("runs"))
-    named = known.select("row", F.col("__doc").alias("d"), "hi", "lo", "times").join(runs.select("row").distinct(), "row").join(lists, "row", "left")
-    named = named.filter((F.col("times") == 1) | F.col("runs").isNotNull())
-
-    @F.pandas_udf("boolean")
-    def same(text: pd.Series, hi: pd.Series, lo: pd.Series) -> pd.Series:
-        return pd.Series([_hashes(_bytes(t)) == (a, b) for t, a, b in zip(text, hi, lo)], dtype=bool)
-
-    # The one time that texts are shuffled; those that matter are kept for both uses.
-    texts = rows.join(named, F.col("__doc") == F.col("d")).filter(same("text", "hi", "lo"))
-    texts = stored(texts.select("row", "__doc", "text", "times", "runs"))
-
+    asked = kinds.join(several, "anchor").select("anchor", "digest", "first.*", salts.alias("salts"), F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"))
+    lists = asked.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "at", F.abs("number").alias("number"), "salts", "salt")).alias("runs"))
+    # Of equal texts one is read, for its runs; a text of its own is read too where a run of it occurs again.
+    named = known.join(runs.select("row").distinct(), "row", "left_semi").join(lists, "row", "left")
+    named = named.filter((F.col("times") == 1) | F.col("runs").isNotNull()).select("row", F.col("__doc").alias("d"), F.col("hi").alias("h"), F.col("lo").alias("l"), "times", "runs")
+    # The one time that all texts are shuffled; those that matter are kept for both uses.
+    texts = rows.join(named, (F.col("__doc") == F.col("d")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
+    texts = stored(texts.select("row", "text", "times", "runs"))
+
+    @released
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -324,14 +341,15 @@ def repeats(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame,
             yield pd.DataFrame(out, columns=["anchor", "salt", "salts", "digest", "data"])
 
     pieces = texts.filter("runs is not null").select("text", "runs").mapInPandas(cut, "anchor long, salt int, salts int, digest long, data binary")
-    shards = checkpointed(sorted_shards(pieces))
+    shards = stored(sorted_shards(pieces))
     inside = shards.filter("bucket is null").select("anchor", "digest", "from", "to")
     inside = inside.unionByName(merged(shards.filter("bucket is not null").select("anchor", "bucket", "keys", "digests", "places")))
-    # A kind with several places is repeated as a whole; of the others the shards' windows are.
-    whole = runs.join(kinds.filter("places > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("at").alias("from"), F.expr("at + number - 1").alias("to"))
-    part = inside.join(kinds.filter("places = 1").select("anchor", "digest"), ["anchor", "digest"]).distinct()
-    part = runs.join(part, ["anchor", "digest"]).select("row", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
-    return known, texts.filter("times = 1").select("row", "__doc", "text"), whole.unionByName(part)
+    # A kind with several places is repeated as a whole; of the others, which have one, the shards' windows are.
+    whole = runs.join(kinds.filter("places > 1").select("anchor", "digest"), ["anchor", "digest"]).select("row", F.col("at").alias("from"), F.expr("at + abs(number) - 1").alias("to"))
+    single = kinds.filter("places = 1").select("anchor", "digest", "first.row", "first.at")
+    part = single.join(inside.distinct(), ["anchor", "digest"]).select("row", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
+    rest = known.select("row", F.nullif("__doc", F.lit(_NONE)).alias("doc_id"), "n", "sha", "times")
+    return rest, texts.filter("times = 1").select("row", "text"), whole.unionByName(part)
 
 
 def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -349,33 +367,31 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, removed (byte spans) and kept_sha256 of every row of docs (doc_id, text)."""
     known, texts, windows = repeats(docs, limit)
     lists = windows.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("windows")).withColumnRenamed("row", "its")
-    none = F.lit(_NONE)
-    full = (F.col("times") > 1) & (F.col("n") >= LENGTH)
-    empty = hashlib.sha256(b"").hexdigest()
-    nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    rest = known.join(texts.select("row"), "row", "left_anti").select(
-        F.nullif("__doc", none).alias("doc_id"), F.col("n").alias("n_bytes"),
-        F.when(full, F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")))).otherwise(nothing).alias("removed"),
-        F.when(full, F.lit(empty)).otherwise(F.col("sha")).alias("kept_sha256"),
-    )
 
+    @released
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, own in zip(pdf["__doc"], pdf["text"], pdf["windows"]):
+            for row, text, own in zip(pdf["its"], pdf["text"], pdf["windows"]):
                 data = _bytes(text)
-                found = spans([(w["from"], w["to"]) for w in own]) if own is not None else []
+                found = spans([(w["from"], w["to"]) for w in own])
                 kept, at = hashlib.sha256(), 0
                 for a, b in found:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                out.append((doc, len(data), [{"start": a, "stop": b} for a, b in found], kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "removed", "kept_sha256"])
+                out.append((row, [{"start": a, "stop": b} for a, b in found], kept.hexdigest()))
+            yield pd.DataFrame(out, columns=["its", "part", "part_sha"])
 
-    some = texts.join(lists, F.col("row") == F.col("its"), "left").select("__doc", "text", "windows")
-    some = some.mapInPandas(reduced, "doc long, n_bytes long, removed array<struct<start:int,stop:int>>, kept_sha256 string")
-    return rest.unionByName(some.select(F.nullif("doc", none).alias("doc_id"), "n_bytes", "removed", "kept_sha256"))
+    some = texts.join(lists, F.col("row") == F.col("its")).select("its", "text", "windows").mapInPandas(reduced, "its long, part array<struct<start:int,stop:int>>, part_sha string")
+    full = (F.col("times") > 1) & (F.col("n") >= LENGTH)
+    nothing = F.array().cast("array<struct<start:int,stop:int>>")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")))
+    return known.join(some, F.col("row") == F.col("its"), "left").select(
+        "doc_id", F.col("n").alias("n_bytes"),
+        F.when(full, whole).otherwise(F.coalesce("part", nothing)).alias("removed"),
+        F.when(full, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("part_sha", "sha")).alias("kept_sha256"),
+    )
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
