@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import rng
 
+#: The names of the five properties and their defaults.
 DEFAULTS = {"k": 3, "epsilon": 10.0, "randmarg": 3.0, "sigma": 5, "stochparams": True}
 
 

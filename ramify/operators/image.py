@@ -105,6 +105,3 @@ def transpose(volume: DataFrame) -> DataFrame:
     return volume.withColumnsRenamed({"z": "page", "x": "row", "y": "column"})
 
 
-def top_planes(volume: DataFrame, n: int) -> DataFrame:
-    """The first n planes z of each volume."""
-    return volume.withColumn("__k", F.dense_rank().over(Window.partitionBy("volume_id").orderBy("z"))).filter(F.col("__k") <= n).drop("__k")

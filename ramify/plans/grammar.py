@@ -106,13 +106,23 @@ def branch(grown: DataFrame, compat: bool = True) -> DataFrame:
     return now.select(*PARAMS, F.concat("path", "side.step").alias("path"), (F.col("left") - 1).alias("left"), F.col("side.d").alias("d"), "x", "y", "z", F.col("side.alpha").alias("alpha"), F.col("side.beta").alias("beta"), "diam")
 
 
-def stems(params: DataFrame, depth: int = 14, compat: bool = True) -> DataFrame:
+#: At this level a network has 16 open branches, which are then dealt over all tasks.
+SPREAD = 4
+
+
+def stems(params: DataFrame, depth: int | None = None, compat: bool = True) -> DataFrame:
     """network_id, path, level, d and p (six points) of every stem: windows of the network's polyline.
 
-    depth: the largest n of params. A level is computed once and kept, so a plan never holds two.
+    The number of levels is the largest n of params; depth, where given, must be that or more. A level is computed once
+    and kept, so a plan never holds two.
     """
+    most = params.agg(F.max("n")).first()[0] or 0
+    if depth is not None and depth < most:
+        raise ValueError(f"networks of {most} levels are deeper than {depth}")
     frontier, found = roots(params).filter("left >= 3"), []
-    for level in range(max(1, depth - 2)):
+    for level in range(max(1, most - 2)):
+        if level == SPREAD:
+            frontier = frontier.repartition("network_id", "path")
         grown = checkpointed(grow(frontier, compat))
         found.append(grown.select("network_id", "path", F.lit(level).alias("level"), "left", "d", "p"))
         frontier = branch(grown, compat).filter("left >= 3")

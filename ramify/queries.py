@@ -6,11 +6,13 @@ gaps from events, short segments from lineitem, volumes from part, parameters fr
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import physics, rng, vector
 from .operators import image, paths, voxel
 from .operators.turtle import turtle
@@ -116,13 +118,18 @@ _VOLUMES = "vol AS (SELECT p_partkey // 100 volume_id, CAST((p_partkey % 100) //
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same places with 1 for large part sizes, in volumes that hold both values."""
+    """Places with 1 for large part sizes, in volumes that hold both values."""
+    binary = sizes(spark, sf_dir)
+    both = binary.groupBy("volume_id").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a = 0 and b = 1").select("volume_id")
+    return binary.join(both, "volume_id")
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all volumes with 1 for large part sizes."""
     rows = table(spark, sf_dir, "part")
     size = rows.select("p_partkey", (F.col("p_size") > 45).cast("double").alias("value"))
     places = volumes(spark, sf_dir).drop("value").withColumn("p_partkey", F.col("volume_id") * 100 + F.col("z") * 25 + F.col("y") * 5 + F.col("x"))
-    binary = places.join(size, "p_partkey").drop("p_partkey")
-    both = binary.groupBy("volume_id").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a = 0 and b = 1").select("volume_id")
-    return binary.join(both, "volume_id")
+    return places.join(size, "p_partkey").drop("p_partkey")
 
 
 _MASKS = """bin AS (SELECT p_partkey // 100 volume_id, CAST((p_partkey % 100) // 25 AS INT) z, CAST((p_partkey % 25) // 5 AS INT) y, CAST(p_partkey % 5 AS INT) x, (p_size > 45)::INT::DOUBLE AS value FROM part),
@@ -383,19 +390,19 @@ def _area_sql() -> str:
         return f"SELECT {others}, d AS {c}, {then.format(v=v)} AS value FROM {source}, (SELECT CAST(unnest(range(0, {m})) AS INT) d) WHERE {w} > 1e-9 GROUP BY {others}, d"
 
     high = "CASE WHEN {v} > 0.1 THEN 1.0::DOUBLE ELSE {v} END"
-    return f"WITH {_MASKS}, s1 AS ({shrink('mask', 'x', 5, 3, '{v}')}), s2 AS ({shrink('s1', 'y', 5, 2, high)}), s3 AS ({shrink('s2', 'z', 4, 3, high)}) SELECT volume_id, z, y, x, round(value, 9) AS value FROM s3"
+    return f"WITH {_MASKS}, s1 AS ({shrink('bin', 'x', 5, 3, '{v}')}), s2 AS ({shrink('s1', 'y', 5, 2, high)}), s3 AS ({shrink('s2', 'z', 4, 3, high)}) SELECT volume_id, z, y, x, round(value, 9) AS value FROM s3"
 
 
 @query(_area_sql())
 def resize_area(spark, sf_dir):
     """Masks shrunk by overlap."""
-    return image.resize_area(masks(spark, sf_dir), (4, 5, 5), (3, 2, 3)).withColumn("value", _R9(F.col("value")))
+    return image.resize_area(sizes(spark, sf_dir), (4, 5, 5), (3, 2, 3)).withColumn("value", _R9(F.col("value")))
 
 
-@query(f"WITH {_MASKS} SELECT volume_id, z, y, x, CAST(CASE WHEN value = 1 THEN -1 ELSE 0 END AS TINYINT) AS value FROM mask")
+@query(f"WITH {_MASKS} SELECT volume_id, z, y, x, CAST(CASE WHEN value = 1 THEN -1 ELSE 0 END AS TINYINT) AS value FROM bin")
 def int8_wrap(spark, sf_dir):
     """Masks as signed bytes."""
-    return masks(spark, sf_dir).withColumn("value", image.int8_wrap(F.col("value")))
+    return sizes(spark, sf_dir).withColumn("value", image.int8_wrap(F.col("value")))
 
 
 @query(f'WITH {_VOLUMES} SELECT volume_id, z page, y "column", x "row", value FROM vol')
@@ -419,7 +426,7 @@ def plot_segments(spark, sf_dir):
 @query("SELECT s_suppkey network_id, CAST(pow(2, s_suppkey % 3 + 4) - 1 AS BIGINT) stems, CAST(5 * (pow(2, s_suppkey % 3 + 4) - 1) AS BIGINT) steps FROM supplier")
 def grammar_sizes(spark, sf_dir):
     """Stems and steps of every network's tree."""
-    found = grammar.stems(parameters(spark, sf_dir), 8)
+    found = grammar.stems(parameters(spark, sf_dir))
     return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("stems"), F.sum(F.size("p") - 1).cast("long").alias("steps"))
 
 
@@ -458,37 +465,134 @@ def find_vessel(spark, sf_dir):
     return paths.run_of(paths.distinct_first(paths.gap_segments(polylines(spark, sf_dir))), 0)
 
 
-@query()
+def _points(rows: DataFrame, digits: int = 4) -> DataFrame:
+    return rows.select("network_id", "run", F.col("window").alias("win"), "pos", *[_R9(F.col(c), digits).alias(c) for c in paths.POINT])
+
+
+@query(f"{oracles.nodes(3)} {oracles.stem_points()}")
 def grammar_nodes(spark, sf_dir):
     """Stems of every network's tree, point by point."""
-    return grammar.stem_windows(grammar.stems(parameters(spark, sf_dir), 8))
+    return _points(grammar.stem_windows(grammar.stems(parameters(spark, sf_dir))))
 
 
-@query()
-def grammar_programs(spark, sf_dir):
-    """Every network's tree as text."""
-    return grammar.programs(parameters(spark, sf_dir))
+def drawn_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of 6 to 14 levels per nation, its parameters drawn as for whole runs."""
+    rows = params.drawn(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("network_id")), 5)
+    return rows.withColumn("n", (F.col("network_id") % 9 + 6).cast("int"))
 
 
-@query()
+def _drawn_sql() -> str:
+    u = lambda n: rng.uniform_sql("'5'", "CAST(n_nationkey AS VARCHAR)", "'params'", f"'{n}'")
+    return f"""SELECT CAST(n_nationkey AS BIGINT) network_id, 5 seed, CAST(n_nationkey % 9 + 6 AS INT) n, 20.0 + 5.0 * {rng.normal_sql(u('d0a'), u('d0b'))} d,
+ 4.0::DOUBLE + {u('epsilon')} * 6.0::DOUBLE ep, 2.0::DOUBLE + {u('randmarg')} * 2.0::DOUBLE mg FROM nation"""
+
+
+@query(f"{oracles.nodes(3, _drawn_sql())} {oracles.stem_points()}")
+def drawn_nodes(spark, sf_dir):
+    """Stems of trees of 6 to 14 levels with drawn diameters, lengths and margins."""
+    return _points(grammar.stem_windows(grammar.stems(drawn_networks(spark, sf_dir))))
+
+
+def _states(rows: DataFrame, digits: int) -> DataFrame:
+    """State rows with rounded numbers; -1 stands for a gap's."""
+    names = [c for c in rows.columns if c not in ("network_id", "seq", "is_gap")]
+    return rows.select("network_id", "seq", "is_gap", *[F.when(F.col("is_gap"), F.lit(-1.0)).otherwise(_R9(F.col(c), digits)).alias(c) for c in names])
+
+
+@query(f"{oracles.nodes()} {oracles.state_rows()}")
 def turtle_rows(spark, sf_dir):
     """State rows of every network's text."""
-    return turtle(grammar.programs(parameters(spark, sf_dir)))
+    return _states(turtle(grammar.programs(parameters(spark, sf_dir))), 4)
+
+
+@query(oracles.commands())
+def turtle_commands(spark, sf_dir):
+    """State rows of a text that every user's events spell: all commands, nested brackets, negative operands."""
+    e = F.col("event_id")
+    tenth = lambda c: F.format_string("%.1f", c / F.lit(10.0))
+    long, wide, angle = tenth(e % 90 + 10), tenth(e % 40 + 10), F.format_string("%.1f", (e % 180) + F.lit(0.5))
+    says = lambda *x: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in x])
+    step, turn = says("f(", long, ",", wide, ")"), lambda sign: says(sign, "(", angle, ")")
+    pieces = [
+        step, turn("+"), turn("-"), turn("/"), says("[", turn("+"), step, "]"),
+        says("[", step, "[", turn("/"), "f(", long, ")]", turn("-"), step, "]"), F.lit("D"), says("f(-", long, ",", wide, ")"),
+    ]
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.get(F.array(*pieces), (e % 8).cast("int")).alias("piece"))
+    texts = rows.groupBy(F.col("user_id").alias("network_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", "piece"))).alias("p"))
+    texts = texts.select("network_id", F.array_join(F.col("p.piece"), "").alias("program"), F.lit(5.0).alias("d0"))
+    return _states(turtle(texts), 5)
+
+
+@query(oracles.rule_texts())
+def rule_texts(spark, sf_dir):
+    """Every rule's text of one level (S and B: of two as well) as its letters and its numbers in order."""
+    rows, number = parameters(spark, sf_dir), r"-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?"
+    parts = []
+    for name in ("F", "S", "S2", "D", "G", "A", "B", "B2", "R", "I"):
+        found = grammar.programs(rows.withColumn("n", F.lit(int(name[1:] or 1))), name[0])
+        shape, values = F.regexp_replace("program", number, "#"), F.regexp_extract_all("program", F.lit(number), F.lit(0))
+        parts.append(found.select("network_id", F.lit(name).alias("rule"), shape.alias("shape"), F.posexplode(values).alias("k", "v")))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.select("network_id", "rule", "shape", "k", _R9(F.col("v").cast("double"), 5).alias("value"))
+
+
+@query(f"{oracles.nodes(3)} SELECT network_id, pos, x, y, z, diam FROM ({oracles.stem_points()})")
+def text_windows(spark, sf_dir):
+    """Windows of every network's text, by the interpreter: the points of its stems."""
+    return _points(network.program_windows(grammar.programs(parameters(spark, sf_dir)))).drop("run", "win")
+
+
+@query(f"{oracles.voxels(TISSUE)} SELECT * FROM voxels")
+def network_voxels(spark, sf_dir):
+    """Voxels of every network, from its parameters."""
+    return network.network_voxels(parameters(spark, sf_dir), TISSUE)
+
+
+@query(f"{oracles.voxels(TISSUE)} SELECT network_id, CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM voxels")
+def network_stacks(spark, sf_dir):
+    """Voxels of every network's text as stacks of pages, read from the pages again."""
+    stacks = volumes_of.tiff_stacks(network.program_voxels(parameters(spark, sf_dir), "F", TISSUE), TISSUE)
+    pages = volumes_of.planes(stacks.select(F.col("network_id").cast("string").alias("path"), "content"))
+    # A page's rows are x and its columns y; 0 is the least value of a volume, which a voxel has.
+    return pages.filter("value = 0").select(F.col("volume_id").cast("long").alias("network_id"), "z", F.col("x").alias("y"), F.col("y").alias("x"))
+
+
+@query(f"{oracles.voxels(TISSUE)} SELECT network_id, count(*) dark, {TISSUE[0] * TISSUE[1] * TISSUE[2]} - count(*) light, CAST(sum(x + {TISSUE[0]} * (y + {TISSUE[1]} * z)) AS BIGINT) places FROM voxels GROUP BY network_id")
+def load_volume(spark, sf_dir):
+    """Volumes read from pages: how many places are 0 and 255 of each, and where the dark ones are."""
+    stacks = volumes_of.tiff_stacks(network.network_voxels(parameters(spark, sf_dir), TISSUE), TISSUE)
+    pages = volumes_of.planes(stacks.select(F.col("network_id").cast("string").alias("path"), "content"))
+    place = F.col("y") + TISSUE[0] * (F.col("x") + TISSUE[1] * F.col("z"))
+    return pages.groupBy(F.col("volume_id").cast("long").alias("network_id")).agg(
+        F.sum((F.col("value") == 0).cast("long")).alias("dark"), F.sum((F.col("value") == 255).cast("long")).alias("light"), F.sum(F.when(F.col("value") == 0, place)).alias("places")
+    )
+
+
+@query(f"WITH {_POINTS}, kept AS (SELECT * FROM points WHERE NOT gap), last AS (SELECT network_id, max(seq) + 1 AS behind FROM kept GROUP BY network_id) SELECT network_id, seq, false AS is_gap, x, y, z, diam FROM kept UNION ALL SELECT network_id, behind + k, k = 2, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE 2.0 END::DOUBLE FROM last, (SELECT unnest([0, 1, 2]) k)")
+def generate_points_gap(spark, sf_dir):
+    """Two points and a gap put behind every polyline; -1 stands for a gap's numbers."""
+    points = polylines(spark, sf_dir).filter(~F.isnan("x"))
+    k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(2)]))
+    more = points.select("network_id").distinct().select("network_id", k.alias("seq"))
+    more = more.select("network_id", "seq", *[(F.col("seq") + 0.5).cast("double").alias(c) for c in "xyz"], F.lit(2.0).alias("diam"))
+    gap = paths.is_gap()
+    return paths.generate_points(points, more).select("network_id", "seq", gap.alias("is_gap"), *[F.when(gap, F.lit(-1.0)).otherwise(F.col(c)).alias(c) for c in paths.POINT])
 
 
 @query()
-def other_grammars(spark, sf_dir):
-    """State rows of the texts of the rule that begins with a stem and a fork of other rules."""
-    return turtle(grammar.programs(parameters(spark, sf_dir), "I"))
+def whole_run(spark, sf_dir):
+    """Networks of 6 to 14 levels in a tissue of 512 x 512 x 140, as whole runs have them: voxels and their bounds."""
+    found = network.network_voxels(drawn_networks(spark, sf_dir))
+    return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("voxels"), *[f(c).alias(f"{c}_{e}") for c in "xyz" for f, e in ((F.min, "lo"), (F.max, "hi"))])
 
 
 @query()
-def network_stacks(spark, sf_dir):
-    """Voxels of every network's text as stacks of pages."""
-    return volumes_of.tiff_stacks(network.program_voxels(parameters(spark, sf_dir), "F", TISSUE), TISSUE)
+def grammar_programs(spark, sf_dir):
+    """Every network's tree as text."""
+    return grammar.programs(parameters(spark, sf_dir))
 
 
 @query()
-def network_voxels(spark, sf_dir):
-    """Voxels of every network, from its parameters."""
-    return network.network_voxels(parameters(spark, sf_dir), TISSUE, 8)
+def other_grammars(spark, sf_dir):
+    """State rows of the texts of the rule that begins with a stem and a fork of other rules."""
+    return turtle(grammar.programs(parameters(spark, sf_dir), "I"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.network import network_voxels
 
 
-def write_networks(params: DataFrame, path: str, checkpoint: str, tissue: tuple[int, int, int], depth: int = 14) -> StreamingQuery:
+def write_networks(params: DataFrame, path: str, checkpoint: str, tissue: tuple[int, int, int], depth: int | None = None) -> StreamingQuery:
     """Runs params (a streaming frame) batch by batch; a batch that is run again overwrites its own folder."""
 
     def batch(rows: DataFrame, number: int) -> None:

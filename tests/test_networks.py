@@ -124,6 +124,38 @@ def test_frontier_equals_interpreter(spark, n, epsilon):
     assert sorted(map(key, stems)) == sorted(map(key, windows))
 
 
+def test_levels_come_from_the_parameters(spark):
+    rows = given_params(spark, 8, 6.0).limit(2).withColumn("n", F.when(F.col("network_id") == 0, 8).otherwise(10).cast("int"))
+    got = {r["network_id"]: r["count"] for r in grammar.stems(rows).groupBy("network_id").count().collect()}
+    assert got == {0: 63, 1: 255}
+    with pytest.raises(ValueError):
+        grammar.stems(rows, 8)
+
+
+def discs_by_hand(walk, tissue):
+    out = set()
+    for n, vx, vy, vz, axis, r in walk:
+        if not 0 <= (vx, vy, vz)[axis] < tissue[axis]:
+            continue
+        for i in range(-r, r + 1):
+            for j in range(-r, r + 1):
+                if i * i + j * j <= r * r:
+                    p = [(vx, vy + i, vz + j), (vx + i, vy, vz + j), (vx + i, vy + j, vz)][axis]
+                    if all(0 <= c < t for c, t in zip(p, tissue)) and all(1 <= c - 1 <= t - 2 for c, t in zip(p, tissue)):
+                        out.add((n, *(c - 1 for c in p)))
+    return out
+
+
+@pytest.mark.parametrize("tissue", [(20, 24, 16), (20, 24, 64), (12, 14, 150)])
+def test_discs_by_lines(spark, tissue):
+    rng = np.random.RandomState(3)
+    ends = [(int(k % 3), *[int(rng.randint(-3, t + 3)) for t in tissue], *[int(rng.randint(-3, t + 3)) for t in tissue], int(rng.randint(-1, 6))) for k in range(40)]
+    segments = spark.createDataFrame(ends, "network_id long, x0 long, y0 long, z0 long, x1 long, y1 long, z1 long, r int")
+    walk = [(w["network_id"], w["vx"], w["vy"], w["vz"], w["axis"], w["r"]) for w in voxel.line_walk(segments).collect()]
+    got = [(v["network_id"], v["x"], v["y"], v["z"]) for v in voxel.voxelize(segments, tissue).collect()]
+    assert len(got) == len(set(got)) and set(got) == discs_by_hand(walk, tissue)
+
+
 def test_turtle_row_law(spark):
     rows = turtle.turtle(grammar.programs(given_params(spark, 6, 6.0)))
     assert rows.filter("network_id = 0").count() == 504
