@@ -36,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def lean(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, where it has Spark's own sizes; sizes that a user chose stay."""
+    """Smaller Arrow batches for this session, where it has Spark's own sizes; sizes that a user chose stay.
+
+    Called where an operator begins, it also removes what earlier ones have stored and nobody holds.
+    """
+    swept(spark)
     for key, usual, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
@@ -65,11 +69,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables in the shared folder: their paths, and weak references to the file lists that every plan over them holds.
+_tables: dict[str, tuple] = {}
+
+
+def swept(spark: SparkSession) -> None:
+    """Removes stored tables that no plan refers to any more, as Spark does with checkpoints."""
+    context = spark.sparkContext
+    gc.collect()
+    for path, (held, owner) in list(_tables.items()):
+        if owner is not context:
+            del _tables[path]
+        elif held.get() is None:
+            del _tables[path]
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared folder, for what is read again by column."""
+    """df as a compressed table in the shared folder, for what is read again by column.
+
+    It goes once no plan refers to it (at the next table's turn), or when the driver ends.
+    """
+    swept(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _tables[path] = context._jvm.java.lang.ref.WeakReference(files), context
+    return out
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as one struct column `row`: names that an operator adds beside it clash with none of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The columns of the struct `row`; those of `more` replace or follow them."""
+    own = [more.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+    return rows.select(*own, *[v.alias(k) for k, v in more.items() if k not in columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

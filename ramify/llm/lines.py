@@ -7,14 +7,15 @@ nearby lines alone and settle again after an insertion, and chunks hold every li
 chunks every line and its next are a unit of their own, treated alike, so that a run of two or more lines
 goes wherever the boundaries fall. Units are found by hash; the texts of those that several documents hold
 are then compared, so what is equal is equal byte for byte. Of a unit that several documents hold the one
-with the smallest doc_id keeps it, and within a document the first place does. All other places lose these
+with the smallest doc_id keeps it (among rows that share an id, the one whose text has the smallest hash, then one of
+those whose texts are equal), and within a document the first place does. All other places lose these
 lines; of equal lines one at least stays.
 
 Edge cases: a null text stays null and has no lines; an empty text stays empty; texts without a letter or
 digit lose nothing, nor do texts of one line; copies of any other text lose every line; a document may
 lose all its lines, its text is then empty; what overlaps its own first place stays; rows that share a
-doc_id keep what that id keeps; null ids come last; an empty table gives an empty table; other columns
-are carried along untouched.
+doc_id, or have none, are documents of their own, and of repeated rows one keeps its lines; null ids come last; an
+empty table gives an empty table; other columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, packed, released, stored, table, unpacked
 
 WINDOW, EVERY, LEAST = 2, 2, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,65 +80,84 @@ def chunks(lines: list[str], digest: Digest = xxhash.xxh3_128_intdigest) -> Iter
             yield a, b, body, (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def repeated(docs: DataFrame, digest: Digest) -> DataFrame:
-    """__doc and the hashes of its chunks that other documents hold too, of docs (__doc, text)."""
+#: What tells rows apart: the id and two hashes of the text. Rows that are equal in these are copies.
+_KEY = ["doc", "h1", "h2"]
+_KEYED = ", ".join(f"{c} long" for c in _KEY)
 
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as a struct, with their texts and keys."""
+    text = F.col("row.text")
+    doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return packed(docs).select("row", text.alias("text"), doc.alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("h2"))
+
+
+def repeated(rows: DataFrame, digest: Digest) -> DataFrame:
+    """Keys and the hashes of the chunks that other documents hold too, of rows (text and key)."""
+
+    @released
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["__doc"], pdf["text"]):
-                out.extend((doc, hi, lo) for hi, lo in {c[3:] for c in chunks(text.split("\n"), digest)} if text)
-            yield pd.DataFrame(out, columns=["__doc", "hi", "lo"]).astype("int64")
+            for doc, h1, h2, text in zip(*(pdf[c] for c in _KEY), pdf["text"]):
+                out.extend((doc, h1, h2, hi, lo) for hi, lo in {c[3:] for c in chunks(text.split("\n"), digest)})
+            yield pd.DataFrame(out, columns=[*_KEY, "hi", "lo"]).astype("int64")
 
-    places = docs.filter("text is not null").mapInPandas(found, "__doc long, hi long, lo long")
-    first = places.groupBy("hi", "lo").agg(F.min("__doc").alias("first"), F.max("__doc").alias("last")).filter("first < last").drop("last")
-    gone = (F.col("__doc") > F.col("first")).alias("gone")
-    return places.join(first, ["hi", "lo"]).groupBy("__doc").agg(F.collect_set(F.struct("hi", "lo", gone)).alias("__held"))
+    places = rows.filter("text is not null").select(*_KEY, "text").mapInPandas(found, f"{_KEYED}, hi long, lo long")
+    key = F.struct(*_KEY)
+    first = places.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first < last").drop("last")
+    gone = (key > F.col("first")).alias("gone")
+    return places.join(first, ["hi", "lo"]).groupBy(*_KEY).agg(F.collect_set(F.struct("hi", "lo", gone)).alias("held"))
 
 
-def unequal(rows: DataFrame, digest: Digest) -> dict[tuple[int, int], dict[str, int]]:
-    """Texts and first holders of the chunks in rows (__doc, text, __held) that share a hash but not their bytes."""
+def unequal(rows: DataFrame, digest: Digest) -> dict[tuple[int, int], dict[str, tuple]]:
+    """Texts and first holders of the chunks in rows (text, key, held) that share a hash but not their bytes."""
 
+    @released
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, held in zip(pdf["__doc"], pdf["text"], pdf["__held"]):
+            for doc, h1, h2, text, held in zip(*(pdf[c] for c in _KEY), pdf["text"], pdf["held"]):
                 held = {(g["hi"], g["lo"]) for g in held}
-                out.extend((doc, hi, lo, body) for body, hi, lo in {c[2:] for c in chunks(text.split("\n"), digest)} if (hi, lo) in held)
-            yield pd.DataFrame(out, columns=["__doc", "hi", "lo", "body"])
+                out.extend((doc, h1, h2, hi, lo, body) for body, hi, lo in {c[2:] for c in chunks(text.split("\n"), digest)} if (hi, lo) in held)
+            yield pd.DataFrame(out, columns=[*_KEY, "hi", "lo", "body"])
 
-    bodies = rows.filter("__held is not null").select("__doc", "text", "__held").mapInPandas(found, "__doc long, hi long, lo long, body string")
+    bodies = rows.filter("held is not null and text is not null").select(*_KEY, "text", "held").mapInPandas(found, f"{_KEYED}, hi long, lo long, body string")
     clash = bodies.select("hi", "lo", "body").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo")
     known = clash.collect()  # with 128 bits, none
-    out: dict[tuple[int, int], dict[str, int]] = {(r["hi"], r["lo"]): {} for r in known}
+    out: dict[tuple[int, int], dict[str, tuple]] = {(r["hi"], r["lo"]): {} for r in known}
     if out:
         clash = rows.sparkSession.createDataFrame(known, clash.schema)
-        for r in bodies.join(F.broadcast(clash), ["hi", "lo"]).groupBy("hi", "lo", "body").agg(F.min("__doc").alias("first")).collect():
-            out[r["hi"], r["lo"]][r["body"]] = r["first"]
+        for r in bodies.join(F.broadcast(clash), ["hi", "lo"]).groupBy("hi", "lo", "body").agg(F.min(F.struct(*_KEY)).alias("first")).collect():
+            out[r["hi"], r["lo"]][r["body"]] = tuple(r["first"])
     return out
 
 
-def deduplicated(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) -> DataFrame:
-    """docs with text reduced, and with __lines, __removed (lines) and __spans (removed runs of lines)."""
-    last = F.lit((1 << 63) - 1)
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), last))
-    held = repeated(rows.select("__doc", "text"), digest).withColumnRenamed("__doc", "__its")
-    joined = stored(rows.join(held, F.col("__doc") == F.col("__its"), "left").drop("__its"))
+def reduced_rows(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) -> DataFrame:
+    """The rows of docs as a struct `row`, with done: their text reduced, lines, removed (lines) and spans (removed runs)."""
+    lean(docs.sparkSession)
+    rows = keyed(docs)
+    held = repeated(rows, digest).select(*[F.col(c).alias(f"its_{c}") for c in _KEY], "held")
+    same = [F.col(c) == F.col(f"its_{c}") for c in _KEY]
+    joined = rows.join(held, same, "left").drop(*[f"its_{c}" for c in _KEY])
+    # Copies of a row meet by the keys of the join; all but one of them lose what they have.
+    copy = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.lit(0)))
+    joined = stored(joined.withColumn("copy", copy))
     odd = unequal(joined, digest)
 
     @F.pandas_udf("text string, lines long, removed long, spans string")
-    def reduced(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for docs, texts, helds in batches:
+    def reduced(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for docs, first, second, copies, texts, helds in batches:
             out = []
-            for doc, text, held in zip(docs, texts, helds):
+            for doc, h1, h2, copy, text, held in zip(docs, first, second, copies, texts, helds):
                 if text is None:
                     out.append((None, 0, 0, ""))
                     continue
                 lines = text.split("\n")
                 gone = {(g["hi"], g["lo"]) for g in held if g["gone"]} if held is not None else set()
-                keep, seen = np.ones(len(lines), dtype=bool), {}
+                keep, seen, key = np.ones(len(lines), dtype=bool), {}, (doc, h1, h2)
                 for a, b, body, hi, lo in chunks(lines, digest):
-                    elsewhere = odd[hi, lo].get(body, doc) < doc if (hi, lo) in odd else (hi, lo) in gone
+                    elsewhere = copy > 1 or (odd[hi, lo].get(body, key) < key if (hi, lo) in odd else (hi, lo) in gone)
                     # What overlaps its own first place is no other place.
                     if elsewhere or seen.setdefault(body, b) <= a:
                         keep[a:b] = False
@@ -146,15 +166,21 @@ def deduplicated(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) ->
                 out.append(("\n".join(x for x, k in zip(lines, keep) if k) if spans else text, len(lines), int((~keep).sum()), ",".join(spans)))
             yield pd.DataFrame(out, columns=["text", "lines", "removed", "spans"])
 
-    done = joined.withColumn("__r", reduced("__doc", "text", "__held")).drop("__doc", "__held")
-    kept = [F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return done.select(*kept, F.col("__r.lines").alias("__lines"), F.col("__r.removed").alias("__removed"), F.col("__r.spans").alias("__spans"))
+    return joined.select("row", reduced(*_KEY, "copy", "text", "held").alias("done"))
+
+
+def deduplicated(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) -> DataFrame:
+    """docs with text reduced, and with __lines, __removed (lines) and __spans (removed runs of lines), in place of
+    columns that may have these names."""
+    more = {"__lines": "lines", "__removed": "removed", "__spans": "spans"}
+    done: dict[str, Column] = {k: F.col(f"done.{v}") for k, v in more.items()}
+    return unpacked(reduced_rows(docs, digest), [c for c in docs.columns if c not in more], text=F.col("done.text"), **done)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without repeated chunks. Documents that lose every line are left out: copies of others."""
-    rows = deduplicated(docs)
-    return rows.filter((F.col("__removed") == 0) | (F.col("__removed") < F.col("__lines"))).select(*docs.columns)
+    rows = reduced_rows(docs).filter("done.removed = 0 or done.removed < done.lines")
+    return unpacked(rows, docs.columns, text=F.col("done.text"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

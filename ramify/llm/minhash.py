@@ -25,7 +25,6 @@ empty table; other columns are not looked at.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, lean, packed, released, stored, table, unpacked
 from .components import components
 
 WORDS, LIKE = 5, 0.8
@@ -69,13 +68,10 @@ class _Words(dict):
         return self.table[rows]
 
 
-_words = _Words()
-
-
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str | None, known: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes in order, and their counts."""
     words = text.split() if text else []
-    h = _words.hashes(words)
+    h = known.hashes(words)
     size = min(WORDS, len(h))
     if not size:
         return h, np.zeros(0, dtype=np.int64)
@@ -94,11 +90,12 @@ def factors(counts: np.ndarray, documents: int) -> np.ndarray:
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """The number of documents by bucket of the shingle hash; the table's size does not grow."""
 
+    @released
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << DF_BITS, dtype=np.int64)
+        words, total = _Words(), np.zeros(1 << DF_BITS, dtype=np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                found, _ = shingles(text)
+                found, _ = shingles(text, words)
                 # A bucket counts a document as often as it has shingles there.
                 np.add.at(total, (found >> np.uint64(64 - DF_BITS)).astype(np.int64), 1)
         if total.any():
@@ -118,9 +115,8 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-@functools.cache
 def _tables() -> tuple[np.ndarray, ...]:
-    """r, ln c, beta and the multipliers that choose from them: fixed numbers, made once per worker."""
+    """r, ln c, beta and the multipliers that choose from them: fixed numbers."""
     rng = np.random.RandomState(11)
     size = (HASHES, 1 << _TABLE_BITS)
     r = rng.gamma(2.0, 1.0, size).astype(np.float32)
@@ -133,8 +129,10 @@ class Sampler:
     """Consistent weighted samples; r, ln c and beta of a shingle come from tables by its hash."""
 
     def __init__(self, lift: np.ndarray):
-        self.lift = lift
-        self.r, self.ln_c, self.beta, self.odd = _tables()
+        self.lift, self.tables, self.words = lift, None, _Words()
+
+    def shingles(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return shingles(text, self.words)
 
     def weights(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """ln of the weights."""
@@ -148,12 +146,14 @@ class Sampler:
         found = np.concatenate([b[0] for b in bags])
         ln_w = self.weights(found, np.concatenate([b[1] for b in bags]))
         mixed = np.uint64(0xC2B2AE3D27D4EB4F)
+        self.tables = self.tables or _tables()
+        r_of, ln_c_of, beta_of, odd = self.tables
         keys = np.zeros((len(bags), BANDS), dtype=np.uint64)
         for k in range(HASHES):
-            i = (found * self.odd[k] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-            r, beta = self.r[k][i], self.beta[k][i]
+            i = (found * odd[k] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+            r, beta = r_of[k][i], beta_of[k][i]
             t = np.floor(ln_w / r + beta)
-            a = self.ln_c[k][i] - r * (t - beta + np.float32(1.0))
+            a = ln_c_of[k][i] - r * (t - beta + np.float32(1.0))
             at = np.flatnonzero(a == np.minimum.reduceat(a, starts)[owner])
             at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]]
             sample = (found[at] ^ (t[at].astype(np.int64).view(np.uint64) * np.uint64(0x165667B19E3779F9))) * mixed
@@ -207,6 +207,7 @@ def linked(bags: list[tuple[np.ndarray, np.ndarray]], split: int, like: float) -
 def signatures(rows: DataFrame, lift) -> DataFrame:
     """__doc, doc_id, the text's length, its two 64-bit hashes (null without words) and its band keys."""
 
+    @released
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Sampler(lift.value)
         for pdf in batches:
@@ -223,7 +224,7 @@ def signatures(rows: DataFrame, lift) -> DataFrame:
 
             for text in pdf["text"]:
                 h = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
-                bag = shingles(text)
+                bag = own.shingles(text)
                 held.append((((h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), bag))
                 size += len(bag[0])
                 if size >= _SHINGLES:
@@ -241,11 +242,12 @@ def verified(pairs: DataFrame, rows: DataFrame, lift) -> DataFrame:
     """pairs (a, b) with the weighted Jaccard similarity of their texts."""
     texts = rows.select("__doc", "text")
 
+    @released
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, last, bag = Sampler(lift.value), None, None
 
         def bagged(text: str):
-            found, counts = shingles(text)
+            found, counts = own.shingles(text)
             return found, np.exp(own.weights(found, counts).astype(np.float64))
 
         for pdf in batches:
@@ -270,6 +272,7 @@ def settled(placed: DataFrame, rows: DataFrame, lift, like: float) -> DataFrame:
     order = ["band", "key", "one", "two"]
     dealt = dealt.join(texts, F.col("b") == F.col("__doc")).drop("__doc").repartition(*order).sortWithinPartitions(*order, "block", "b")
 
+    @released
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, known, rest = Sampler(lift.value), {}, None
 
@@ -277,7 +280,7 @@ def settled(placed: DataFrame, rows: DataFrame, lift, like: float) -> DataFrame:
             if (doc, len(text)) not in known:
                 if len(known) >= 4 * BLOCK:
                     known.clear()
-                found, counts = shingles(text)
+                found, counts = own.shingles(text)
                 known[doc, len(text)] = marked(found, counts, np.exp(own.lift[(found >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.float64)))
             return known[doc, len(text)]
 
@@ -320,13 +323,14 @@ def settled(placed: DataFrame, rows: DataFrame, lift, like: float) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, __doc. They are stored, as keys made again could be others."""
-    return stored(docs.withColumn("__doc", F.monotonically_increasing_id()))
+    """The rows of docs as a struct with a key of each row, __doc. They are stored, as keys made again could be others."""
+    return stored(packed(docs).withColumn("__doc", F.monotonically_increasing_id()))
 
 
 def classed(docs: DataFrame, like: float) -> DataFrame:
     """__doc, doc_id, class_id (the smallest doc_id of its group) and kept of every row of docs (__doc, doc_id, text)."""
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select("__doc", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
     lift = spark.sparkContext.broadcast(factors(document_frequencies(rows), n))
@@ -347,7 +351,9 @@ def classed(docs: DataFrame, like: float) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
     open_ = checkpointed(open_.filter("lo != hi").select("band", "key", blocks.alias("blocks")))
     if not open_.isEmpty():
-        found = components(links.unionByName(checkpointed(settled(placed.join(open_, ["band", "key"]), rows, lift, like))))
+        # What was found is a forest of stars: only these and the new links are gone through again.
+        stars = found.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionByName(checkpointed(settled(placed.join(open_, ["band", "key"]), rows, lift, like))))
     # Texts that are linked get the first row of their component; the others their own.
     linked_ = found.select(F.col("id").alias("text_id"), "component").join(groups, "text_id")
     heads = linked_.groupBy("component").agg(F.min(F.struct("first.doc_id", "hi", "lo", "first.__doc")).alias("head"))
@@ -357,16 +363,20 @@ def classed(docs: DataFrame, like: float) -> DataFrame:
     return out.select("__doc", "doc_id", F.col("head.doc_id").alias("class_id"), (F.col("__doc") == F.col("head.__doc")).alias("kept"))
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select("__doc", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+
+
 def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group) and kept (one row of its class is) of every row of docs (doc_id, text)."""
-    return classed(keyed(docs.select("doc_id", "text")), like).drop("__doc")
+    return classed(_named(keyed(docs.select("doc_id", "text"))), like).drop("__doc")
 
 
 def one_of_each(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """The first row of each class, with its columns."""
     rows = keyed(docs)
-    kept = classed(rows, like).filter("kept").select(F.col("__doc").alias("__kept"))
-    return rows.join(kept, F.col("__doc") == F.col("__kept"), "left_semi").select(*docs.columns)
+    kept = classed(_named(rows), like).filter("kept").select(F.col("__doc").alias("__kept"))
+    return unpacked(rows.join(kept, F.col("__doc") == F.col("__kept"), "left_semi"), docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words, their stems (first 4, 5 and 6 letters), word pairs and pairs with one
-word between, lower-cased and hashed into 2**BITS numbers; of these, those that LEAST_ROWS rows have. Each coordinate has a rate of its own and an L1 term keeps most weights at zero, so
-what is left is sent to the executors as a short list of (number, weight).
+word between, lower-cased and hashed into 2**BITS numbers. Each coordinate has a rate of its own and an L1 term
+keeps most weights at zero, so what is left is sent to the executors as a short list of (number, weight).
 
-The model is fitted on a bounded sample of the labelled rows: the first MAX_POSITIVE and MAX_NEGATIVE by
-a hash of their id, up to MAX_FEATURES features in all; the intercept is put back to the share of
+The model is fitted on a bounded sample of the labelled rows: the first MAX_POSITIVE and MAX_NEGATIVE ids by
+a hash of the id, of these, in the same order, those whose features still fit MAX_FEATURES (a row that doesn't fit
+is passed over, later ones are not); the intercept is put back to the share of
 positives among all labelled rows. Rows whose crc32(doc_id) leaves 2 modulo 4 are never learned from.
 
 Edge cases: a null or empty text has no features and scores the intercept alone; a document with
-several labels is positive if one of them is; labels that are null or belong to no document are not
-used; without any usable label every score is 0; repeated rows score alike; an empty table gives an
-empty table; other columns are carried along untouched.
+several labels is positive if one of them is; of rows that share a labelled id the smallest text is learned from;
+labels that are null or belong to no document are not used; without any usable label every score is 0; repeated rows
+score alike; an empty table gives an empty table; other columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, lean, packed, released, stored, table, unpacked
 
 BITS = 22
 THRESHOLD = 0.3
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 3000, 6000, 40_000_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 1.0
-STEMS, LEAST_ROWS = (4, 5, 6), 8
+STEMS = (4, 5, 6)
 #: Updates aimed at: a small sample is gone through more often.
 UPDATES, MOST_EPOCHS = 24_000, 40
 _CACHE = 150_000
@@ -61,13 +62,10 @@ class Tokens(dict):
         return self.table[rows]  # looked up first: a new word may move the table
 
 
-_tokens = Tokens()
-
-
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, tokens: Tokens) -> np.ndarray:
     """Numbers of all n-grams and skip-grams of a text, repeats included."""
     words = text.lower().split() if text else []
-    table = _tokens.hashes(words)
+    table = tokens.hashes(words)
     h = table[:, 0]
     a, b, shift = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(64 - BITS)
     parts = [table.ravel()]
@@ -88,12 +86,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    seen = np.zeros(size, dtype=np.int32)
-    for r in rows:
-        seen[r] += 1
-    # Only what LEAST_ROWS rows have is kept in memory from here.
-    for k, r in enumerate(rows):
-        rows[k] = np.append(r[seen[r] >= LEAST_ROWS], np.int32(size)).astype(np.int32)
+    rows = [np.append(r, np.int32(size)).astype(np.int32) for r in rows]
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             i = rows[k]
@@ -115,35 +108,48 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int
     some = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     # At most MAX_POSITIVE + MAX_NEGATIVE ids of 12 bytes, so this side is always small.
     few = F.broadcast(some[0].unionByName(some[1]))
-    return docs.select("doc_id", "text").join(few, "doc_id"), counts
+    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows, counts
+
 
+def fitting(sizes: list[tuple[int, int]], most: int = MAX_FEATURES) -> list[int]:
+    """Ids of (doc_id, size) that fit `most` together, taken by a hash of the id; what doesn't fit is passed over."""
+    out, total = [], 0
+    for doc, size in sorted(sizes, key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0])):
+        if total + size <= most:
+            out.append(doc)
+            total += size
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Numbers and weights that are not zero, and the intercept."""
     rows, counts = sample(docs, labels)
 
+    @released
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "found": [np.unique(features(t)).astype("<i4").tobytes() for t in pdf["text"]]})
+            found = [np.unique(features(t, tokens)).astype("<i4") for t in pdf["text"]]
+            yield pdf[["doc_id", "label"]].assign(size=[len(f) for f in found], found=[f.tobytes() for f in found])
 
+    @released
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = [(zlib.crc32(str(i).encode()), i, v, f) for pdf in batches for i, v, f in zip(pdf["doc_id"], pdf["label"], pdf["found"])]
-        every.sort(reverse=True)
-        rows, labels, total = [], [], 0
-        while every:
-            _, _, v, f = every.pop()
-            total += len(f) // 4
-            if total <= MAX_FEATURES or not rows:
-                rows.append(np.frombuffer(f, dtype="<i4"))
-                labels.append(v)
-        if rows:
-            numbers, weights, intercept = train(rows, np.array(labels))
-            p = sum(labels)
-            q = len(labels) - p
+        every.sort(key=lambda x: x[:2])
+        if every:
+            numbers, weights, intercept = train([np.frombuffer(x[3], dtype="<i4") for x in every], np.array([x[2] for x in every]))
+            p = sum(x[2] for x in every)
+            q = len(every) - p
             if p and q and counts.get(1) and counts.get(0):
                 intercept += float(np.log(counts[1] / counts[0]) - np.log(p / q))
             yield pd.DataFrame({"number": np.append(numbers, -1), "weight": np.append(weights, intercept)})
 
-    model = rows.mapInPandas(hashed, "doc_id long, label int, found binary").repartition(1).mapInPandas(learned, "number long, weight double").toPandas()
+    # A bounded number of rows, so their sizes may come to the driver and their ids go back.
+    held = stored(rows.mapInPandas(hashed, "doc_id long, label int, size long, found binary"))
+    ids = fitting([(r["doc_id"], r["size"]) for r in held.select("doc_id", "size").collect()], most)
+    held = held.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    model = held.select("doc_id", "label", "found").repartition(1).mapInPandas(learned, "number long, weight double").toPandas()
     if not len(model):
         return np.array([], dtype=np.int64), np.array([]), -np.inf
     own = model["number"].to_numpy() >= 0
@@ -151,29 +157,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
-    """docs with the column `name`: the probability that a document is toxic."""
+    """docs with the column `name` (in place of one that it may have): the probability that a document is toxic."""
+    return unpacked(_scores(docs, labels), [c for c in docs.columns if c != name], **{name: F.col("score")})
+
+
+def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs as a struct, and their scores."""
+    lean(docs.sparkSession)
     numbers, weights, intercept = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((numbers, weights.astype(np.float64), intercept))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, values, start = sent.value
-        dense = np.zeros(1 << BITS)
+        tokens, dense = Tokens(), np.zeros(1 << BITS, dtype=np.float32)
         dense[own] = values
         for texts in batches:
             out = np.full(len(texts), start)
             for k, text in enumerate(texts):
-                i = features(text)
+                i = features(text, tokens)
                 i = np.unique(i[dense[i] != 0.0])
-                out[k] += dense[i].sum()
+                out[k] += dense[i].sum(dtype=np.float64)
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -700, 700))))
 
-    return docs.withColumn(name, score("text"))
+    return packed(docs).withColumn("score", score("row.text"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return scored(docs, labels, "__toxicity").filter(F.col("__toxicity") < threshold).select(*docs.columns)
+    return unpacked(_scores(docs, labels).filter(F.col("score") < threshold), docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    extra = ["__size", "row", "hash", "score", "u"]
+    extra = ["__size", "row", "hash", "score", "u", "__doc", "__lines", "__removed", "__spans", "__key", "key", "size", "taken", "words", "__kept", "__r", "__taken", "doc", "its"]
     rows = spark.createDataFrame(ROWS, SCHEMA)
     return rows.withColumns({c: F.lit(1) for c in extra})
 
@@ -37,13 +37,14 @@ def labels(spark, empty=False):
 def applied(name, spark, docs):
     few = docs.select("doc_id", "text", "lang", "source", "n_chars")
     if name == "mixing":
-        return mixing.mix(docs.drop("__size").withColumn("__size", word_count(F.col("text")))), len(ROWS)
+        sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+        return mixing.mix(sized.checkpoint()), len(ROWS)
     if name == "secrets":
         return secrets.scan(docs), len(ROWS)
     if name == "fingerprints":
         return fingerprints.fingerprinted(docs), len(ROWS)
     if name == "toxicity":
-        return toxicity.scored(docs.drop("score"), labels(spark)), len(ROWS)
+        return toxicity.scored(docs, labels(spark)), len(ROWS)
     if name == "language":
         return language.identified(docs), len(ROWS)
     if name == "lines":
@@ -118,11 +119,43 @@ def test_rows_without_an_id_of_their_own(spark):
 
 
 def test_mixing_cuts_few_texts(spark):
-    rows = [(i, f"s{i % 20}", 30) for i in range(4000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, __size long")).collect()
-    # 200 rows to a source are one shard, which cuts one text at most.
-    cut = [r["source"] for r in out if r["__taken"] % r["__size"]]
-    assert len(cut) == len(set(cut)) and len(out) == len(rows) and sum(r["__taken"] for r in out) == 30 * len(rows)
+    rows = [(i, i, f"s{i % 20}", 30) for i in range(4000)]
+    out = mixing.mix(spark.createDataFrame(rows, "row long, doc_id long, source string, size long")).collect()
+    # 200 rows to a source are one shard of 6 blocks; texts are cut at the edges of blocks, twice a block at most.
+    cut = [r for r in out if r["taken"] % r["size"]]
+    assert len(cut) <= 20 * 6 * 2 and len(out) == len(rows) and abs(sum(r["taken"] for r in out) - 30 * len(rows)) <= 20
+    assert sum(r["taken"] == 0 for r in out) > 500, "blocks are chosen, not every text cut"
+
+
+def test_mixing_deals_rows_without_an_id(spark):
+    rows = [(i, None if i % 2 else 7, "s", 10 + i % 5) for i in range(4000)]
+    sized = spark.createDataFrame(rows, "row long, doc_id long, source string, size long")
+    out = mixing.mix(sized).collect()
+    assert len(out) == 4000 and sum(r["taken"] for r in out) == sum(r["size"] for r in out)
+    assert mixing.mix(sized.limit(0)).count() == 0
+
+
+def test_toxicity_learns_from_few_rows(spark):
+    rows = [(i, f"common words {'vile' if i % 2 else 'kind'} here {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14)], LABELS)
+    out = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    assert min(out[i] for i in range(1, 60, 2)) > max(out[i] for i in range(0, 60, 2)) + 0.3
+
+
+def test_a_row_too_long_to_learn_from_keeps_no_other_out():
+    sizes = [(i, 10) for i in range(20)] + [(99, 10_000)]
+    assert sorted(toxicity.fitting(sizes, 200)) == list(range(20)) and len(toxicity.fitting(sizes, 45)) == 4
+
+
+def test_lines_of_rows_without_an_id(spark):
+    text = lambda i: "\n".join(f"line {i} {k}" for k in range(5))
+    rows = [(3, text(1)), (3, text(1)), (3, text(2)), (None, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (9, text(4)), (3, None), (None, "")]
+    out = sorted((str(r["doc_id"]), r["text"] or "", r["__removed"]) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(out) == len(rows) and sum(r[2] for r in out) == 20
+    for i in range(1, 5):
+        assert sum(r[1] == text(i) for r in out) == 1, "one row keeps its lines"
+    assert ("9", text(4), 0) in out and ("3", text(2), 0) in out
 
 
 def test_secrets_of_many_repositories_are_examples(spark):
