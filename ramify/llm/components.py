@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """least, dealt by something else than its key: a join by the key then shuffles both of its sides, and Spark can split
+    the one with a hub's many edges."""
+    return least.repartition(F.xxhash64("w"))
+
+
 def _starred(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v), u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-    large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    large = both.join(_apart(least), F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
     large = checkpointed(large)
     least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-    small = large.join(least, F.col("u") == F.col("w"))
+    small = large.join(_apart(least), F.col("u") == F.col("w"))
     return small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
 
 

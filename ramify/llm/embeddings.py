@@ -3,14 +3,16 @@
 A unit vector x is rotated at random; its code is the signs of the rotated vector, its correction factor
 f = <signs / sqrt(D), rotated x>. For another vector y, <signs / sqrt(D), rotated y> / f estimates the
 cosine without bias, and its error stays below WIDTH * sqrt((1 - f^2) / f^2 / (D - 1)) with overwhelming
-probability (Gao and Long 2024). Only pairs whose upper bound reaches the threshold are recomputed
-exactly, in double precision; only what the exact cosine confirms is a link.
+probability (Gao and Long 2024). Codes and factors are made once per vector and stored, with the rotated vector in
+steps of a 254th of its range (what that can add to the error is added to the bound). Only these are sent to the
+buckets. Vectors are fetched for those members of a bucket alone that have a pair there whose upper bound reaches the
+threshold; these pairs are recomputed exactly, in double precision, and only what the exact cosine confirms is a link.
 
 Pairs to look at share one of several bands of sign bits (as many rotations as the bands need). The bits
 of a band grow with the logarithm of the number of vectors, so chance meetings in a bucket do not; the
 number of bands is set so that a pair at the threshold shares one with probability RECALL. Equal vectors
-are collapsed first and counted by their number. A large bucket is cut into blocks of BLOCK vectors
-and its block pairs are dealt over the tasks; counts and one spanning edge per vector leave a task,
+are collapsed first (by 128 bits of hash) and counted by their number. A large bucket is cut into blocks of BLOCK
+vectors and its block pairs are dealt over the tasks; counts and one spanning edge per vector leave a task,
 never the pairs. A pair is counted in the first band that it shares.
 
 Edge cases: vectors that are null, zero or empty, or hold null or non-finite components, link with nothing
@@ -30,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, lean, released, table
 from .components import components
 
 THRESHOLD, RECALL, WIDTH, BLOCK = 0.95, 0.999, 5.0, 512
-_ROWS, _PAIRS = 20_000, 200_000
+_ROWS, _PAIRS, _STEPS = 20_000, 200_000, 127
 
 
 def bands(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -51,14 +53,25 @@ def rotations(dim: int, bits: int) -> np.ndarray:
     return np.concatenate(out).astype(np.float32)
 
 
+def encoded(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs, correction factors, rotated vectors in whole steps and the steps' sizes, of unit vectors."""
+    turned = unit @ turn.T
+    factor = np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
+    size = np.maximum(np.abs(turned).max(axis=1), 1e-30) / _STEPS
+    return np.packbits(turned > 0, axis=1), factor.astype(np.float32), np.rint(turned / size[:, None]).astype(np.int8), size.astype(np.float32)
+
+
 def coded(rows: DataFrame, bits: int, number: int) -> DataFrame:
-    """vec_id, node and hash of the vector (null where it links with nothing), vec (float64 bytes), keys."""
+    """vec_id, two hashes of the vector (null where it links with nothing), vec (float64 bytes), keys and its code: signs,
+    factor, steps and their size."""
 
+    @released
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         weights = (1 << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
         for pdf in batches:
-            hi, lo, vec, keys = ([None] * len(pdf) for _ in range(4))
+            names = ("node", "lo", "vec", "keys", "signs", "factor", "steps", "step")
+            out: dict[str, list] = {c: [None] * len(pdf) for c in names}
             by_dim: dict[int, list[int]] = {}
             held = {}
             for k, e in enumerate(pdf["embedding"]):
@@ -68,19 +81,24 @@ def coded(rows: DataFrame, bits: int, number: int) -> DataFrame:
                     by_dim.setdefault(len(x), []).append(k)
             for dim, ks in by_dim.items():
                 if dim not in known:
-                    known[dim] = rotations(dim, bits * number)
+                    known[dim] = rotations(dim, bits * number), rotations(dim, 1)
+                bands_, turn = known[dim]
                 x = np.stack([held[k] for k in ks])
                 unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
                 for at in range(0, len(ks), 1024):
-                    signs = (unit[at : at + 1024] @ known[dim][: bits * number].T > 0).reshape(-1, number, bits)
+                    part = unit[at : at + 1024]
+                    signs = (part @ bands_[: bits * number].T > 0).reshape(-1, number, bits)
                     own = (signs.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
-                    for k, row, v in zip(ks[at : at + 1024], own, x[at : at + 1024]):
+                    for k, row, v, *its in zip(ks[at : at + 1024], own, x[at : at + 1024], *encoded(part, turn)):
                         b = v.astype("<f8").tobytes()
                         h = xxhash.xxh3_128_intdigest(b)
-                        hi[k], lo[k], vec[k], keys[k] = (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), b, row.astype("<u8").tobytes()
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("Int64"), "node": pd.array(hi, dtype="Int64"), "lo": pd.array(lo, dtype="Int64"), "vec": vec, "keys": keys})
+                        found = ((h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), b, row.astype("<u8").tobytes(), its[0].tobytes(), float(its[1]), its[2].tobytes(), float(its[3]))
+                        for c, value in zip(names, found):
+                            out[c][k] = value
+            whole = {c: pd.array(v, dtype="Int64") if c in ("node", "lo") else v for c, v in out.items()}
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("Int64")} | whole)
 
-    return rows.mapInPandas(code, "vec_id long, node long, lo long, vec binary, keys binary")
+    return rows.mapInPandas(code, "vec_id long, node long, lo long, vec binary, keys binary, signs binary, factor float, steps binary, step float")
 
 
 def _pairs(frame: pd.DataFrame, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,24 +127,43 @@ def _pairs(frame: pd.DataFrame, starts: np.ndarray, stops: np.ndarray) -> Iterat
         yield np.concatenate(left), np.concatenate(right)
 
 
+_GROUP = ["dim", "band", "key", "one", "two"]
+_MEMBER = "dim int, band int, key long, one int, two int, block int, id long"
+
+
+def _groups(frame: pd.DataFrame) -> np.ndarray:
+    mark = frame[_GROUP].to_numpy()
+    return np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]).any(axis=1)])
+
+
+def likely(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows of whole groups, by their codes, that have a pair whose upper bound reaches the threshold."""
+    dim = int(frame["dim"].iloc[0])
+    signs = np.unpackbits(np.stack([np.frombuffer(v, dtype=np.uint8) for v in frame["signs"]]), axis=1)[:, :dim]
+    signs = np.where(signs > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dim))
+    step, factor = frame["step"].to_numpy(), frame["factor"].to_numpy()
+    turned = np.stack([np.frombuffer(v, dtype=np.int8) for v in frame["steps"]]).astype(np.float32) * step[:, None]
+    # The steps' own error is half a step in each of dim places, each weighing 1 / sqrt(dim).
+    own = WIDTH * np.sqrt(np.maximum(0.0, 1.0 - factor**2) / factor**2 / max(1, dim - 1)) + 1e-4
+    rounding = 0.5 * step * math.sqrt(dim)
+    new, hit = _groups(frame), np.zeros(len(frame), dtype=bool)
+    for i, j in _pairs(frame, new, np.r_[new[1:], len(frame)]):
+        bound = (np.einsum("ij,ij->i", signs[i], turned[j]) + rounding[j]) / factor[i] + own[i]
+        hit[i[bound >= threshold]] = True
+        hit[j[bound >= threshold]] = True
+    return frame.loc[hit, [*_GROUP, "block", "id"]]
+
+
 def linked(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """node, links and root of the rows of whole groups that link with a row of their group."""
-    nodes, times, band = frame["node"].to_numpy(), frame["times"].to_numpy(), frame["band"].to_numpy()
-    mark = frame[["band", "key", "one", "two"]].to_numpy()
-    new = np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]).any(axis=1)])
+    """id, links and root of the rows of whole groups that link with a row of their group."""
+    nodes, times, band = frame["id"].to_numpy(), frame["times"].to_numpy(), frame["band"].to_numpy()
+    new = _groups(frame)
     x = np.stack([np.frombuffer(v, dtype="<f8") for v in frame["vec"]])
     keys = np.stack([np.frombuffer(v, dtype="<u8") for v in frame["keys"]])
     norm = np.sqrt((x * x).sum(axis=1))
-    dim = x.shape[1]
-    turned = ((x / norm[:, None]).astype(np.float32)) @ rotations(dim, 1).T
-    signs = np.where(turned > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dim))
-    factor = (signs * turned).sum(axis=1)
-    bound = WIDTH * np.sqrt(np.maximum(0.0, 1.0 - factor**2) / factor**2 / max(1, dim - 1)) + 1e-4
     links, label = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
     before = np.arange(keys.shape[1])
     for i, j in _pairs(frame, new, np.r_[new[1:], len(frame)]):
-        likely = np.einsum("ij,ij->i", signs[i], turned[j]) / factor[i] + bound[i] >= threshold
-        i, j = i[likely], j[likely]
         cosine = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j])
         i, j = i[cosine >= threshold], j[cosine >= threshold]
         first = ~((keys[i] == keys[j]) & (before < band[i][:, None])).any(axis=1)
@@ -140,58 +177,66 @@ def linked(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             np.minimum.at(label, i, low)
             np.minimum.at(label, j, low)
     found = np.flatnonzero(links)
-    return pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[label[found]]})
+    return pd.DataFrame({"id": nodes[found], "links": links[found], "root": nodes[label[found]]})
 
 
-def link_counts(held: DataFrame, threshold: float) -> DataFrame:
-    """node, links and root by group, from distinct vectors (node, times, vec, keys, dim, bands)."""
-    number = held.agg(F.max("number")).first()[0] or 0
-    key = lambda b: F.conv(F.hex(F.substring(F.col("keys"), b * 8 + 1, F.lit(8))), 16, -10).cast("long")
-    each = F.transform(F.sequence(F.lit(0), F.lit(max(0, number - 1))), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
-    keyed = held.select("node", "dim", F.explode(each).alias("k")).select("node", "dim", "k.band", "k.key")
-    sizes = keyed.groupBy("dim", "band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = keyed.join(sizes, ["dim", "band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "dim", "band", "key", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    rows = placed.join(held.select("node", "times", "vec", "keys"), "node")
-    order = ["dim", "band", "key", "one", "two"]
-    rows = rows.repartition(*order).sortWithinPartitions(*order, "block", "node")
+def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work over frames of whole groups of one dimension, some at a time."""
+    rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "block", "id")
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @released
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if len(rest) < _ROWS:
                 continue
-            mark = rest[order].to_numpy()
+            mark = rest[_GROUP].to_numpy()
             cut = int(np.flatnonzero((mark != mark[-1]).any(axis=1)).max(initial=-1)) + 1
             if cut:
                 for _, own in rest.iloc[:cut].groupby("dim", sort=False):
-                    yield linked(own.reset_index(drop=True), threshold)
+                    yield work(own.reset_index(drop=True))
                 rest = rest.iloc[cut:].reset_index(drop=True)
         if rest is not None and len(rest):
             for _, own in rest.groupby("dim", sort=False):
-                yield linked(own.reset_index(drop=True), threshold)
+                yield work(own.reset_index(drop=True))
+
+    return rows.mapInPandas(run, schema)
+
 
-    return rows.mapInPandas(compared, "node long, links long, root long")
+def link_counts(held: DataFrame, number: int, threshold: float) -> DataFrame:
+    """id, links and root by group, from distinct vectors (id, times, dim, vec, keys and code)."""
+    key = lambda b: F.conv(F.hex(F.substring(F.col("keys"), b * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    each = F.transform(F.sequence(F.lit(0), F.lit(max(0, number - 1))), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
+    keyed = held.select("id", "dim", F.explode(each).alias("k")).select("id", "dim", "k.band", "k.key")
+    sizes = checkpointed(keyed.groupBy("dim", "band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    placed = keyed.join(sizes, ["dim", "band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("id", "dim", "band", "key", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    codes = placed.join(held.select("id", "signs", "factor", "steps", "step"), "id")
+    some = checkpointed(by_group(codes, lambda frame: likely(frame, threshold), _MEMBER))
+    return by_group(some.join(held.select("id", "times", "vec", "keys"), "id"), lambda frame: linked(frame, threshold), "id long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of rows (vec_id, embedding)."""
+    lean(rows.sparkSession)
     bits, number = bands(rows.count(), threshold, recall)
     every = checkpointed(coded(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), bits, number))
     valid = every.filter("node is not null")
-    held = valid.groupBy("node").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("times"))
-    once = valid.select("node", "vec", "keys").dropDuplicates(["node"])
-    held = checkpointed(once.join(held, "node").withColumns({"dim": (F.length("vec") / 8).cast("int"), "number": F.lit(number)}))
-    found = checkpointed(link_counts(held, threshold))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    parts = held.select("node", "smallest", "times").join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A vector has the number of its row as its id; vectors are told apart by both hashes.
+    groups = valid.groupBy("node", "lo").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("vec", "keys", "signs", "factor", "steps", "step")])
+    held = checkpointed(groups.withColumns({"id": F.monotonically_increasing_id(), "dim": (F.length("vec") / 8).cast("int")}))
+    found = checkpointed(link_counts(held, number, threshold))
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = components(found.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    names = held.select("id", "node", "lo", "smallest", "times")
+    parts = names.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = parts.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    known = parts.join(least, "component").join(counts, "node", "left").select(F.col("node").alias("its"), F.coalesce("links", F.lit(0)).alias("links"), "times", "component_id")
-    out = valid.select("vec_id", "node").join(known, F.col("node") == F.col("its")).select("vec_id", (F.col("links") + F.col("times") - 1).alias("n_links"), "component_id")
+    known = parts.join(least, "component").join(counts, "id", "left").select(F.col("node").alias("n"), F.col("lo").alias("l"), F.coalesce("links", F.lit(0)).alias("links"), "times", "component_id")
+    out = valid.select("vec_id", "node", "lo").join(checkpointed(known), (F.col("node") == F.col("n")) & (F.col("lo") == F.col("l")))
+    out = out.select("vec_id", (F.col("links") + F.col("times") - 1).alias("n_links"), "component_id")
     alone = every.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -201,5 +246,12 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+ valid AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+ links AS (SELECT a.vec_id a, b.vec_id b FROM valid a JOIN valid b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= {THRESHOLD}),
+ reach AS (SELECT vec_id, vec_id r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+ least AS (SELECT vec_id, min(r) component_id FROM reach GROUP BY vec_id), counted AS (SELECT a vec_id, count(*) n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept FROM v JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
 QUERIES = {"op3_embeddings": op3_embeddings}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_embeddings": _SQL}

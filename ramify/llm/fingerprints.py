@@ -8,8 +8,8 @@ a share J + (1 - J) / 2**BITS of their bins; likeness() takes that bias out.
 
 Edge cases: a null text is empty; words split at ASCII white space; a text of one to four words is one
 shingle; a text without words has a fixed fingerprint of its own, so it is like every other such text
-and unlike the rest. Rows that share a doc_id count as one neighbour, the one with the largest text;
-a null doc_id comes last. One document is its own next. Other columns are not looked at.
+and unlike the rest. Rows that share a doc_id count as one neighbour, the one with the longest text (of these,
+with the largest hash); a null doc_id comes last. One document is its own next. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BIN_BITS, BITS, WORDS = 8, 4, 5
 BINS = 1 << BIN_BITS
 #: Probes of the densification that are tried one by one; what they miss is settled by hash order.
 PROBES = 16
+#: Ids of a range of neighbours.
+RANGE = 100_000
 _EMPTY = (1 << (63 - BIN_BITS)) - 1
 
 
@@ -91,32 +93,32 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(ids: DataFrame, groups: int) -> DataFrame:
-    """doc_id and next_id (the next smaller, after the smallest the largest) of distinct ids.
+    """doc_id, n_chars and next_id (the next smaller, after the smallest the largest) of distinct ids.
 
     Ids are dealt by value into ranges; only each range's ends meet in one task.
     """
-    edges = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / groups) for i in range(1, groups)]), F.lit(100 * groups)).alias("e")).first()["e"] or []
-    edges = F.array(*[F.lit(e).cast("long") for e in sorted(set(edges))]) if edges else F.array().cast("array<bigint>")
-    ranged = ids.withColumn("range", F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
+    ranged = checkpointed(ids.repartitionByRange(groups, "doc_id").withColumn("range", F.spark_partition_id()))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last())
     ranged = ranged.withColumn("next_id", F.lead("doc_id").over(inside))
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
     across = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc())
     first = F.first("top").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tops = tops.select(F.col("range").alias("__range"), F.coalesce(F.lead("top").over(across), first).alias("below"))
+    # One row per range, of which there is one for every RANGE ids.
     return ranged.join(F.broadcast(tops), ranged["range"] == tops["__range"]).select("doc_id", "n_chars", F.coalesce("next_id", "below").alias("next_id"))
 
 
-def fingerprinted(docs: DataFrame, groups: int = 64) -> DataFrame:
+def fingerprinted(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and the next document's."""
     none = F.lit(-(1 << 63))  # stands for a null id
     rows = docs.select(F.coalesce("doc_id", none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Shared ids: one neighbour, and as many characters as its longest text may ask for.
     ids = checkpointed(rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")))
-    links = checkpointed(neighbours(ids, groups))
+    links = checkpointed(neighbours(ids, max(16, -(-ids.count() // RANGE))))
     asked = links.select(F.col("doc_id").alias("asks"), F.col("next_id").alias("its_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"))
-    heads = rows.join(asked, rows["doc_id"] == asked["its_id"]).select("asks", F.expr("substring(text, 1, wanted)").alias("head"))
-    heads = heads.groupBy("asks").agg(F.max("head").alias("head"))
+    # Rows that share an id: the one whose fingerprint counts as the neighbour's gives its head too.
+    rank = F.struct(F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("order"), F.expr("substring(text, 1, wanted)").alias("head"))
+    heads = rows.join(asked, rows["doc_id"] == asked["its_id"]).groupBy("asks").agg(F.max(rank)["head"].alias("head"))
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("head"), F.lit(1), m))

@@ -7,7 +7,8 @@ fitted by expectation maximisation on a bounded sample: the first SAMPLE documen
 hash of their id. Rows whose crc32(doc_id) leaves 2 modulo 4 are never learned from. Rows are scored
 against every language with equal priors; the score is the posterior of the best.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0, and so is every text where no
+Edge cases: more than LANGUAGES languages are an error; a null text, or one without a letter (numerals such as ½ are
+none), is `und` with score 0, and so is every text where no
 language could be learned; null languages are not learned; letters outside the vocabulary cost every
 language the same; equally likely languages go to the first by code point; repeated rows get equal
 results; an empty table gives an empty table; other columns are not looked at.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, lean, released, table
 from .vocabulary import MODEL, SPACE, Vocabulary, load
 
 SAMPLE = 400
@@ -34,7 +35,9 @@ ROUNDS = 3
 UNKNOWN = 1e-9
 SMOOTH = 0.05
 _CACHE = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Languages that can be learned: the model has a row of 32,000 numbers for each and is sent to all workers.
+LANGUAGES = 500
 _LONG = 40
 
 
@@ -78,8 +81,16 @@ def log_forward(word: str, automaton, singles: frozenset[str], rows: list[list[f
     return logs[-1].tolist()
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased; numerals such as ½ or Ⅷ are word characters but no letters."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def words(text: str | None) -> list[str]:
-    return [SPACE + w for w in _LETTERS.findall(text.lower())] if text else []
+    return [SPACE + w for w in letters(text)] if text else []
 
 
 def log_sum(a: float, b: float) -> float:
@@ -144,7 +155,9 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]
     likely = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("rows") < 3 * SAMPLE)
     first = Window.partitionBy("lang").orderBy("place", "doc_id")
     few = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
-    # At most SAMPLE ids of each language, so this side is always small.
+    if counts.limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: this column holds something else")
+    # At most SAMPLE ids of each of at most LANGUAGES languages, so this side is always small.
     some = known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
     sent = spark.sparkContext.broadcast(vocabulary.pieces)
 
@@ -173,7 +186,7 @@ class Words(dict):
 
     def score(self, text: str) -> np.ndarray | None:
         """ln of the text's probability by language; None without a letter."""
-        found = _LETTERS.findall(text.lower())
+        found = letters(text)
         total = np.zeros(self.languages)
         for at in range(0, len(found), 100_000):
             if len(self) > _CACHE:
@@ -187,10 +200,12 @@ class Words(dict):
 def identified(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text, lang)."""
     spark = docs.sparkSession
+    lean(spark)
     vocabulary = load(model)
     languages, p = fit(docs, vocabulary)
     sent = spark.sparkContext.broadcast((vocabulary.pieces, languages, p))
 
+    @released
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, names, probabilities = sent.value
         known = Words(pieces, probabilities) if names else None

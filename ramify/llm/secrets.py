@@ -33,19 +33,77 @@ EXAMPLE_REPOSITORIES = 100
 _SPAN = "array<struct<start:bigint,kind:int,stop:bigint,size:bigint,hash:string>>"
 
 
+#: Elements that a running value goes through at a time; see running().
+_CHUNK = 256
+
+
+def running(values: Column, step, zero: Column) -> Column:
+    """The running results of step over an array of longs, each with its own element.
+
+    An array that grows inside a fold is copied at each step, so the fold goes chunk by chunk: what each chunk comes to
+    from zero, the results before each chunk, and then the results inside each. step is associative, with zero its unit.
+    """
+
+    def fold(v: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+        def one(acc: Column, x: Column) -> Column:
+            at = step(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(v, none, one, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / _CHUNK).cast("int") - 1), lambda c: F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))
+        chunks = F.when(F.size(v) > 0, chunks).otherwise(F.array().cast("array<array<bigint>>"))
+
+        def joined(parts: Column) -> Column:
+            ends = fold(F.transform(parts, lambda p: F.aggregate(p, zero, step)), zero)
+            return F.flatten(F.zip_with(parts, F.concat(F.array(zero), ends), lambda p, start: F.when(p.isNotNull(), fold(p, start)).otherwise(F.array().cast("array<bigint>"))))
+
+        return _let(chunks, joined)
+
+    return _let(values, whole)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """All matches in order, with the size and hash of a group's value."""
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    items = F.arrays_zip(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gap"))
+    items = F.filter(F.arrays_zip(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
+
+    def placed(own: Column) -> Column:
+        stops = running(F.transform(own, lambda x: (F.length(x["gap"]) + F.length(x["m"])).cast("long")), lambda s, x: s + x, F.lit(0).cast("long"))
+
+        def one(x: Column, stop: Column) -> Column:
+            return F.struct(
+                (stop - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.length(x["v"]).cast("long").alias("size"), F.sha2(x["v"], 256).alias("hash")
+            )
+
+        return F.zip_with(own, stops, one)
+
+    return _let(items, placed)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.length(x["v"]).cast("long").alias("size"), F.sha2(x["v"], 256).alias("hash"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(F.filter(items, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
+def apart(base: Column, other: Column) -> Column:
+    """The spans of other that overlap none of base, in order: each is held against the last end before and the next
+    start behind it."""
+    far = F.lit((1 << 62)).cast("long")
+    side = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x.alias("x")))
+    both = F.array_sort(F.concat(side(base, 0), side(other, 1)))
+
+    def judged(v: Column) -> Column:
+        ends = running(F.transform(v, lambda e: F.when(e["own"] == 0, e["x"]["stop"]).otherwise(F.lit(0).cast("long"))), F.greatest, F.lit(0).cast("long"))
+        behind = F.reverse(running(F.reverse(F.transform(v, lambda e: F.when(e["own"] == 0, e["start"]).otherwise(far))), F.least, far))
+        each = F.arrays_zip(v.alias("e"), ends.alias("end"), behind.alias("next"))
+        kept = F.filter(each, lambda r: (r["e"]["own"] == 1) & (r["end"] <= r["e"]["start"]) & (r["next"] >= r["e"]["x"]["stop"]))
+        return F.transform(kept, lambda r: r["e"]["x"])
+
+    return _let(both, judged)
 
 
 def _where(condition: Column, found: Column) -> Column:
@@ -69,10 +127,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def judged(r: Column) -> Column:
         value = lambda x: F.substring(r["text"], (x["start"] + 1).cast("int"), x["size"].cast("int"))
-        apart = lambda x: ~F.exists(r["base"], lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
         # Pure words and pure numbers are no candidates, nor is what a base span touches.
-        kept = F.filter(r["other"], lambda x: apart(x) & value(x).rlike("[0-9]") & value(x).rlike("[A-Za-z]"))
-        return F.struct(r["base"].alias("base"), kept.alias("other"))
+        kept = F.filter(r["other"], lambda x: value(x).rlike("[0-9]") & value(x).rlike("[A-Za-z]"))
+        return F.struct(r["base"].alias("base"), apart(r["base"], kept).alias("other"))
 
     return docs.select("doc_id", "source", F.transform(once, judged)[0].alias("__found")).select("doc_id", "source", "__found.base", "__found.other")
 
@@ -123,5 +180,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hits(kind: int, pattern: str, group: int, keep: str = "true") -> str:
+    return f"""SELECT doc_id, source, {kind} kind, m, v, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) stop FROM (SELECT doc_id, source, unnest(m) m, unnest(v) v, unnest(g[:len(m)]) g, unnest(range(0, len(m))) i
+ FROM (SELECT doc_id, source, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {group}) v, string_split_regex(t, '{pattern}') g FROM docs)) QUALIFY {keep}"""
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+_SQL = f"""WITH docs AS (SELECT doc_id, source, coalesce(text, '') t FROM documents),
+ base AS (SELECT *, stop - length(m) AS begin FROM ({_hits(0, _ASSIGN_SQL, 2, 'length(v) >= 6')} UNION ALL {_hits(1, ACCESS, 0)} UNION ALL {_hits(2, HEX, 0)})),
+ wide AS (SELECT *, stop - length(m) AS begin FROM ({_hits(3, OTHER, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")})),
+ found AS (SELECT * FROM base UNION ALL SELECT * FROM wide w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.begin < w.stop AND w.begin < b.stop)),
+ owned AS (SELECT v, sum(n) repositories, count(*) owners FROM (SELECT v, source, count(DISTINCT doc_id) n FROM found GROUP BY v, source) GROUP BY v),
+ judged AS (SELECT found.*, owners < {EXAMPLE_OWNERS} AND repositories < owners * {EXAMPLE_REPOSITORIES} live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(begin AS BIGINT) || ':' || CAST(stop AS BIGINT) shown FROM found JOIN owned USING (v)),
+ told AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) n_assign, count(*) FILTER (WHERE kind = 1) n_access, count(*) FILTER (WHERE kind = 2) n_hex, string_agg(shown, ',' ORDER BY begin, kind) FILTER (WHERE kind < 3) base,
+  string_agg(shown, ',' ORDER BY begin, kind) FILTER (WHERE kind < 3 OR live) spans, count(*) FILTER (WHERE live) n_live, count(*) FILTER (WHERE NOT live) n_example FROM judged GROUP BY doc_id)
+ SELECT doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example
+ FROM docs LEFT JOIN told USING (doc_id)"""
+
 QUERIES = {"op4_secrets": op4_secrets}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_secrets": _SQL}

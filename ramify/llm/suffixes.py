@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, lean, released, stored, table
 
-LENGTH, GRAM, LIMIT = 200, 64, 2048
+LENGTH, GRAM, LIMIT = 200, 64, 512
 SPAN = LENGTH - GRAM + 1
 _BATCH, _SHARD, _LANES = 1 << 19, 1 << 20, 4096
 _NONE = -(1 << 63)
@@ -401,5 +401,19 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+_EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+#: Bytes as pairs of hexadecimal digits; windows are cut from parts of a thousand starts, so that no cut scans a long text.
+_SQL = f"""WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+ sized AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) n FROM docs),
+ parts AS (SELECT doc_id, n, c, substr(h, CAST(2000 * c + 1 AS BIGINT), {2 * (1000 + LENGTH - 1)}) part FROM (SELECT doc_id, h, n, unnest(range(0, (n - {LENGTH}) // 1000 + 1)) c FROM sized WHERE n >= {LENGTH})),
+ windows AS (SELECT doc_id, 1000 * c + k p, md5(substr(part, CAST(2 * k + 1 AS BIGINT), {2 * LENGTH})) w FROM (SELECT *, unnest(range(0, least(1000, n - {LENGTH} + 1 - 1000 * c))) k FROM parts)),
+ again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+ hits AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) step FROM windows SEMI JOIN again USING (w)),
+ marked AS (SELECT doc_id, p, sum(CASE WHEN step IS NULL OR step > {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) span FROM hits),
+ spans AS (SELECT doc_id, min(p) a, max(p) + {LENGTH} b FROM marked GROUP BY doc_id, span),
+ cuts AS (SELECT doc_id, h, n, a, b, coalesce(lag(b) OVER w, 0) before FROM spans JOIN sized USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+ done AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) n_removed, count(*) n_spans, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) kept FROM cuts GROUP BY doc_id)
+ SELECT doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, CASE WHEN coalesce(kept, h) = '' THEN '{_EMPTY_SHA}' ELSE sha256(unhex(coalesce(kept, h))) END kept_sha256 FROM sized LEFT JOIN done USING (doc_id)"""
+
 QUERIES = {"op8_suffixes": op8_suffixes}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_suffixes": _SQL}
