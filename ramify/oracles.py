@@ -87,7 +87,7 @@ def grown(src: str) -> str:
     return at
 
 
-_KEPT = ["network_id", "seed", "ep", "mg", "n", "lv", "path", "d", "off", *STATE, *[f"{c}_{i}" for i in range(5) for c in STATE], *(f"f{c}" for c in ("d1", "d2", "1", "2")), "u_t1", "u_u1", "u_t2", "u_u2"]
+_KEPT = ["network_id", "seed", "ep", "mg", "n", "lv", "path", "d", "off", *STATE, *[f"{c}_{i}" for i in range(5) for c in STATE], *(f"f{c}" for c in ("d1", "d2", "1", "2")), "u_t1", "u_u1", "u_t2", "u_u2", *(f"go{i}" for i in range(5))]
 
 
 def nodes(least: int = 0, params: str = PARAMS) -> str:
@@ -126,7 +126,10 @@ def state_rows(digits: int = 4) -> str:
     end = f"off + {SIZE.format(m='(lv - 1)')} + CASE WHEN lv >= 2 THEN 5 ELSE 1 END"
     gone = ", ".join(f"-1.0::DOUBLE {n}" for n in names.values())
     parts = [f"SELECT network_id, 0::BIGINT seq, false is_gap, {show('')} FROM nodes WHERE path = ''"]
-    parts += [f"SELECT network_id, off + {k} seq, false is_gap, {show(f'_{k}')} FROM nodes WHERE lv >= {2 if k else 1}" for k in range(5)]
+    for k in range(5):
+        # A negative length turns behind its step's row.
+        own = show(f"_{k}").replace(f"round(al_{k},", f"round(CASE WHEN lv >= 3 THEN al_{k} + {tail(f'go{k}')} ELSE al_{k} END,")
+        parts.append(f"SELECT network_id, off + {k} seq, false is_gap, {own} FROM nodes WHERE lv >= {2 if k else 1}")
     parts += [f"SELECT network_id, off seq, false is_gap, {show('')} FROM nodes WHERE lv = 0"]
     # Behind each child: a gap, and its parent's end again.
     for i in (1, 2):
