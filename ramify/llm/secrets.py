@@ -58,7 +58,7 @@ def running(values: Column, step, zero: Column) -> Column:
         chunks = F.when(F.size(v) > 0, chunks).otherwise(F.array().cast("array<array<bigint>>"))
 
         def joined(parts: Column) -> Column:
-            ends = fold(F.transform(parts, lambda p: F.aggregate(p, zero, step)), zero)
+            ends = fold(F.transform(parts, lambda p: F.aggregate(p, zero, lambda s, x: step(s, x))), zero)
             return F.flatten(F.zip_with(parts, F.concat(F.array(zero), ends), lambda p, start: F.when(p.isNotNull(), fold(p, start)).otherwise(F.array().cast("array<bigint>"))))
 
         return _let(chunks, joined)

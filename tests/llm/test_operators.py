@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -189,20 +190,26 @@ def test_embeddings_in_blocks(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+def coded_frame(x):
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    signs, factor, steps, step = embeddings.encoded(unit, embeddings.rotations(x.shape[1], 1))
+    one = {"dim": x.shape[1], "band": 0, "key": 0, "one": 0, "two": 0, "block": 0, "id": np.arange(len(x))}
+    return unit, pd.DataFrame(one | {"signs": [s.tobytes() for s in signs], "factor": factor, "steps": [s.tobytes() for s in steps], "step": step})
+
+
 def test_codes_bound_the_cosine():
     rng = np.random.RandomState(15)
     x = rng.standard_normal((300, 48))
-    x = np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape)])
-    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    signs, factor, steps, step = embeddings.encoded(unit, embeddings.rotations(48, 1))
-    n = len(x)
-    frame = __import__("pandas").DataFrame({"dim": 48, "band": 0, "key": 0, "one": 0, "two": 0, "block": 0, "id": np.arange(n), "signs": [s.tobytes() for s in signs], "factor": factor, "steps": [s.tobytes() for s in steps], "step": step})
+    unit, frame = coded_frame(np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape)]))
     cosine = unit.astype(float) @ unit.astype(float).T
     np.fill_diagonal(cosine, -1)
     for threshold in (0.8, 0.9, 0.95):
         found = set(embeddings.likely(frame, threshold)["id"])
         assert set(np.flatnonzero((cosine >= threshold).any(axis=1)).tolist()) <= found
-    assert len(embeddings.likely(frame, 0.999)) < n
+    # Vectors that are far from all others are not fetched.
+    x = rng.standard_normal((60, 512))
+    x[1] = x[0] + 0.1 * x[2]
+    assert sorted(embeddings.likely(coded_frame(x)[1], 0.95)["id"]) == [0, 1]
 
 
 def test_rotated_codes_are_unbiased():
