@@ -30,7 +30,7 @@ EXAMPLE_OWNERS = 3
 #: So do so many repositories for each owner.
 EXAMPLE_REPOSITORIES = 100
 
-_SPAN = "array<struct<start:bigint,kind:int,stop:bigint,size:bigint,hash:string>>"
+_SPAN = "array<struct<start:bigint,kind:int,stop:bigint,size:bigint,hash:string,mixed:boolean>>"
 
 
 #: Elements that a running value goes through at a time; see running().
@@ -72,7 +72,10 @@ def _let(value: Column, body) -> Column:
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """All matches in order, with the size and hash of a group's value."""
+    """All matches in order, with the size and hash of a group's value; mixed: another token holds letters and digits.
+
+    A value is looked at here, where it is at hand: to cut it from the text again would go through all before it.
+    """
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     items = F.filter(F.arrays_zip(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
 
@@ -80,8 +83,9 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         stops = running(F.transform(own, lambda x: (F.length(x["gap"]) + F.length(x["m"])).cast("long")), lambda s, x: s + x, F.lit(0).cast("long"))
 
         def one(x: Column, stop: Column) -> Column:
+            mixed = x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]") if kind == KINDS.index("owned") else F.lit(False)
             return F.struct(
-                (stop - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.length(x["v"]).cast("long").alias("size"), F.sha2(x["v"], 256).alias("hash")
+                (stop - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.length(x["v"]).cast("long").alias("size"), F.sha2(x["v"], 256).alias("hash"), mixed.alias("mixed")
             )
 
         return F.zip_with(own, stops, one)
@@ -123,12 +127,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat(assign, access, hexes))
     other = _where(text.rlike(OTHER), spans(text, OTHER, 3))
     # One struct, bound once to a lambda's variable: nothing below evaluates a pattern again for each span.
-    once = F.array(F.struct(text.alias("text"), base.alias("base"), other.alias("other")))
+    once = F.array(F.struct(base.alias("base"), other.alias("other")))
 
     def judged(r: Column) -> Column:
-        value = lambda x: F.substring(r["text"], (x["start"] + 1).cast("int"), x["size"].cast("int"))
         # Pure words and pure numbers are no candidates, nor is what a base span touches.
-        kept = F.filter(r["other"], lambda x: value(x).rlike("[0-9]") & value(x).rlike("[A-Za-z]"))
+        kept = F.filter(r["other"], lambda x: x["mixed"])
         return F.struct(r["base"].alias("base"), apart(r["base"], kept).alias("other"))
 
     return docs.select("doc_id", "source", F.transform(once, judged)[0].alias("__found")).select("doc_id", "source", "__found.base", "__found.other")
