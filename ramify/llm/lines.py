@@ -86,14 +86,14 @@ _KEYED = ", ".join(f"{c} long" for c in _KEY)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows of docs as a struct, with their texts and keys."""
+    """The rows of docs as a struct, and their keys."""
     text = F.col("row.text")
     doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return packed(docs).select("row", text.alias("text"), doc.alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("h2"))
+    return packed(docs).select("row", doc.alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("h2"))
 
 
 def repeated(rows: DataFrame, digest: Digest) -> DataFrame:
-    """Keys and the hashes of the chunks that other documents hold too, of rows (text and key)."""
+    """Keys and the hashes of the chunks that other documents hold too, of rows (row and key)."""
 
     @released
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +103,7 @@ def repeated(rows: DataFrame, digest: Digest) -> DataFrame:
                 out.extend((doc, h1, h2, hi, lo) for hi, lo in {c[3:] for c in chunks(text.split("\n"), digest)})
             yield pd.DataFrame(out, columns=[*_KEY, "hi", "lo"]).astype("int64")
 
-    places = rows.filter("text is not null").select(*_KEY, "text").mapInPandas(found, f"{_KEYED}, hi long, lo long")
+    places = rows.filter("row.text is not null").select(*_KEY, "row.text").mapInPandas(found, f"{_KEYED}, hi long, lo long")
     key = F.struct(*_KEY)
     first = places.groupBy("hi", "lo").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first < last").drop("last")
     gone = (key > F.col("first")).alias("gone")
@@ -111,7 +111,7 @@ def repeated(rows: DataFrame, digest: Digest) -> DataFrame:
 
 
 def unequal(rows: DataFrame, digest: Digest) -> dict[tuple[int, int], dict[str, tuple]]:
-    """Texts and first holders of the chunks in rows (text, key, held) that share a hash but not their bytes."""
+    """Texts and first holders of the chunks in rows (row, key, held) that share a hash but not their bytes."""
 
     @released
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +122,7 @@ def unequal(rows: DataFrame, digest: Digest) -> dict[tuple[int, int], dict[str,
                 out.extend((doc, h1, h2, hi, lo, body) for body, hi, lo in {c[2:] for c in chunks(text.split("\n"), digest)} if (hi, lo) in held)
             yield pd.DataFrame(out, columns=[*_KEY, "hi", "lo", "body"])
 
-    bodies = rows.filter("held is not null and text is not null").select(*_KEY, "text", "held").mapInPandas(found, f"{_KEYED}, hi long, lo long, body string")
+    bodies = rows.filter("held is not null").select(*_KEY, "row.text", "held").mapInPandas(found, f"{_KEYED}, hi long, lo long, body string")
     clash = bodies.select("hi", "lo", "body").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo")
     known = clash.collect()  # with 128 bits, none
     out: dict[tuple[int, int], dict[str, tuple]] = {(r["hi"], r["lo"]): {} for r in known}
@@ -166,7 +166,7 @@ def reduced_rows(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) ->
                 out.append(("\n".join(x for x, k in zip(lines, keep) if k) if spans else text, len(lines), int((~keep).sum()), ",".join(spans)))
             yield pd.DataFrame(out, columns=["text", "lines", "removed", "spans"])
 
-    return joined.select("row", reduced(*_KEY, "copy", "text", "held").alias("done"))
+    return joined.select("row", reduced(*_KEY, "copy", "row.text", "held").alias("done"))
 
 
 def deduplicated(docs: DataFrame, digest: Digest = xxhash.xxh3_128_intdigest) -> DataFrame:
