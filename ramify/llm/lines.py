@@ -20,6 +20,7 @@ empty table gives an empty table; other columns are carried along untouched, wha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ def boundaries(lines: list[str]) -> list[tuple[int, int]]:
     n = len(lines)
     if n < LEAST:
         return []
-    h = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=n)
+    h = np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:8] for x in lines), dtype=">u8").astype(np.uint64)
     rolling = h.copy()
     for back in range(1, WINDOW):
         rolling[back:] = rolling[back:] + h[:-back] * _BASE ** np.uint64(back)
@@ -189,5 +190,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+_WORD_SQL = r"'[\p{L}\p{N}]'"
+#: The same units, holders and places, with units told by their text.
+_SQL = f"""WITH RECURSIVE t AS (SELECT doc_id, text, string_split(text, chr(10)) ls FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, len(ls) n, i, regexp_matches(ls[i + 1], {_WORD_SQL}) w, CAST('0x' || substr(md5(ls[i + 1]), 1, 16) AS UBIGINT)::UHUGEINT h FROM (SELECT *, unnest(range(0, len(ls))) i FROM t)),
+ rolled AS (SELECT *, CAST((h + coalesce(lag(h) OVER d, 0) * {int(_BASE)}::UHUGEINT % {1 << 64}::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT) r, sum(w::INT) OVER d cw FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ ends AS (SELECT doc_id, i + 1 e, cw FROM rolled WHERE n >= {LEAST} AND xor(r, r >> 29)::UHUGEINT * {int(_BASE)}::UHUGEINT % {1 << 64}::UHUGEINT < {(1 << 64) // EVERY}::UHUGEINT),
+ cut AS (SELECT doc_id, 0::BIGINT a, NULL::BIGINT b, 0::HUGEINT cw, 0 k FROM t WHERE len(ls) >= {LEAST}
+  UNION ALL SELECT c.doc_id, any_value(coalesce(c.b, c.a)), min(e.e), arg_min(e.cw, e.e), any_value(c.k) + 1 FROM cut c JOIN ends e ON c.doc_id = e.doc_id AND e.e - coalesce(c.b, c.a) >= {LEAST} AND e.cw > c.cw GROUP BY c.doc_id),
+ whole AS (SELECT doc_id, max(i) + 1 n, max(cw) cw FROM rolled GROUP BY doc_id),
+ last AS (SELECT doc_id, max(k) k, max(coalesce(b, 0)) s, max(cut.cw) cw FROM cut GROUP BY doc_id),
+ tail AS (SELECT doc_id, last.k, s, n, n - s >= {LEAST} AND whole.cw > last.cw OR last.k = 0 own FROM last JOIN whole USING (doc_id)),
+ chunk AS (SELECT c.doc_id, c.a, CASE WHEN c.k = tail.k AND NOT own THEN n ELSE c.b END b FROM cut c JOIN tail USING (doc_id) WHERE c.k > 0 UNION ALL SELECT doc_id, s, n FROM tail WHERE own),
+ worded AS (SELECT doc_id, i, n, lead(i) OVER d nxt, lag(i) OVER d prv FROM l WHERE w AND n >= {LEAST} WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ pairs AS (SELECT doc_id, i a, i + 2 b FROM worded WHERE i + 2 <= n UNION SELECT doc_id, i - 1, i + 1 FROM worded WHERE i >= 1 UNION SELECT doc_id, i, nxt + 1 FROM worded WHERE nxt - i > 2
+  UNION SELECT doc_id, 0, i + 1 FROM worded WHERE prv IS NULL AND i > 1 UNION SELECT doc_id, i, n FROM worded WHERE nxt IS NULL AND n - i > 2),
+ units AS (SELECT doc_id, a, b, array_to_string(ls[a + 1 : b], chr(10)) body FROM (SELECT doc_id, a, b FROM chunk UNION SELECT doc_id, a, b FROM pairs) JOIN t USING (doc_id)),
+ judged AS (SELECT doc_id, a, b, min(doc_id) OVER (PARTITION BY body) < doc_id OR first_value(b) OVER (PARTITION BY doc_id, body ORDER BY a, b) <= a gone FROM units WHERE regexp_matches(body, {_WORD_SQL})),
+ lost AS (SELECT DISTINCT doc_id, unnest(range(a, b)) i FROM judged WHERE gone),
+ runs AS (SELECT doc_id, min(i) a, max(i) + 1 b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) g FROM lost) GROUP BY doc_id, g),
+ told AS (SELECT doc_id, sum(b - a) removed, string_agg(a || ':' || b, ',' ORDER BY a) spans FROM runs GROUP BY doc_id),
+ kept AS (SELECT doc_id, string_agg(ls[i + 1], chr(10) ORDER BY i) body FROM l JOIN t USING (doc_id) ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(len(ls), 0) n_lines, CAST(coalesce(removed, 0) AS BIGINT) n_removed, coalesce(spans, '') removed, CASE WHEN d.text IS NULL THEN NULL WHEN removed IS NULL THEN sha256(d.text) ELSE sha256(coalesce(kept.body, '')) END kept_sha256
+ FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 QUERIES = {"op1_line_dedup": op1_line_dedup}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": _SQL}
