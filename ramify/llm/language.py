@@ -16,6 +16,8 @@ results; an empty table gives an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, released, table
+from .common import checkpointed, held_out, lean, released, table
 from .vocabulary import MODEL, SPACE, Vocabulary, load
 
 SAMPLE = 400
@@ -34,21 +36,24 @@ ROUNDS = 3
 #: Probability of a letter that is no piece, in every language.
 UNKNOWN = 1e-9
 SMOOTH = 0.05
-_CACHE = 200_000
+#: Words that a worker remembers, those that are looked up at once, and those that are scored at once.
+_CACHE, _MANY, _STEP = 200_000, 50_000, 5_000
+_ID_BITS = 24
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Languages that can be learned: the model has a row of 32,000 numbers for each and is sent to all workers.
 LANGUAGES = 500
 _LONG = 40
 
 
-def matcher(pieces: tuple[str, ...], gains: list[float] | None = None):
-    """An Aho-Corasick automaton over the pieces; its values are (length, id), and gains[id] where there are gains."""
+def matcher(pieces: tuple[str, ...], gains: list[float] | None = None, packed: bool = False):
+    """An Aho-Corasick automaton over the pieces; its values are (length, id), and gains[id] where there are gains;
+    packed: both in one number."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
     for i, p in enumerate(pieces):
         if p:
-            found.add_word(p, (len(p), i) if gains is None else (len(p), i, gains[i]))
+            found.add_word(p, (len(p) << _ID_BITS) + i if packed else (len(p), i) if gains is None else (len(p), i, gains[i]))
     found.make_automaton()
     return found
 
@@ -152,11 +157,13 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]
     # A hash limit that leaves about three times SAMPLE of each language, so that no rank sees a whole language.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    likely = known.select("doc_id", "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("rows") < 3 * SAMPLE)
-    first = Window.partitionBy("lang").orderBy("place", "doc_id")
-    few = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
+    counts = checkpointed(counts)
     if counts.limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: this column holds something else")
+    # Broadcast, so that rows are left out before any is dealt by its language.
+    likely = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(F.col("place") * F.col("rows") < 3 * SAMPLE)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    few = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
     # At most SAMPLE ids of each of at most LANGUAGES languages, so this side is always small.
     some = known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
     sent = spark.sparkContext.broadcast(vocabulary.pieces)
@@ -172,29 +179,93 @@ class Words(dict):
     """Row numbers of words in a table of scores, kept for a bounded number of them."""
 
     def __init__(self, pieces: tuple[str, ...], p: np.ndarray):
-        self.automaton, self.singles = matcher(pieces), frozenset(x for x in pieces if len(x) == 1)
-        self.rows, self.languages = p.T.tolist(), len(p)
+        self.pieces, self.singles, self.languages = pieces, frozenset(x for x in pieces if len(x) == 1), len(p)
+        self.numbers = matcher(pieces, packed=True)
+        # The last row is that of a letter that is no piece, whose id is -1.
+        self.p = np.vstack([p.T, np.full((1, len(p)), UNKNOWN)])
         self.table = np.zeros((1024, self.languages))
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i >= len(self.table):
+    def add(self, new: list[str]) -> None:
+        """Scores of words that are not known yet, all of them letter by letter side by side."""
+        while len(self) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = log_forward(SPACE + word, self.automaton, self.singles, self.rows, self.languages)
-        self[word] = i
-        return i
-
-    def score(self, text: str) -> np.ndarray | None:
-        """ln of the text's probability by language; None without a letter."""
-        found = letters(text)
-        total = np.zeros(self.languages)
-        for at in range(0, len(found), 100_000):
+        short = [w for w in new if len(w) < _LONG]
+        if short:
+            at = np.arange(len(self), len(self) + len(short))
+            self.table[at] = self.forward([SPACE + w for w in short])
+            self.update(zip(short, at.tolist()))
+        for word in new:
+            if len(word) >= _LONG:
+                self.table[len(self)] = log_forward(SPACE + word, self.automaton, self.singles, self.p, self.languages)
+                self[word] = len(self)
+
+    @functools.cached_property
+    def automaton(self):
+        return matcher(self.pieces)
+
+    def packed(self, word: str) -> list[int]:
+        """The edges of a word, in no order: place of the last letter, length and id in one number each."""
+        found = [(end << 40) + v for end, v in self.numbers.iter(word)]
+        if not self.singles.issuperset(word):
+            found += [(k << 40) + (1 << _ID_BITS) + len(self.pieces) for k, c in enumerate(word) if c not in self.singles]
+        return found
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """What log_forward gives, for many words of up to _LONG letters."""
+        found = [self.packed(w) for w in words]
+        owner = np.repeat(np.arange(len(words)), [len(f) for f in found])
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=len(owner))
+        turn = np.lexsort((owner, flat >> 40))
+        flat, owner = flat[turn], owner[turn]
+        end, size, piece = (flat >> 40) + 1, (flat >> _ID_BITS) & ((1 << (40 - _ID_BITS)) - 1), flat & ((1 << _ID_BITS) - 1)
+        start = end - size
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        longest = int(lengths.max())
+        sums = np.zeros((longest + 1, len(words), self.languages))
+        sums[0] = 1.0
+        bounds = np.searchsorted(end, np.arange(1, longest + 2))
+        for k in range(1, longest + 1):
+            a, b = bounds[k - 1], bounds[k]
+            own = owner[a:b]
+            if len(own):
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                sums[k, own[first]] = np.add.reduceat(sums[start[a:b], own] * self.p[piece[a:b]], first, axis=0)
+        last = sums[lengths, np.arange(len(words))]
+        return np.where(last > 0, np.log(np.where(last > 0, last, 1.0)), -1e4)
+
+    def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """ln of the texts' probabilities by language; None without a letter."""
+        out: list[np.ndarray | None] = []
+        held: list[list[str]] = []
+        size = 0
+        for text in [*texts, None]:
+            found = letters(text) if text else []
+            held.append(found)
+            size += len(found)
+            if size >= _MANY or len(held) > len(texts) - len(out):
+                out.extend(self.summed(held))
+                held, size = [], 0
+        return out[: len(texts)]
+
+    def summed(self, held: list[list[str]]) -> list[np.ndarray | None]:
+        out: list[np.ndarray | None] = []
+        every = [w for found in held for w in found]
+        total = [np.zeros(self.languages) for _ in held]
+        owner = np.repeat(np.arange(len(held)), [len(f) for f in held])
+        for at in range(0, len(every), _MANY):
+            part = every[at : at + _MANY]
             if len(self) > _CACHE:
                 self.clear()
-            part = found[at : at + 100_000]
-            i = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
-            total += self.table[i].sum(axis=0)
-        return total if found else None
+            new = list(dict.fromkeys(w for w in part if w not in self))
+            for k in range(0, len(new), _STEP):
+                self.add(new[k : k + _STEP])
+            rows = self.table[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))]
+            own = owner[at : at + _MANY]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for k, s in zip(own[first].tolist(), np.add.reduceat(rows, first, axis=0)):
+                total[k] = total[k] + s
+        out.extend(t if f else None for t, f in zip(total, held))
+        return out
 
 
 def identified(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -211,8 +282,7 @@ def identified(docs: DataFrame, model: str = MODEL) -> DataFrame:
         known = Words(pieces, probabilities) if names else None
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                logs = known.score(text) if known is not None and text else None
+            for logs in known.scores(pdf["text"].tolist()) if known is not None else [None] * len(pdf):
                 if logs is None:
                     out.append(("und", 0.0))
                     continue

@@ -456,6 +456,23 @@ def test_forward_sums_all_segmentations(monkeypatch):
         assert language.log_forward(word, automaton, singles, p.T.tolist(), 1)[0] == pytest.approx(np.log(total(word)))
 
 
+def test_words_side_by_side_score_as_alone(monkeypatch):
+    rng = random.Random(19)
+    pieces = ("a", "b", "ab", "ba", "abb", "▁", "▁a", "")
+    p = np.abs(np.random.RandomState(1).standard_normal((3, len(pieces)))) * 0.1
+    known = language.Words(pieces, p)
+    words = list({"".join(rng.choice("abé") for _ in range(rng.randint(1, 60))) for _ in range(200)})
+    known.add(words)
+    for w in words:
+        want = language.log_forward("▁" + w, known.automaton, known.singles, p.T.tolist(), 3)
+        assert known.table[known[w]].tolist() == pytest.approx(want)
+    monkeypatch.setattr(language, "_MANY", 7)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 7, 20, 3)] + [None, "12 .", "ab"]
+    for text, got in zip(texts, known.scores(texts), strict=True):
+        want = sum((known.table[known[w]] for w in (text or "").split() if w.isalpha()), np.zeros(3))
+        assert got is None if not language.letters(text or "") else got.tolist() == pytest.approx(want.tolist())
+
+
 def test_numerals_are_no_letters(spark):
     rows = [(i, "der Hund und die Katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(40)]
     rows += [(100, "² ½ ①", None), (101, "Ⅷ 12", None), (102, "½ the dog", None)]
