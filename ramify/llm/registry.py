@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, language, lines, minhash, mixing, secrets, sentencepiece, suffixes, toxicity
+from . import clusters, embeddings, fingerprints, language, lines, minhash, mixing, search, secrets, sentencepiece, shards, suffixes, toxicity
 
-MODULES = [lines, mixing, embeddings, secrets, fingerprints, toxicity, language, sentencepiece, minhash, suffixes]
+MODULES = [lines, mixing, embeddings, secrets, fingerprints, toxicity, language, sentencepiece, minhash, suffixes, clusters, shards, search]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
