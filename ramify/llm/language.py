@@ -3,13 +3,14 @@
 Every language has a probability for each piece of a fixed public vocabulary. The probability of a word
 is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product
 over its words (runs of letters, lower-cased, with the mark of a word's start). Piece probabilities are
-fitted by expectation maximisation on a bounded sample: the first SAMPLE documents of each language by a
-hash of their id. Rows whose crc32(doc_id) leaves 2 modulo 4 are never learned from. Rows are scored
+fitted by expectation maximisation on a bounded sample: the first SAMPLE rows of each language by a
+hash of their id and text. Rows whose crc32(doc_id) leaves 2 modulo 4 are never learned from. Rows are scored
 against every language with equal priors; the score is the posterior of the best.
 
 Edge cases: more than LANGUAGES languages are an error; a null text, or one without a letter (numerals such as ½ are
 none), is `und` with score 0, and so is every text where no
-language could be learned; null languages are not learned; letters outside the vocabulary cost every
+language could be learned; null languages are not learned; rows without an id, and rows that share one, are learned from
+like others, and of repeated rows no more than SAMPLE; letters outside the vocabulary cost every
 language the same; equally likely languages go to the first by code point; repeated rows get equal
 results; an empty table gives an empty table; other columns are not looked at.
 """
@@ -154,18 +155,18 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]
     """Languages by code point and their piece probabilities (languages x pieces)."""
     spark = docs.sparkSession
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # A hash limit that leaves about three times SAMPLE of each language, so that no rank sees a whole language.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # A hash limit that leaves about three times SAMPLE of each language, so that no rank sees a whole language. Rows that
+    # are equal in id and text share a place; as the limit follows from how many places there are, they can't all miss it.
+    hashed = F.xxhash64("doc_id", "text")
+    place = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("places"))
     counts = checkpointed(counts)
     if counts.limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: this column holds something else")
-    # Broadcast, so that rows are left out before any is dealt by its language.
-    likely = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang").filter(F.col("place") * F.col("rows") < 3 * SAMPLE)
+    # Broadcast, so that rows are left out before any is dealt by its language. Of equal rows a task hands on SAMPLE at most.
+    likely = known.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(counts), "lang").filter(F.col("place") * F.col("places") < 3 * SAMPLE)
     first = Window.partitionBy("lang").orderBy("place", "doc_id")
-    few = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
-    # At most SAMPLE ids of each of at most LANGUAGES languages, so this side is always small.
-    some = known.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
+    some = likely.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("lang", "text")
     sent = spark.sparkContext.broadcast(vocabulary.pieces)
 
     def learned(pdf: pd.DataFrame) -> pd.DataFrame:
