@@ -4,9 +4,9 @@ Links are those between rows with equal texts (128 bits of hash), and a text's r
 other rows of its hub. A hub's rows begin dealt over the shards. In a round the rows of a hub that lie in one shard, a
 cell, ask for the shard where most of their neighbours are, of those that have room or would give rows in turn. Quotas
 say how many rows go from one shard to another: as many as come the other way, and what room the shard has that they ask
-for, for the largest gains first. Cells are known by their counts, so that a hub of any size is a few numbers, and a round
-is one sum over cells, by pair of shards and class of gain, and a join with the quotas. A round leaves no shard over its
-share that was not so before. Rounds end when nothing moves, or after ROUNDS.
+for, for the largest gains first. Cells are known by their counts, so that a hub of any size is a few numbers in one row: a
+round is a sum over cells, by pair of shards and class of gain, and a projection with the quotas, a number of rows for each
+pair. A round leaves no shard over its share that was not so before. Rounds end when nothing moves, or after ROUNDS.
 
 Then rows get places. Every row has a key, and its rank in its hub follows from counts of slices of keys, so no task sees
 a hub. Rows without links fill the shards' rooms. Rows are numbered within their shards, linked ones first; numbers
@@ -58,69 +58,89 @@ def dealt(hubs: DataFrame, shards: int) -> DataFrame:
     return hubs.withColumn("at", F.transform(numbers, at))
 
 
-def asked(hubs: DataFrame, room: list[int], turn: int = 0) -> DataFrame:
-    """The cells of hubs that would move: h1, h2, i (from), j (to), m (rows) and gain (class and slice, the best least).
+def targeted(hubs: DataFrame, room: list[int], turn: int = 0) -> DataFrame:
+    """Hubs with cells: for every shard j that holds rows of the hub, m (rows), to (the shard that they ask for, j itself
+    where they stay) and gain (class and slice, the best least).
 
-    A hub's target is the shard of its largest cell (of equal ones, by a hash of the hub, the shard and the round), or, where that has
-    no room and the hub has three cells or more, of its largest cell with room. Smaller cells ask for it; in a shard without
-    room they can take the places of rows that leave for theirs.
+    A hub's target is the shard of its largest cell (of equal ones, by a hash of the hub, the shard and the round), or, where
+    that has no room and the hub has three cells or more, of its largest cell with room. Smaller cells ask for it; in a shard
+    without room they can take the places of rows that leave for theirs.
     """
     n = len(room)
-    place = F.array(*[F.lit(j) for j in range(n)])
-    order = lambda j: F.struct(F.get("at", j).alias("n"), F.xxhash64(*_HUB, j, F.lit(turn)).alias("t"), j.alias("j"))
-    cells = F.transform(F.filter(place, lambda j: F.get("at", j) > 0), order)
+    order = lambda j: F.struct(F.get("at", j).alias("m"), F.xxhash64(*_HUB, j, F.lit(turn)).alias("t"), j.alias("j"))
+    cells = F.transform(F.filter(F.array(*[F.lit(j) for j in range(n)]), lambda j: F.get("at", j) > 0), order)
     spare = F.array(*[F.lit(v > 0) for v in room])
-    first = F.array_max("cells")
-    open_ = F.array_max(F.filter("cells", lambda c: F.get(spare, c["j"])))
-    rows = hubs.withColumn("cells", cells).withColumns({"first": first, "open": open_})
+    rows = hubs.withColumn("cells", cells).withColumns({"first": F.array_max("cells"), "open": F.array_max(F.filter("cells", lambda c: F.get(spare, c["j"])))})
     target = F.when(F.get(spare, F.col("first.j")) | F.col("open").isNull() | (F.size("cells") == 2), F.col("first")).otherwise(F.col("open"))
-    rows = rows.withColumn("to", target).withColumn("cell", F.explode("cells"))
-    rows = rows.filter((F.col("cell.j") != F.col("to.j")) & (F.struct("cell.n", "cell.t", "cell.j") < F.col("to")))
-    size = F.floor(F.log2(F.col("to.n").cast("double"))).cast("int")
-    return rows.select(*_HUB, F.col("cell.j").alias("i"), F.col("to.j").alias("j"), F.col("cell.n").alias("m"), ((63 - size) * CLASS + F.pmod(F.xxhash64(*_HUB, F.col("cell.j")), F.lit(CLASS))).cast("int").alias("gain"))
+    rows = rows.withColumn("target", target)
+    size = F.floor(F.log2(F.col("target.m").cast("double"))).cast("int")
 
+    def wish(c: Column) -> Column:
+        gain = (63 - size) * CLASS + F.pmod(F.xxhash64(*_HUB, c["j"]), F.lit(CLASS)).cast("int")
+        return F.struct(c["j"].alias("j"), c["m"].alias("m"), F.when(c < F.col("target"), F.col("target.j")).otherwise(c["j"]).alias("to"), gain.alias("gain"))
 
-def quotas(wishes: list[tuple[int, int, int, int]], room: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(i, j, gain, rows allowed, rows asked) of wishes (i, j, gain, rows): between two shards as many as go the other way,
-    and further ones into a shard's room, best gains first."""
+    return rows.select(*_HUB, "total", "at", F.transform("cells", wish).alias("cells"))
+
+
+def quotas(wishes: list[tuple[int, int, int, int]], room: list[int]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of wishes (i, j, gain, rows), how far those from i to j are met: all below a gain, and at this gain so many of so
+    many rows. Between two shards as many move as the other way, and further ones into a shard's room, best gains first."""
     want: dict[tuple[int, int], int] = {}
     for i, j, _, m in wishes:
         want[i, j] = want.get((i, j), 0) + m
     free = {p: min(m, want.get((p[1], p[0]), 0)) for p, m in want.items()}
-    left, out = list(room), []
+    left, out = list(room), {}
     for i, j, gain, m in sorted(wishes, key=lambda w: (w[2], w[0], w[1])):
         swap = min(m, free[i, j])
         free[i, j] -= swap
         more = min(m - swap, max(left[j], 0))
         left[j] -= more
+        # What a pair is allowed ends where its swaps and its target's room have ended.
         if swap + more:
-            out.append((i, j, gain, swap + more, m))
+            out[i, j] = (gain, swap + more, m)
     return out
 
 
+def moved(hubs: DataFrame, allowed: dict[tuple[int, int], tuple[int, int, int]], shards: int) -> DataFrame:
+    """Hubs (h1, h2, total, at) after the moves that are allowed, with moves: how many rows moved."""
+    pairs = [allowed.get((i, j), (-1, 0, 1)) for i in range(shards) for j in range(shards)]
+    limit, part, whole = (F.array(*[F.lit(p[k]).cast("long") for p in pairs]) for k in range(3))
+
+    def gone(c: Column) -> Column:
+        """A part of a slice moves as whole numbers rounded down, so that no quota is passed."""
+        pair = c["j"] * shards + c["to"]
+        cut = F.floor(c["m"].cast("decimal(38,0)") * F.get(part, pair) / F.get(whole, pair)).cast("long")
+        met = F.when(c["gain"] < F.get(limit, pair), c["m"]).when(c["gain"] == F.get(limit, pair), cut).otherwise(F.lit(0).cast("long"))
+        return F.struct(c["j"].alias("j"), c["to"].alias("to"), F.when(c["j"] == c["to"], F.lit(0).cast("long")).otherwise(met).alias("m"))
+
+    rows = hubs.withColumn("gone", F.transform("cells", gone))
+    sums = lambda f: F.aggregate(F.transform("gone", f), F.lit(0).cast("long"), lambda a, b: a + b)
+    numbers = F.array(*[F.lit(j) for j in range(shards)])
+    at = F.transform(numbers, lambda k: F.get("at", k) + sums(lambda g: F.when(g["to"] == k, g["m"]).otherwise(F.lit(0).cast("long")) - F.when(g["j"] == k, g["m"]).otherwise(F.lit(0).cast("long"))))
+    return rows.select(*_HUB, "total", at.alias("at"), sums(lambda g: g["m"]).alias("moves"))
+
+
+#: Hubs of a task in a round.
+_HUBS = 100_000
+
+
 def propagated(hubs: DataFrame, share: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Hubs (h1, h2, total, at) after the rounds."""
-    spark, n = hubs.sparkSession, len(share)
+    n = len(share)
     hubs = checkpointed(hubs)
+    hubs = hubs.coalesce(hubs.count() // _HUBS + 1)
     for turn in range(rounds):
         used = hubs.agg(*[F.sum(F.get("at", F.lit(j))) for j in range(n)]).first()
         room = [s - (u or 0) for s, u in zip(share, used)]
-        cells = asked(hubs, room, turn)
+        asking = targeted(hubs, room, turn)
         # At most a row for each pair of shards, class of gain and slice.
-        wishes = [tuple(r) for r in cells.groupBy("i", "j", "gain").agg(F.sum("m")).collect()]
-        allowed = quotas(wishes, room)
+        cells = asking.select(F.explode("cells").alias("c")).filter("c.j != c.to").groupBy("c.j", "c.to", "c.gain").agg(F.sum("c.m"))
+        allowed = quotas([tuple(r) for r in cells.collect()], room)
         if not allowed:
             break
-        limits = F.broadcast(spark.createDataFrame(allowed, "i int, j int, gain int, allowed long, asked long"))
-        # A part of a slice moves as whole numbers rounded down, so that no quota is passed.
-        moved = cells.join(limits, ["i", "j", "gain"]).withColumn("m", F.expr("cast(floor(cast(m as decimal(38,0)) * allowed / asked) as bigint)")).filter("m > 0")
-        steps = [F.sum(F.when(F.col("j") == k, F.col("m")).when(F.col("i") == k, -F.col("m")).otherwise(0)) for k in range(n)]
-        moved = moved.groupBy(*_HUB).agg(F.array(*steps).alias("more"))
-        after = hubs.join(moved, _HUB, "left")
-        after = checkpointed(after.select(*_HUB, "total", F.when(F.col("more").isNull(), F.col("at")).otherwise(F.zip_with("at", "more", lambda a, b: a + b)).alias("at"), F.col("more").isNotNull().alias("moves")))
-        still = after.filter("moves").limit(1).count()
+        after = checkpointed(moved(asking, allowed, n))
         hubs = after.drop("moves")
-        if not still:
+        if not after.filter("moves > 0").limit(1).count():
             break
     return hubs
 
