@@ -91,8 +91,8 @@ def grow(frontier: DataFrame, compat: bool = True) -> DataFrame:
     return now.select(*PARAMS, "path", "left", "d", "u", "beta", *[F.col("end")[c].alias(c) for c in ("x", "y", "z", "alpha", "diam", "p")])
 
 
-def branch(grown: DataFrame, compat: bool = True) -> DataFrame:
-    """The two open branches behind each stem."""
+def forked(grown: DataFrame, compat: bool = True) -> DataFrame:
+    """Stems with sides: the states in which their two branches open."""
     d1, d2 = physics.daughters(F.col("d"), F.col("k"), F.col("sigma"), F.col("stochparams"), _normal("f"))
     tilt = {f"tilt{i}": rng.between(_draw(f"t{i}"), 22.5, 27.5) * rng.integer(_draw(f"u{i}"), -1, 1) for i in (1, 2)}
     now = grown.withColumns({"f1": d1, "f2": d2} | tilt)
@@ -102,33 +102,69 @@ def branch(grown: DataFrame, compat: bool = True) -> DataFrame:
         F.struct(F.lit(str(i)).alias("step"), F.col(f"f{i}").alias("d"), (F.col("alpha") + F.col(f"th{i}") * (1 if i == 1 else -1) - _extra(F.col(f"tilt{i}"), compat)).alias("alpha"), (F.col("beta") + F.col(f"tilt{i}")).alias("beta"))
         for i in (1, 2)
     ]
-    now = now.withColumn("side", F.explode(F.array(*sides)))
+    return now.select(*PARAMS, "path", "left", "d", "x", "y", "z", "diam", "p", F.array(*sides).alias("sides"))
+
+
+def opened(stems: DataFrame) -> DataFrame:
+    """The two open branches behind each stem."""
+    now = stems.withColumn("side", F.explode("sides"))
     return now.select(*PARAMS, F.concat("path", "side.step").alias("path"), (F.col("left") - 1).alias("left"), F.col("side.d").alias("d"), "x", "y", "z", F.col("side.alpha").alias("alpha"), F.col("side.beta").alias("beta"), "diam")
 
 
-#: At this level a network has 16 open branches, which are then dealt over all tasks.
-SPREAD = 4
+#: Open branches up to which a level may sit in any number of tasks, and those that a task gets where there are many.
+FEW, PER_TASK = 16, 4096
+
+
+def open_branches(params: DataFrame) -> list[int]:
+    """How many open branches with a stem the networks have together at each level; a row for each kind of n is collected."""
+    kinds = [(r["n"], r["count"]) for r in params.filter("d0 > 0 and n >= 3").groupBy("n").count().collect()]
+    return [sum(number << level for n, number in kinds if n - 2 > level) for level in range(max((n - 2 for n, _ in kinds), default=0))]
+
+
+def path_number(path: Column) -> Column:
+    """A path's place among those of its length: its steps 1 and 2 as binary digits."""
+    return F.coalesce(F.conv(F.translate(path, "12", "01"), 2, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def dealt(frontier: DataFrame, tasks: int) -> DataFrame:
+    """Open branches over this many tasks; a network's lie in as many as it has branches, or in all, evenly."""
+    place = F.pmod(F.xxhash64("network_id") % F.lit(1 << 32) + path_number(F.col("path")), F.lit(tasks))
+    return frontier.repartitionById(tasks, place.cast("int"))
 
 
 def stems(params: DataFrame, depth: int | None = None, compat: bool = True) -> DataFrame:
-    """network_id, path, level, d and p (six points) of every stem: windows of the network's polyline.
+    """network_id, path, level, left, d and p (six points) of every stem: windows of the network's polyline.
 
     The number of levels is the largest n of params; depth, where given, must be that or more. A level is computed once
-    and kept, so a plan never holds two.
+    and kept, so a plan never holds two. How many branches a level has is known beforehand: the frontier is dealt anew
+    where it has outgrown its tasks, which are at least as many as run at once.
     """
-    most = params.agg(F.max("n")).first()[0] or 0
-    if depth is not None and depth < most:
-        raise ValueError(f"networks of {most} levels are deeper than {depth}")
-    frontier, found = roots(params).filter("left >= 3"), []
-    for level in range(max(1, most - 2)):
-        if level == SPREAD:
-            frontier = frontier.repartition("network_id", "path")
-        grown = checkpointed(grow(frontier, compat))
+    spark = params.sparkSession
+    number = open_branches(params)
+    if depth is not None and depth < len(number) + 2:
+        raise ValueError(f"networks of {len(number) + 2} levels are deeper than {depth}")
+    frontier, found, tasks = roots(params).filter("left >= 3"), [], 0
+    for level, branches in enumerate(number or [0]):
+        want = min(branches, max(spark.sparkContext.defaultParallelism, branches // PER_TASK))
+        if branches > FEW and tasks < want:
+            tasks = want
+            frontier = dealt(frontier, tasks)
+        grown = checkpointed(forked(grow(frontier, compat), compat))
         found.append(grown.select("network_id", "path", F.lit(level).alias("level"), "left", "d", "p"))
-        frontier = branch(grown, compat).filter("left >= 3")
+        frontier = opened(grown).filter("left >= 3")
     return reduce(DataFrame.unionByName, found)
 
 
+def tree(params: DataFrame) -> DataFrame:
+    """network_id, level and path of every stem, without its geometry: a network of n levels has 2^level at each level up
+    to n - 3."""
+    levels = params.filter("d0 > 0 and n >= 3").select("network_id", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("level"))
+    most = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")) - 1
+    places = levels.select("network_id", "level", F.explode(F.sequence(F.lit(0).cast("long"), most)).alias("place"))
+    steps = F.translate(F.lpad(F.bin("place"), F.col("level"), F.lit("0")), "01", "12")
+    return places.select("network_id", "level", F.when(F.col("level") == 0, F.lit("")).otherwise(steps).alias("path"))
+
+
 def stem_windows(found: DataFrame) -> DataFrame:
     """Stems as windows: network_id, run (the path), window 0, pos and the point."""
     rows = found.select("network_id", F.col("path").alias("run"), F.lit(0).cast("long").alias("window"), F.posexplode("p").alias("pos", "at"))

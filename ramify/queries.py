@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import physics, rng, vector
+from .lineage import scratch
 from .operators import image, paths, voxel
 from .operators.turtle import turtle
 from .plans import grammar, network
-from .sources import params, reports
+from .sources import params, reports, tiff
 from .sources import volumes as volumes_of
 
 TISSUE = (64, 64, 32)
@@ -426,8 +427,9 @@ def plot_segments(spark, sf_dir):
 @query("SELECT s_suppkey network_id, CAST(pow(2, s_suppkey % 3 + 4) - 1 AS BIGINT) stems, CAST(5 * (pow(2, s_suppkey % 3 + 4) - 1) AS BIGINT) steps FROM supplier")
 def grammar_sizes(spark, sf_dir):
     """Stems and steps of every network's tree."""
-    found = grammar.stems(parameters(spark, sf_dir))
-    return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("stems"), F.sum(F.size("p") - 1).cast("long").alias("steps"))
+    found = grammar.tree(parameters(spark, sf_dir))
+    stems = F.count(F.lit(1))
+    return found.groupBy("network_id").agg(stems.alias("stems"), (stems * 5).alias("steps"))
 
 
 @query("SELECT s_suppkey network_id, CAST(1 + 5 * (pow(2, m - 2) - 1) + 5 * pow(2, m - 2) + pow(2, m - 1) + pow(2, m) + 4 * (pow(2, m) - 1) AS BIGINT) n_rows, CAST(2 * (pow(2, m) - 1) AS BIGINT) gaps FROM (SELECT s_suppkey, s_suppkey % 3 + 6 m FROM supplier)")
@@ -557,17 +559,35 @@ def network_stacks(spark, sf_dir):
     return pages.filter("value = 0").select(F.col("volume_id").cast("long").alias("network_id"), "z", F.col("x").alias("y"), F.col("y").alias("x"))
 
 
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder that the networks' stacks are written to."""
+    path, rows = scratch(spark, "stacks"), parameters(spark, sf_dir)
+    tiff.write_stacks(network.network_voxels(rows, TISSUE), rows, path, TISSUE)
+    return path
+
+
+def _network():
+    """The network in a stack's name."""
+    return F.regexp_extract("volume_id", r"_(\d+)\.tiff$", 1).cast("long")
+
+
 @query(f"{oracles.voxels(TISSUE)} SELECT network_id, count(*) dark, {TISSUE[0] * TISSUE[1] * TISSUE[2]} - count(*) light, CAST(sum(x + {TISSUE[0]} * (y + {TISSUE[1]} * z)) AS BIGINT) places FROM voxels GROUP BY network_id")
 def load_volume(spark, sf_dir):
-    """Volumes read from pages: how many places are 0 and 255 of each, and where the dark ones are."""
-    stacks = volumes_of.tiff_stacks(network.network_voxels(parameters(spark, sf_dir), TISSUE), TISSUE)
-    pages = volumes_of.planes(stacks.select(F.col("network_id").cast("string").alias("path"), "content"))
+    """Volumes read from files: how many places are 0 and 255 of each, and where the dark ones are."""
+    places = volumes_of.load_volume(spark, _written(spark, sf_dir))
     place = F.col("y") + TISSUE[0] * (F.col("x") + TISSUE[1] * F.col("z"))
-    return pages.groupBy(F.col("volume_id").cast("long").alias("network_id")).agg(
+    return places.groupBy(_network().alias("network_id")).agg(
         F.sum((F.col("value") == 0).cast("long")).alias("dark"), F.sum((F.col("value") == 255).cast("long")).alias("light"), F.sum(F.when(F.col("value") == 0, place)).alias("places")
     )
 
 
+@query(f"{oracles.voxels(TISSUE)} SELECT network_id, CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM voxels")
+def stack_files(spark, sf_dir):
+    """Voxels of every network, written as files and read from these by ranges of pages."""
+    found = tiff.read_stacks(spark, _written(spark, sf_dir), pages=8).filter("value = -1")
+    return found.select(_network().alias("network_id"), "z", F.col("x").alias("y"), F.col("y").alias("x"))
+
+
 @query(f"WITH {_POINTS}, kept AS (SELECT * FROM points WHERE NOT gap), last AS (SELECT network_id, max(seq) + 1 AS behind FROM kept GROUP BY network_id) SELECT network_id, seq, false AS is_gap, x, y, z, diam FROM kept UNION ALL SELECT network_id, behind + k, k = 2, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE k + 0.5 END::DOUBLE, CASE WHEN k = 2 THEN -1.0 ELSE 2.0 END::DOUBLE FROM last, (SELECT unnest([0, 1, 2]) k)")
 def generate_points_gap(spark, sf_dir):
     """Two points and a gap put behind every polyline; -1 stands for a gap's numbers."""
