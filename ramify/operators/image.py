@@ -28,10 +28,44 @@ def salt_pepper(volume: DataFrame, snr: float, seed: int = 0) -> DataFrame:
     return volume.withColumn("value", noisy)
 
 
-def ball_offsets(thresh: int) -> list[tuple[int, int, int]]:
-    """Offsets closer than thresh (strictly)."""
-    span = range(-thresh, thresh + 1)
-    return [(i, j, k) for i in span for j in span for k in span if i * i + j * j + k * k < thresh * thresh]
+def _ball(thresh: int) -> Column:
+    """Offsets (j, i) in a plane that are closer than thresh (strictly), each with h: how far the ball goes along z there."""
+    span = F.array(*[F.lit(k) for k in range(1 - thresh, thresh)])
+    left = lambda j, i: F.lit(thresh * thresh - 1) - j * j - i * i
+    pairs = F.flatten(F.transform(span, lambda j: F.transform(span, lambda i: F.struct(j.alias("j"), i.alias("i"), left(j, i).alias("left")))))
+    return F.transform(F.filter(pairs, lambda p: p["left"] >= 0), lambda p: F.struct(p["j"].alias("j"), p["i"].alias("i"), F.floor(F.sqrt(p["left"].cast("double"))).cast("int").alias("h")))
+
+
+def dilated(ones: DataFrame, thresh: int) -> DataFrame:
+    """volume_id, y, x, word and bits (bit k: z = 64 * word + k) of all places closer than thresh to one of ones
+    (volume_id, z, y, x).
+
+    Ones are gathered as words along z. A word is widened along z bit by bit, all of its places at once, with the words
+    beside it; its widths go to the lines around it that have these reaches. So a word makes a row, or a few, for each line
+    of the ball, whatever it holds.
+    """
+    sides = -(-(thresh - 1) // 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("z"), F.lit(64)).cast("int"))
+    words = ones.groupBy("volume_id", "y", "x", F.floor(F.col("z") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    zero = F.lit(0).cast("long")
+    up = lambda c, k: F.call_function("shiftleft", c, F.lit(k))
+    down = lambda c, k: F.call_function("shiftrightunsigned", c, F.lit(k))
+    size = 2 * sides + 1
+
+    def wider(w: Column) -> Column:
+        at = [F.get(w, F.lit(k)) for k in range(size)]
+        parts = []
+        for k, c in enumerate(at):
+            c = c.bitwiseOR(up(c, 1)).bitwiseOR(down(c, 1))
+            c = c.bitwiseOR(down(at[k - 1], 63)) if k else c
+            parts.append(c.bitwiseOR(up(at[k + 1], 63)) if k + 1 < size else c)
+        return F.array(*parts)
+
+    first = F.array(F.array(*[F.col("bits") if k == sides else zero for k in range(size)]))
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(thresh - 1)), first, lambda a, _: F.concat(a, F.array(wider(F.element_at(a, -1))))) if thresh > 1 else first
+    around = words.withColumn("grown", grown).withColumn("o", F.explode(_ball(thresh)))
+    around = around.select("volume_id", (F.col("y") + F.col("o.j")).alias("y"), (F.col("x") + F.col("o.i")).alias("x"), "word", F.posexplode(F.get("grown", F.col("o.h"))).alias("k", "bits"))
+    return around.filter("bits != 0").groupBy("volume_id", "y", "x", (F.col("word") + F.col("k") - sides).alias("word")).agg(F.bit_or("bits").alias("bits"))
 
 
 def wrap(volume: DataFrame, thresh: int = 0, mode: str = "observed") -> DataFrame:
@@ -40,25 +74,27 @@ def wrap(volume: DataFrame, thresh: int = 0, mode: str = "observed") -> DataFram
     "observed": only the first voxel that a scan by z, y, x reaches is written. "dilate": every voxel within
     thresh of a one that isn't one itself. The volume's values must be 0 and 1, both present.
     """
+    if mode not in ("observed", "dilate"):
+        raise ValueError("mode is observed or dilate")
     kinds = volume.groupBy("volume_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max((~F.col("value").isin(0.0, 1.0)).cast("int")).alias("odd"))
     binary = (F.col("lo") == 0) & (F.col("hi") == 1) & (F.col("odd") == 0)
     kinds = kinds.select("volume_id", F.when(binary, F.lit(True)).otherwise(F.raise_error(F.lit("the volume is not binary"))).alias("__ok"))
     checked = volume.join(kinds, "volume_id").filter("__ok").drop("__ok")
-    offsets = ball_offsets(thresh)
-    if not offsets:
+    if thresh < 1:
         return checked
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in offsets])
-    around = checked.filter("value = 1").withColumn("o", F.explode(places))
-    around = around.select("volume_id", F.col("z").alias("z0"), F.col("y").alias("y0"), F.col("x").alias("x0"), (F.col("z") + F.col("o.i")).alias("z"), (F.col("y") + F.col("o.j")).alias("y"), (F.col("x") + F.col("o.k")).alias("x"))
-    where = ["volume_id", "z", "y", "x"]
+    ones, where = checked.filter("value = 1"), ["volume_id", "z", "y", "x"]
     if mode == "observed":
-        inside = around.join(checked.select(*where), where)
-        hit = inside.groupBy("volume_id").agg(F.min(F.struct("z0", "y0", "x0", "z", "y", "x")).alias("h")).select("volume_id", "h.z", "h.y", "h.x", F.lit(127.0).alias("__to"))
+        # The scan ends at its first one: of the places around that alone, the first inside the volume.
+        first = ones.groupBy("volume_id").agg(F.min(F.struct("z", "y", "x")).alias("at"))
+        around = first.withColumn("o", F.explode(_ball(thresh))).withColumn("k", F.explode(F.sequence(-F.col("o.h"), F.col("o.h"))))
+        around = around.select("volume_id", (F.col("at.z") + F.col("k")).alias("z"), (F.col("at.y") + F.col("o.j")).alias("y"), (F.col("at.x") + F.col("o.i")).alias("x"))
+        hit = around.join(checked.select(*where), where).groupBy("volume_id").agg(F.min(F.struct("z", "y", "x")).alias("h"))
+        hit = hit.select("volume_id", "h.z", "h.y", "h.x", F.lit(127.0).alias("__to"))
         return checked.join(hit, where, "left").withColumn("value", F.coalesce("__to", "value")).select(*volume.columns)
-    if mode != "dilate":
-        raise ValueError("mode is observed or dilate")
-    near = around.select(*where).distinct().withColumn("__to", F.lit(127.0))
-    return checked.join(near, where, "left").withColumn("value", F.when(F.col("value") == 0, F.coalesce("__to", "value")).otherwise(F.col("value"))).select(*volume.columns)
+    near = dilated(ones, thresh)
+    placed = checked.withColumn("word", F.floor(F.col("z") / 64)).join(near, ["volume_id", "y", "x", "word"], "left")
+    reached = F.call_function("getbit", F.coalesce("bits", F.lit(0).cast("long")), F.pmod(F.col("z"), F.lit(64)).cast("int")) == 1
+    return placed.withColumn("value", F.when((F.col("value") == 0) & reached, F.lit(127.0)).otherwise(F.col("value"))).select(*volume.columns)
 
 
 def resize_nearest(volume: DataFrame, source: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
@@ -73,26 +109,46 @@ def resize_nearest(volume: DataFrame, source: tuple[int, int, int], target: tupl
     return out
 
 
-def _shrunk(volume: DataFrame, c: str, n: int, m: int) -> DataFrame:
-    """Mean along one axis by overlap, n places to m."""
-    if m > n:
-        raise ValueError("area resize only shrinks")
+def _mean(volume: DataFrame, c: str, spread: DataFrame, weight: Column) -> DataFrame:
+    """volume along one axis, of rows with their target place __d and its weight."""
+    others = [k for k in ("volume_id", "z", "y", "x") if k != c]
+    spread = spread.withColumn("__w", weight).filter(F.col("__w") > 1e-9)
+    mean = spread.groupBy(*others, F.col("__d").alias(c)).agg((F.sum(F.col("value") * F.col("__w")) / F.sum("__w")).alias("value"))
+    return mean.select("volume_id", "z", "y", "x", "value")
+
+
+def _by_overlap(volume: DataFrame, c: str, n: int, m: int) -> DataFrame:
+    """Mean along one axis by overlap, n places to m (no more than n)."""
     scale = n / m
     first = F.floor(F.col(c) / F.lit(scale)).cast("int")
     last = F.least(F.lit(m - 1), (F.ceil((F.col(c) + 1) / F.lit(scale)) - 1).cast("int"))
     spread = volume.withColumn("__d", F.explode(F.sequence(first, F.greatest(first, last))))
-    weight = F.least((F.col("__d") + 1) * F.lit(scale), F.col(c) + 1.0) - F.greatest(F.col("__d") * F.lit(scale), F.col(c).cast("double"))
-    spread = spread.withColumn("__w", weight).filter(F.col("__w") > 1e-9)
-    others = [k for k in ("volume_id", "z", "y", "x") if k != c]
-    mean = spread.groupBy(*others, F.col("__d").alias(c)).agg((F.sum(F.col("value") * F.col("__w")) / F.sum("__w")).alias("value"))
-    return mean.select("volume_id", "z", "y", "x", "value")
+    return _mean(volume, c, spread, F.least((F.col("__d") + 1) * F.lit(scale), F.col(c) + 1.0) - F.greatest(F.col("__d") * F.lit(scale), F.col(c).cast("double")))
+
+
+def _by_neighbours(volume: DataFrame, c: str, n: int, m: int) -> DataFrame:
+    """Along one axis, n places to m: place d lies at s = floor(d n / m) and takes (d + 1) - (s + 1) m / n, where that is
+    above 0 without its whole part, of the place behind s, and the rest of s; the last place has none behind it."""
+    # The places that s, or the place before s, gives to.
+    first = F.greatest(F.lit(0), F.ceil((F.col(c) - 1) * F.lit(m) / F.lit(n)).cast("int"))
+    last = F.least(F.lit(m - 1), (F.ceil((F.col(c) + 1) * F.lit(m) / F.lit(n)) - 1).cast("int"))
+    spread = volume.withColumn("__d", F.explode(F.sequence(first, F.greatest(first, last))))
+    s = F.floor(F.col("__d") * F.lit(n) / F.lit(m))
+    part = (F.col("__d") + 1) - (s + 1) * F.lit(m) / F.lit(n)
+    part = F.when((s >= n - 1) | (part <= 0), F.lit(0.0)).otherwise(part - F.floor(part))
+    return _mean(volume, c, spread, F.when(s == F.col(c), F.lit(1.0) - part).when(s + 1 == F.col(c), part).otherwise(F.lit(0.0)))
 
 
 def resize_area(volume: DataFrame, source: tuple[int, int, int], target: tuple[int, int, int], level: float = 0.1) -> DataFrame:
-    """Area resize of (z, y, x), in the plane, then in depth; after each, values above level become 1."""
+    """Area resize of (z, y, x), in the plane, then in depth; after each, values above level become 1.
+
+    Means are by overlap where nothing is enlarged. Where an axis of the plane is, both of its axes are by neighbours.
+    """
     high = F.when(F.col("value") > level, F.lit(1.0)).otherwise(F.col("value"))
-    plane = _shrunk(_shrunk(volume, "x", source[2], target[2]), "y", source[1], target[1]).withColumn("value", high)
-    return _shrunk(plane, "z", source[0], target[0]).withColumn("value", high)
+    one = _by_neighbours if target[1] > source[1] or target[2] > source[2] else _by_overlap
+    plane = one(one(volume, "x", source[2], target[2]), "y", source[1], target[1]).withColumn("value", high)
+    deep = _by_neighbours if target[0] > source[0] else _by_overlap
+    return deep(plane, "z", source[0], target[0]).withColumn("value", high)
 
 
 def int8_wrap(value: Column) -> Column:
@@ -103,5 +159,3 @@ def int8_wrap(value: Column) -> Column:
 def transpose(volume: DataFrame) -> DataFrame:
     """Axes (x, y, z) to pages (z, x, y): page, row, column."""
     return volume.withColumnsRenamed({"z": "page", "x": "row", "y": "column"})
-
-

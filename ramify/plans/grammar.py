@@ -10,6 +10,7 @@ by what is left of the number behind its first digit.
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,19 +57,18 @@ def roots(params: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.lit(v) for c, v in start.items()} | {"diam": F.col("d0")})
 
 
-def grow(frontier: DataFrame, compat: bool = True) -> DataFrame:
-    """The open branches with their stem's points (p, the first being where the branch opens) and the state behind it.
+@functools.cache
+def _growth(compat: bool, gateway) -> tuple[dict[str, Column], ...]:
+    """Columns of a stem, each group of those before it: draws, fork, turns and widths, steps, and the state at its end.
 
-    The five steps are a fold over an array: each step moves along the place that the one before reached.
+    Columns name what they are made of and belong to no frame, so a level's are the next one's too, as long as Python
+    talks to the same JVM (gateway).
     """
-    now = frontier.withColumn("u", _draws())
     d1, d2 = physics.daughters(F.col("d"), F.col("k"), F.col("sigma"), F.col("stochparams"), _normal("s"))
-    now = now.withColumns({"s1": d1, "s2": d2, "rho": rng.integer(_draw("rho"), -1, 1)})
     th1, th2 = physics.angles(F.col("s1"), F.col("s2"))
     grown = F.array_sort(F.array(*[rng.between(_draw(f"g{i}"), 1.0, 1.5) for i in range(3)]))
     waned = F.sort_array(F.array(*[rng.between(_draw(f"h{i}"), 1.0, 1.5) for i in range(2)]), asc=False)
     factors = F.when(_draw("taper") < 0.1, F.concat(grown, waned)).otherwise(F.array(*[F.lit(1.0)] * 5))
-    now = now.withColumns({"turn1": th1 * F.col("rho"), "turn2": th2 * F.abs("rho"), "widths": F.transform(factors, lambda f: f * F.col("d"))})
     steps = []
     for i in range(5):
         wide = F.col("widths")[i]
@@ -76,7 +76,6 @@ def grow(frontier: DataFrame, compat: bool = True) -> DataFrame:
         turn = F.col("turn1" if i % 2 == 0 else "turn2") if i < 4 else F.lit(0.0)
         side = F.when(_draw("rule") < 0.5, F.lit(float(TURNS[True][i % 4]))).otherwise(F.lit(float(TURNS[False][i % 4])))
         steps.append(F.struct(wide.alias("wide"), go.alias("go"), (side * turn - _extra(turn, compat)).alias("turn")))
-    now = now.withColumn("steps", F.array(*steps))
     point = lambda x, y, z, d: F.struct(x.alias("x"), y.alias("y"), z.alias("z"), d.alias("diam"))
 
     def moved(s: Column, e: Column) -> Column:
@@ -87,22 +86,45 @@ def grow(frontier: DataFrame, compat: bool = True) -> DataFrame:
 
     first = F.array(point(*(F.col(c) for c in ("x", "y", "z", "diam"))))
     start = F.struct(*(F.col(c) for c in ("x", "y", "z", "alpha", "diam")), first.alias("p"))
-    now = now.withColumn("end", F.aggregate("steps", start, moved))
+    return (
+        {"u": _draws()},
+        {"s1": d1, "s2": d2, "rho": rng.integer(_draw("rho"), -1, 1)},
+        {"turn1": th1 * F.col("rho"), "turn2": th2 * F.abs("rho"), "widths": F.transform(factors, lambda f: f * F.col("d"))},
+        {"steps": F.array(*steps)},
+        {"end": F.aggregate("steps", start, moved)},
+    )
+
+
+def grow(frontier: DataFrame, compat: bool = True) -> DataFrame:
+    """The open branches with their stem's points (p, the first being where the branch opens) and the state behind it.
+
+    The five steps are a fold over an array: each step moves along the place that the one before reached.
+    """
+    now = frontier
+    for columns in _growth(compat, frontier.sparkSession.sparkContext._gateway):
+        now = now.withColumns(columns)
     return now.select(*PARAMS, "path", "left", "d", "u", "beta", *[F.col("end")[c].alias(c) for c in ("x", "y", "z", "alpha", "diam", "p")])
 
 
-def forked(grown: DataFrame, compat: bool = True) -> DataFrame:
-    """Stems with sides: the states in which their two branches open."""
+@functools.cache
+def _fork(compat: bool, gateway) -> tuple[dict[str, Column], ...]:
+    """Columns of a fork: its diameters and tilts, its angles, and the states in which its two branches open."""
     d1, d2 = physics.daughters(F.col("d"), F.col("k"), F.col("sigma"), F.col("stochparams"), _normal("f"))
     tilt = {f"tilt{i}": rng.between(_draw(f"t{i}"), 22.5, 27.5) * rng.integer(_draw(f"u{i}"), -1, 1) for i in (1, 2)}
-    now = grown.withColumns({"f1": d1, "f2": d2} | tilt)
     th1, th2 = physics.angles(F.col("f1"), F.col("f2"))
-    now = now.withColumns({"th1": th1, "th2": th2})
     sides = [
         F.struct(F.lit(str(i)).alias("step"), F.col(f"f{i}").alias("d"), (F.col("alpha") + F.col(f"th{i}") * (1 if i == 1 else -1) - _extra(F.col(f"tilt{i}"), compat)).alias("alpha"), (F.col("beta") + F.col(f"tilt{i}")).alias("beta"))
         for i in (1, 2)
     ]
-    return now.select(*PARAMS, "path", "left", "d", "x", "y", "z", "diam", "p", F.array(*sides).alias("sides"))
+    return {"f1": d1, "f2": d2} | tilt, {"th1": th1, "th2": th2}, {"sides": F.array(*sides)}
+
+
+def forked(grown: DataFrame, compat: bool = True) -> DataFrame:
+    """Stems with sides: the states in which their two branches open."""
+    now = grown
+    for columns in _fork(compat, grown.sparkSession.sparkContext._gateway):
+        now = now.withColumns(columns)
+    return now.select(*PARAMS, "path", "left", "d", "x", "y", "z", "diam", "p", "sides")
 
 
 def opened(stems: DataFrame) -> DataFrame:

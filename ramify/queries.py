@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import physics, rng, vector
 from .lineage import scratch
-from .operators import image, paths, voxel
+from .operators import bricks, image, paths, spatial, voxel
 from .operators.turtle import turtle
 from .plans import grammar, network
 from .sources import params, reports, tiff
@@ -239,6 +239,21 @@ def raddist_filter(spark, sf_dir):
     return vectors(spark, sf_dir).filter(vector.radial(origin, place, 40.0)).select(*LINE, vector.radial(origin, place, 25.0, core=True).alias("beyond"))
 
 
+#: Origins, a place for each supplier, and how far from them line items are looked for.
+_ORIGINS = "SELECT s_suppkey, s_suppkey % 50 + 0.5::DOUBLE ox, s_suppkey * 7 % 100 + 0.5::DOUBLE oy, 1.25::DOUBLE oz FROM supplier"
+_SHELL, _CORE = 2.0, 1.0
+
+
+@query(f"SELECT l_orderkey, l_linenumber, s_suppkey, far > {_CORE}::DOUBLE beyond FROM (SELECT *, sqrt((ox - x) * (ox - x) + (oy - y) * (oy - y) + (oz - z) * (oz - z)) far FROM ({_VECTORS}), ({_ORIGINS})) WHERE far < {_SHELL}::DOUBLE")
+def raddist_origins(spark, sf_dir):
+    """Places within the shells of many origins, and whether they are beyond the core."""
+    half = F.lit(0.5)
+    key = F.col("s_suppkey")
+    origins = table(spark, sf_dir, "supplier").select(key, (key % 50 + half).cast("double").alias("ox"), (key * 7 % 100 + half).cast("double").alias("oy"), F.lit(1.25).alias("oz"))
+    pairs = spatial.within(vectors(spark, sf_dir).select(*LINE, "x", "y", "z"), origins, _SHELL)
+    return pairs.select(*LINE, "s_suppkey", (F.col("distance") > _CORE).alias("beyond"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END s, CASE WHEN " + rng.uniform_sql("'7'", "CAST(c_custkey AS VARCHAR)", "''", "'coin'") + " < 0.5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END coin FROM customer")
 def posneg(spark, sf_dir):
     """Signs without zero, and fair signs."""
@@ -289,10 +304,25 @@ def _bezier_sql() -> str:
 @query(_bezier_sql())
 def bezier_points(spark, sf_dir):
     """Ten points of each window's curve."""
-    rows = paths.bezier(_windows(spark, sf_dir)).withColumnRenamed("window", "win")
+    rows = paths.bezier(_windows(spark, sf_dir), size=6).withColumnRenamed("window", "win")
     return rows.withColumns({c: _R9(F.col(c), 7) for c in paths.POINT})
 
 
+def _bezier_runs_sql() -> str:
+    t = "(s / 9.0::DOUBLE)"
+    basis = f"round(gamma(n) / (gamma(i + 1) * gamma(n - i))) * pow(1.0::DOUBLE - {t}, n - 1 - i) * pow({t}, i)"
+    return f"WITH {_WINDOWS}, spots AS (SELECT *, unnest(range(0, 10))::INT s FROM ranked WHERE n > 2) SELECT network_id, run, s AS step, CAST(any_value(n) AS INT) n, {', '.join(f'round(sum({basis} * {c}), 5) {c}' for c in paths.POINT)} FROM spots GROUP BY network_id, run, s"
+
+
+@query(_bezier_runs_sql())
+def bezier_runs(spark, sf_dir):
+    """Ten points of the curve of each run of three points or more, whatever their number."""
+    runs = paths.distinct_first(paths.gap_segments(polylines(spark, sf_dir))).withColumnRenamed("seq", "pos")
+    sizes = runs.groupBy("network_id", "run").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2")
+    rows = paths.bezier(runs.join(sizes, ["network_id", "run"]), ("network_id", "run", "n"))
+    return rows.select("network_id", "run", "step", "n", *[_R9(F.col(c), 5).alias(c) for c in paths.POINT])
+
+
 _BOUNDS = "lim AS (SELECT network_id, " + ", ".join(f"{f}({c}) * 1.1::DOUBLE {c}_{e}" for c in "xyz" for f, e in (("min", "lo"), ("max", "hi"))) + " FROM points WHERE NOT gap GROUP BY network_id)"
 
 
@@ -334,7 +364,7 @@ def voxelize(spark, sf_dir):
 @query(f"WITH {_stamp_sql()} SELECT network_id, count(*) n FROM voxels GROUP BY network_id")
 def voxel_counts(spark, sf_dir):
     """Number of foreground voxels by network."""
-    return voxel.voxelize(segments(spark, sf_dir), TISSUE).groupBy("network_id").agg(F.count(F.lit(1)).alias("n"))
+    return voxel.counts(voxel.lines(segments(spark, sf_dir), TISSUE))
 
 
 @query(f"WITH {_VOLUMES} SELECT volume_id x, z y, y z FROM vol WHERE volume_id BETWEEN 1 AND 62 AND z BETWEEN 1 AND 62 AND y BETWEEN 1 AND 30")
@@ -376,6 +406,15 @@ def wrap_dilate(spark, sf_dir):
     return image.wrap(masks(spark, sf_dir), 2, "dilate")
 
 
+_FURTHER = _AROUND.replace("range(-2, 3)", "range(-3, 4)").replace("< 4)", "< 9)")
+
+
+@query(f"WITH {_MASKS}, {_FURTHER}, all_near AS (SELECT DISTINCT volume_id, z, y, x, 1 AS hit FROM near) SELECT volume_id, z, y, x, CASE WHEN value = 0 AND hit = 1 THEN 127.0::DOUBLE ELSE value END AS value FROM mask LEFT JOIN all_near USING (volume_id, z, y, x)")
+def wrap_dilate_3(spark, sf_dir):
+    """All voxels closer than 3 to the ones."""
+    return image.wrap(masks(spark, sf_dir), 3, "dilate")
+
+
 @query(f"WITH {_VOLUMES}, t AS (SELECT CAST(a AS INT) a, CAST(b AS INT) b, CAST(c AS INT) c FROM (SELECT unnest(range(0, 6)) a), (SELECT unnest(range(0, 3)) b), (SELECT unnest(range(0, 8)) c)) SELECT volume_id, a z, b y, c x, value FROM t JOIN vol ON vol.z = (a * 4) // 6 AND vol.y = (b * 5) // 3 AND vol.x = (c * 5) // 8")
 def resize_nearest(spark, sf_dir):
     """Volumes resized by nearest neighbour."""
@@ -400,6 +439,23 @@ def resize_area(spark, sf_dir):
     return image.resize_area(sizes(spark, sf_dir), (4, 5, 5), (3, 2, 3)).withColumn("value", _R9(F.col("value")))
 
 
+def _enlarge_sql() -> str:
+    def grow(source: str, c: str, n: int, m: int, then: str) -> str:
+        others = ", ".join(k for k in ("volume_id", "z", "y", "x") if k != c)
+        near = f"(SELECT d, s, CASE WHEN s >= {n - 1} OR f <= 0 THEN 0.0::DOUBLE ELSE f - floor(f) END f FROM (SELECT d, s, d + 1 - (s + 1) * {m}.0::DOUBLE / {n}.0::DOUBLE f FROM (SELECT CAST(d AS INT) d, CAST(d * {n} // {m} AS INT) s FROM (SELECT unnest(range(0, {m})) d))))"
+        v = f"sum(value * CASE WHEN {c} = s THEN 1.0::DOUBLE - f ELSE f END)"
+        return f"SELECT {others}, d AS {c}, {then.format(v=v)} AS value FROM {source} JOIN {near} ON {c} = s OR {c} = s + 1 GROUP BY {others}, d"
+
+    high = "CASE WHEN {v} > 0.1 THEN 1.0::DOUBLE ELSE {v} END"
+    return f"WITH {_MASKS}, s1 AS ({grow('bin', 'x', 5, 8, '{v}')}), s2 AS ({grow('s1', 'y', 5, 8, high)}), s3 AS ({grow('s2', 'z', 4, 6, high)}) SELECT volume_id, z, y, x, round(value, 9) AS value FROM s3"
+
+
+@query(_enlarge_sql())
+def resize_enlarge(spark, sf_dir):
+    """Masks enlarged by neighbours."""
+    return image.resize_area(sizes(spark, sf_dir), (4, 5, 5), (6, 8, 8)).withColumn("value", _R9(F.col("value")))
+
+
 @query(f"WITH {_MASKS} SELECT volume_id, z, y, x, CAST(CASE WHEN value = 1 THEN -1 ELSE 0 END AS TINYINT) AS value FROM bin")
 def int8_wrap(spark, sf_dir):
     """Masks as signed bytes."""
@@ -550,6 +606,18 @@ def network_voxels(spark, sf_dir):
     return network.network_voxels(parameters(spark, sf_dir), TISSUE)
 
 
+#: A box of the tissue.
+_LOW, _HIGH = (10, 12, 5), (40, 45, 20)
+
+
+@query(f"{oracles.voxels(TISSUE)} SELECT * FROM voxels WHERE " + " AND ".join(f"{c} BETWEEN {a} AND {b}" for c, a, b in zip("xyz", _LOW, _HIGH)))
+def brick_box(spark, sf_dir):
+    """Voxels of every network in a box, read from written bricks."""
+    path = scratch(spark, "bricks")
+    bricks.write_bricks(bricks.bricks(network.network_lines(parameters(spark, sf_dir), TISSUE)), path, 16)
+    return bricks.box(spark, path, _LOW, _HIGH, 16)
+
+
 @query(f"{oracles.voxels(TISSUE)} SELECT network_id, CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM voxels")
 def network_stacks(spark, sf_dir):
     """Voxels of every network's text as stacks of pages, read from the pages again."""
@@ -599,11 +667,16 @@ def generate_points_gap(spark, sf_dir):
     return paths.generate_points(points, more).select("network_id", "seq", gap.alias("is_gap"), *[F.when(gap, F.lit(-1.0)).otherwise(F.col(c)).alias(c) for c in paths.POINT])
 
 
-@query()
+_WHOLE = f"{oracles.voxels(voxel.TISSUE, _drawn_sql())} SELECT network_id, count(*) AS voxels, {', '.join(f'{f}({c}) {c}_{e}' for c in 'xyz' for e, f in (('lo', 'min'), ('hi', 'max')))} FROM voxels GROUP BY network_id"
+
+
+@query(_WHOLE)
 def whole_run(spark, sf_dir):
     """Networks of 6 to 14 levels in a tissue of 512 x 512 x 140, as whole runs have them: voxels and their bounds."""
-    found = network.network_voxels(drawn_networks(spark, sf_dir))
-    return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("voxels"), *[f(c).alias(f"{c}_{e}") for c in "xyz" for f, e in ((F.min, "lo"), (F.max, "hi"))])
+    found = network.network_lines(drawn_networks(spark, sf_dir))
+    z = F.transform(voxel.set_bits(F.col("bits")), lambda k: F.col("word") * 64 + k)
+    limits = [f(c).alias(f"{n}_{e}") for n in "xyz" for e, f, c in (("lo", F.min, F.array_min(z) if n == "z" else F.col(n)), ("hi", F.max, F.array_max(z) if n == "z" else F.col(n)))]
+    return found.groupBy("network_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("voxels"), *limits)
 
 
 @query()
