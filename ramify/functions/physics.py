@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,15 +49,3 @@ def tail(v: Column) -> Column:
     """What is left of |v| in writing when its first digit is skipped."""
     v = F.abs(v)
     return F.when(v < 1, v).otherwise(v - F.floor(v / F.pow(F.lit(10.0), F.floor(F.log10(v)))) * F.pow(F.lit(10.0), F.floor(F.log10(v))))
-
-
-def bifurcation_py(d0: float, k: int, sigma: float, stochastic: bool, z: float) -> dict[str, float]:
-    """One bifurcation in Python, for the text renderer."""
-    best = d0 / 2 ** (1.0 / k)
-    d1 = abs(best + best / sigma * z) if stochastic else best
-    d1 = best if d1 >= d0 else d1
-    d2 = (d0**k - d1**k) ** (1.0 / k)
-    a = d2 / d1
-    s = 1 + a**3
-    degrees = lambda c: math.degrees(math.acos(max(-1.0, min(1.0, c))))
-    return {"d1": d1, "d2": d2, "th1": degrees((s ** (4 / 3) + 1 - a**4) / (2 * s ** (2 / 3))), "th2": degrees((s ** (4 / 3) + a**4 - 1) / (2 * a * a * s ** (2 / 3)))}

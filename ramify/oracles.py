@@ -176,12 +176,12 @@ def rule_texts(params: str = PARAMS) -> str:
     )
 
 
-def commands() -> str:
-    """State rows of a text for every user of events: a turtle by recursion over the tokens that each event stands for."""
-    tokens = """CASE event_id % 8 WHEN 0 THEN [{'op': 'f', 'a': l, 'b': w}] WHEN 1 THEN [{'op': '+', 'a': a, 'b': 0}] WHEN 2 THEN [{'op': '-', 'a': a, 'b': 0}]
- WHEN 3 THEN [{'op': '/', 'a': a, 'b': 0}] WHEN 4 THEN [{'op': '[', 'a': 0, 'b': 0}, {'op': '+', 'a': a, 'b': 0}, {'op': 'f', 'a': l, 'b': w}, {'op': ']', 'a': 0, 'b': 0}]
- WHEN 5 THEN [{'op': '[', 'a': 0, 'b': 0}, {'op': 'f', 'a': l, 'b': w}, {'op': '[', 'a': 0, 'b': 0}, {'op': '/', 'a': a, 'b': 0}, {'op': 'f', 'a': l, 'b': 0}, {'op': ']', 'a': 0, 'b': 0}, {'op': '-', 'a': a, 'b': 0}, {'op': 'f', 'a': l, 'b': w}, {'op': ']', 'a': 0, 'b': 0}]
- WHEN 6 THEN [{'op': 'D', 'a': 0, 'b': 0}] ELSE [{'op': 'f', 'a': -l, 'b': w}, {'op': '-', 'a': rest, 'b': 0}] END"""
+def _token(op: str, a: str = "0", b: str = "0") -> str:
+    return f"{{'op': '{op}', 'a': CAST({a} AS DOUBLE), 'b': CAST({b} AS DOUBLE)}}"
+
+
+def interpreted(tokens: str, starts: str, digits: int = 5) -> str:
+    """State rows by recursion over tokens: CTEs up to tokens (id, t, i from 1), and starts, a query of id and diameter."""
     names = ("x", "y", "z", "alpha", "beta", "diam", "lseg", "dx", "dy", "dz")
     state = "{" + ", ".join(f"'{c}': {c}" for c in names) + "}"
     size, fall = "sqrt(x * x + y * y + z * z)", "(sin(radians(alpha)) * y + cos(radians(alpha)) * z)"
@@ -197,16 +197,52 @@ def commands() -> str:
     new["alpha"] = "CASE t.op WHEN '+' THEN alpha + t.a WHEN '-' THEN alpha - t.a WHEN ']' THEN stack[-1].alpha ELSE alpha END"
     new["beta"] = "CASE t.op WHEN '/' THEN beta + t.a WHEN ']' THEN stack[-1].beta ELSE beta END"
     stack = f"CASE t.op WHEN '[' THEN list_append(stack, {state}) WHEN ']' THEN stack[:-2] ELSE stack END"
-    shown = ", ".join(f"round({c}, 5) + 0.0 {c}" for c in names)
+    shown = ", ".join(f"round({c}, {digits}) + 0.0 {c}" for c in names)
     gone = ", ".join(f"-1.0::DOUBLE {c}" for c in names)
-    return f"""WITH RECURSIVE given AS (SELECT user_id, event_id, (10 + event_id % 90) / 10.0::DOUBLE l, (10 + event_id % 40) / 10.0::DOUBLE w, (event_id % 180) + 0.5::DOUBLE a, (event_id % 10) / 10.0::DOUBLE rest FROM events),
- pieces AS (SELECT user_id, event_id, {tokens} toks FROM given),
- tokens AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY event_id, k) i FROM (SELECT user_id, event_id, unnest(toks) t, unnest(range(0, len(toks))) k FROM pieces)),
- run AS (SELECT user_id, 0::BIGINT i, '' op, 0::BIGINT seq, 0.1::DOUBLE x, 0.1::DOUBLE y, 1.0::DOUBLE z, 0.0::DOUBLE alpha, 0.0::DOUBLE beta, 5.0::DOUBLE diam, 1.0::DOUBLE lseg, 0.0::DOUBLE dx, 0.0::DOUBLE dy, 0.0::DOUBLE dz,
-  CAST([] AS STRUCT({', '.join(f'{c} DOUBLE' for c in names)})[]) stack FROM (SELECT DISTINCT user_id FROM events)
-  UNION ALL SELECT user_id, i, t.op, seq + CASE t.op WHEN ']' THEN 2 WHEN 'f' THEN 1 WHEN 'D' THEN 1 ELSE 0 END, {', '.join(new[c] for c in names)}, {stack}
-  FROM (SELECT run.* EXCLUDE (i), tokens.i, tokens.t FROM run JOIN tokens ON run.user_id = tokens.user_id AND tokens.i = run.i + 1))
- SELECT user_id network_id, seq, false is_gap, {shown} FROM run WHERE op IN ('', 'f', 'D', ']') UNION ALL SELECT user_id, seq - 1, true, {gone} FROM run WHERE op = ']'"""
+    return f"""{tokens},
+ run AS (SELECT id, 0::BIGINT i, '' op, 0::BIGINT seq, 0.1::DOUBLE x, 0.1::DOUBLE y, 1.0::DOUBLE z, 0.0::DOUBLE alpha, 0.0::DOUBLE beta, diam, 1.0::DOUBLE lseg, 0.0::DOUBLE dx, 0.0::DOUBLE dy, 0.0::DOUBLE dz,
+  CAST([] AS STRUCT({', '.join(f'{c} DOUBLE' for c in names)})[]) stack FROM ({starts})
+  UNION ALL SELECT id, i, t.op, seq + CASE t.op WHEN ']' THEN 2 WHEN 'f' THEN 1 WHEN 'D' THEN 1 ELSE 0 END, {', '.join(new[c] for c in names)}, {stack}
+  FROM (SELECT run.* EXCLUDE (i), tokens.i, tokens.t FROM run JOIN tokens ON run.id = tokens.id AND tokens.i = run.i + 1))
+ SELECT id network_id, seq, false is_gap, {shown} FROM run WHERE op IN ('', 'f', 'D', ']') UNION ALL SELECT id, seq - 1, true, {gone} FROM run WHERE op = ']'"""
+
+
+def commands() -> str:
+    """State rows of a text for every user of events: a turtle by recursion over the tokens that each event stands for."""
+    step, turn = _token("f", "l", "w"), lambda op: _token(op, "a")
+    kinds = [
+        [step], [turn("+")], [turn("-")], [turn("/")], [_token("["), turn("+"), step, _token("]")],
+        [_token("["), step, _token("["), turn("/"), _token("f", "l"), _token("]"), turn("-"), step, _token("]")], [_token("D")],
+        # A negative length turns behind its step.
+        [_token("f", "-l", "w"), _token("-", "rest")],
+    ]
+    pieces = "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN [{', '.join(v)}]" for k, v in enumerate(kinds)) + " END"
+    tokens = f"""WITH RECURSIVE given AS (SELECT user_id, event_id, (10 + event_id % 90) / 10.0::DOUBLE l, (10 + event_id % 40) / 10.0::DOUBLE w, (event_id % 180) + 0.5::DOUBLE a, (event_id % 10) / 10.0::DOUBLE rest FROM events),
+ pieces AS (SELECT user_id, event_id, {pieces} toks FROM given),
+ tokens AS (SELECT user_id id, t, row_number() OVER (PARTITION BY user_id ORDER BY event_id, k) i FROM (SELECT user_id, event_id, unnest(toks) t, unnest(range(0, len(toks))) k FROM pieces))"""
+    return interpreted(tokens, "SELECT DISTINCT user_id id, 5.0::DOUBLE diam FROM events")
+
+
+def rule_i(params: str = PARAMS) -> str:
+    """State rows of the texts of rule I with four levels: I opens R, R opens B twice, and B a rule A that leaves a bracket
+    open, which the bracket behind B then closes."""
+    at = lambda src, path: daughters("d", "f", ("fd1", "fd2")).format(src=f"(SELECT *, {', '.join(f'{uniform(n)} u_{n}' for n in DRAWS)} FROM (SELECT network_id, seed, ep, mg, d, '{path}' path FROM ({src})))")
+    below = lambda name, d: f"SELECT network_id, seed, ep, mg, {d} d FROM {name}"
+    long = lambda n, name: f"({n}.d * {n}.ep - {n}.mg + {n}.u_{name} * ({n}.d * {n}.ep + {n}.mg - ({n}.d * {n}.ep - {n}.mg)))"
+    spin = lambda n: between(f"{n}.u_t1", 22.5, 27.5)
+    used = _token("D")
+
+    def b(n: str, a: str) -> list[str]:
+        steps = [_token("f", f"{long(n, f'c{i}')} / 5.0::DOUBLE", f"{n}.d") for i in range(3)]
+        return [*steps, _token("/", spin(n)), used, _token("["), _token("+", f"{a}.f1"), used, _token("]"), _token("["), _token("+", f"{a}.f2"), used]
+
+    listed = [_token("f", f"{long('i', 'c0')} / 3.0::DOUBLE", "i.d"), _token("+", spin("i")), _token("["), _token("f", f"{long('r', 'c3')} / 3.0::DOUBLE")]
+    listed += [_token("f", f"{long('r', f'c{k}')} / 5.0::DOUBLE", "r.d") for k in range(3)]
+    listed += [_token("["), *b("b1", "a1"), _token("]"), _token("f", f"{long('r', 'c3')} / 2.0::DOUBLE", "r.fd2"), *b("b2", "a2"), _token("]")]
+    tokens = f"""WITH RECURSIVE i AS {at(params, '')}, r AS {at(below('i', 'd'), '1')}, b1 AS {at(below('r', 'fd1'), '11')}, b2 AS {at(below('r', 'fd2'), '12')}, a1 AS {at(below('b1', 'd'), '111')}, a2 AS {at(below('b2', 'd'), '121')},
+ listed AS (SELECT i.network_id id, [{', '.join(listed)}] toks FROM i JOIN r USING (network_id) JOIN b1 USING (network_id) JOIN b2 USING (network_id) JOIN a1 USING (network_id) JOIN a2 USING (network_id)),
+ tokens AS (SELECT id, unnest(toks) t, unnest(range(1, len(toks) + 1)) i FROM listed)"""
+    return interpreted(tokens, f"SELECT network_id id, d diam FROM ({params})", 4)
 
 
 def voxels(tissue: tuple[int, int, int], params: str = PARAMS) -> str:

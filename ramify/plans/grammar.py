@@ -191,78 +191,3 @@ def stem_windows(found: DataFrame) -> DataFrame:
     """Stems as windows: network_id, run (the path), window 0, pos and the point."""
     rows = found.select("network_id", F.col("path").alias("run"), F.lit(0).cast("long").alias("window"), F.posexplode("p").alias("pos", "at"))
     return rows.select("network_id", "run", "window", "pos", "at.x", "at.y", "at.z", "at.diam")
-
-
-class Program:
-    """Text programs of one network by rule names: F S D G A B R I. Draws are those of the frontier."""
-
-    def __init__(self, seed, network, k: int = 3, epsilon: float = 10.0, randmarg: float = 3.0, sigma: float = 5.0, stochastic: bool = True):
-        self.key, self.k, self.epsilon, self.margin, self.sigma, self.stochastic = (seed, network), k, epsilon, randmarg, sigma, stochastic
-
-    def draw(self, path: str, name: str) -> float:
-        return rng.uniform_py(*self.key, path, name)
-
-    def fork(self, path: str, d0: float, name: str) -> dict[str, float]:
-        return physics.bifurcation_py(d0, self.k, self.sigma, self.stochastic, rng.normal_py(self.draw(path, name + "a"), self.draw(path, name + "b")))
-
-    def long(self, path: str, d0: float, name: str) -> float:
-        low, high = d0 * self.epsilon - self.margin, d0 * self.epsilon + self.margin
-        return low + self.draw(path, name) * (high - low)
-
-    def step(self, n: int, path: str, d0: float, name: str, letter: str = "D", parts: int = 5) -> str:
-        return f"f({self.long(path, d0, name) / parts},{d0})" if n > 0 else letter
-
-    def stem(self, n: int, path: str, d0: float) -> str:
-        if n <= 0:
-            return "{S}"
-        fork, rho = self.fork(path, d0, "s"), int(self.draw(path, "rho") * 3.0 // 1) - 1
-        turns = (fork["th1"] * rho, fork["th2"] * abs(rho))
-        widths = [1.0] * 5
-        if self.draw(path, "taper") < 0.1:
-            widths = sorted(1.0 + 0.5 * self.draw(path, f"g{i}") for i in range(3)) + sorted((1.0 + 0.5 * self.draw(path, f"h{i}") for i in range(2)), reverse=True)
-        out = [self.step(n - 1, path, widths[0] * d0, "c0")]
-        for i, sign in enumerate(TURNS[self.draw(path, "rule") < 0.5]):
-            out += [f"{'+' if sign > 0 else '-'}({turns[i % 2]})", self.step(n - 1, path, widths[i + 1] * d0, f"c{i + 1}")]
-        return "{" + "".join(out) + "}"
-
-    def tilt(self, path: str, i: int) -> float:
-        return (22.5 + 5.0 * self.draw(path, f"t{i}")) * (int(self.draw(path, f"u{i}") * 3.0 // 1) - 1)
-
-    def rule(self, name: str, n: int, d0: float, path: str = "") -> str:
-        """The text of a rule; a rule that is used up is its own letter."""
-        if n <= 0:
-            return "{S}" if name == "S" else name
-        if name == "S":
-            return self.stem(n, path, d0)
-        if name in "DG":
-            return self.step(n, path, d0, "c0", name)
-        fork = self.fork(path, d0, "f")
-        if name == "F":
-            one = f"[+({fork['th1']})/({self.tilt(path, 1)}){self.rule('F', n - 1, fork['d1'], path + '1')}]"
-            return self.stem(n - 1, path, d0) + one + f"[-({fork['th2']})/({self.tilt(path, 2)}){self.rule('F', n - 1, fork['d2'], path + '2')}]"
-        if name == "A":  # its last bracket stays open
-            one = f"[+({fork['th1']}){self.rule('A', n - 1, fork['d1'], path + '1')}]"
-            return self.stem(n - 1, path, d0) + one + f"[+({fork['th2']}){self.rule('A', n - 1, fork['d2'], path + '2')}"
-        spin = 22.5 + 5.0 * self.draw(path, "t1")
-        if name == "B":
-            return "".join(self.step(n - 1, path, d0, f"c{i}") for i in range(3)) + f"/({spin})" + self.rule("A", n - 1, d0, path + "1")
-        if name == "I":
-            return f"f({self.long(path, d0, 'c0') / 3},{d0})+({spin})[{self.rule('R', n - 1, d0, path + '1')}]"
-        if name == "R":
-            whole = self.long(path, d0, "c3")
-            steps = "".join(self.step(n - 1, path, d0, f"c{i}") for i in range(3))
-            return f"f({whole / 3}){steps}[{self.rule('B', n - 1, fork['d1'], path + '1')}]f({whole / 2},{fork['d2']}){self.rule('B', n - 1, fork['d2'], path + '2')}"
-        raise ValueError(f"no such rule: {name}")
-
-
-def programs(params: DataFrame, rule: str = "F") -> DataFrame:
-    """network_id, program and d0 of params, as text."""
-    given = physics.with_defaults(**{c: F.col(c) for c in physics.DEFAULTS if c in params.columns})
-
-    def write(batches):
-        for pdf in batches:
-            texts = [Program(r.seed, r.network_id, r.k, r.epsilon, r.randmarg, r.sigma, bool(r.stochparams)).rule(rule, int(r.n), float(r.d0)) for r in pdf.itertuples()]
-            yield pdf[["network_id"]].assign(program=texts, d0=pdf["d0"])
-
-    rows = params.filter("d0 > 0").withColumns(given).select(*PARAMS)
-    return rows.mapInPandas(write, "network_id long, program string, d0 double")

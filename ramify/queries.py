@@ -17,7 +17,7 @@ from .functions import physics, rng, vector
 from .lineage import scratch
 from .operators import bricks, image, paths, spatial, voxel
 from .operators.turtle import turtle
-from .plans import grammar, network
+from .plans import grammar, network, texts
 from .sources import params, reports, tiff
 from .sources import volumes as volumes_of
 
@@ -491,14 +491,14 @@ def grammar_sizes(spark, sf_dir):
 @query("SELECT s_suppkey network_id, CAST(1 + 5 * (pow(2, m - 2) - 1) + 5 * pow(2, m - 2) + pow(2, m - 1) + pow(2, m) + 4 * (pow(2, m) - 1) AS BIGINT) n_rows, CAST(2 * (pow(2, m) - 1) AS BIGINT) gaps FROM (SELECT s_suppkey, s_suppkey % 3 + 6 m FROM supplier)")
 def turtle_sizes(spark, sf_dir):
     """State rows and gaps of every network's text."""
-    rows = turtle(grammar.programs(parameters(spark, sf_dir)))
+    rows = turtle(texts.programs(parameters(spark, sf_dir)))
     return rows.groupBy("network_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_gap").cast("long")).alias("gaps"))
 
 
 @query("SELECT s_suppkey network_id, CAST(6 * (pow(2, s_suppkey % 3 + 4) - 1) AS BIGINT) points FROM supplier")
 def program_windows(spark, sf_dir):
     """Points in windows of every network's text."""
-    found = network.program_windows(grammar.programs(parameters(spark, sf_dir)))
+    found = network.program_windows(texts.programs(parameters(spark, sf_dir)))
     return found.groupBy("network_id").agg(F.count(F.lit(1)).alias("points"))
 
 
@@ -560,7 +560,7 @@ def _states(rows: DataFrame, digits: int) -> DataFrame:
 @query(f"{oracles.nodes()} {oracles.state_rows()}")
 def turtle_rows(spark, sf_dir):
     """State rows of every network's text."""
-    return _states(turtle(grammar.programs(parameters(spark, sf_dir))), 4)
+    return _states(turtle(texts.programs(parameters(spark, sf_dir))), 4)
 
 
 @query(oracles.commands())
@@ -587,7 +587,7 @@ def rule_texts(spark, sf_dir):
     rows, number = parameters(spark, sf_dir), r"-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?"
     parts = []
     for name in ("F", "S", "S2", "D", "G", "A", "B", "B2", "R", "I"):
-        found = grammar.programs(rows.withColumn("n", F.lit(int(name[1:] or 1))), name[0])
+        found = texts.programs(rows.withColumn("n", F.lit(int(name[1:] or 1))), name[0])
         shape, values = F.regexp_replace("program", number, "#"), F.regexp_extract_all("program", F.lit(number), F.lit(0))
         parts.append(found.select("network_id", F.lit(name).alias("rule"), shape.alias("shape"), F.posexplode(values).alias("k", "v")))
     every = functools.reduce(DataFrame.unionByName, parts)
@@ -597,7 +597,7 @@ def rule_texts(spark, sf_dir):
 @query(f"{oracles.nodes(3)} SELECT network_id, pos, x, y, z, diam FROM ({oracles.stem_points()})")
 def text_windows(spark, sf_dir):
     """Windows of every network's text, by the interpreter: the points of its stems."""
-    return _points(network.program_windows(grammar.programs(parameters(spark, sf_dir)))).drop("run", "win")
+    return _points(network.program_windows(texts.programs(parameters(spark, sf_dir)))).drop("run", "win")
 
 
 @query(f"{oracles.voxels(TISSUE)} SELECT * FROM voxels")
@@ -682,10 +682,11 @@ def whole_run(spark, sf_dir):
 @query()
 def grammar_programs(spark, sf_dir):
     """Every network's tree as text."""
-    return grammar.programs(parameters(spark, sf_dir))
+    return texts.programs(parameters(spark, sf_dir))
 
 
-@query()
+@query(oracles.rule_i())
 def other_grammars(spark, sf_dir):
-    """State rows of the texts of the rule that begins with a stem and a fork of other rules."""
-    return turtle(grammar.programs(parameters(spark, sf_dir), "I"))
+    """State rows of the texts, of four levels, of the rule that opens a fork of rules with an open bracket."""
+    rows = parameters(spark, sf_dir).withColumn("n", F.lit(4))
+    return _states(turtle(texts.programs(rows, "I")), 4)

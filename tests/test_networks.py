@@ -4,34 +4,35 @@ import itertools
 import math
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
 from ramify.operators import image, paths, turtle, voxel
-from ramify.plans import grammar, network
+from ramify.plans import grammar, network, texts
 from ramify.sources import params, reports, volumes
 
 
 def test_operands():
-    assert turtle.operands("f(-1.5,2.0)", 0) == (-1.5, 2.0)
-    assert turtle.operands("+(30.0)", 0) == (30.0, 0.0)
-    assert turtle.operands("+(1e-05)", 0) == (-100000.0, 0.0)
+    assert plain.operands("f(-1.5,2.0)", 0) == (-1.5, 2.0)
+    assert plain.operands("+(30.0)", 0) == (30.0, 0.0)
+    assert plain.operands("+(1e-05)", 0) == (-100000.0, 0.0)
 
 
 def test_negative_operand_turns_twice():
-    states = list(turtle.states("+(-12.3)f(1.0,2.0)", 5.0))
+    states = list(plain.states("+(-12.3)f(1.0,2.0)", 5.0))
     assert states[-1][3] == pytest.approx(-14.6)
 
 
 def test_pop_makes_a_gap_and_restores():
-    rows = list(turtle.states("f(1.0,2.0)[f(1.0,1.0)]", 5.0))
+    rows = list(plain.states("f(1.0,2.0)[f(1.0,1.0)]", 5.0))
     assert len(rows) == 5 and rows[3] is None and rows[4] == rows[1]
     with pytest.raises(ValueError):
-        list(turtle.states("]", 1.0))
+        list(plain.states("]", 1.0))
 
 
 def test_used_up_letters_repeat_the_state():
-    rows = list(turtle.states("{D}R", 5.0))
+    rows = list(plain.states("{D}R", 5.0))
     assert len(rows) == 2 and rows[0] == rows[1]
 
 
@@ -118,7 +119,7 @@ def test_frontier_equals_interpreter(spark, n, epsilon):
     """Windows of the interpreted text are the stems, negative lengths and angles included."""
     rows = given_params(spark, n, epsilon)
     stems = grammar.stem_windows(grammar.stems(rows, n)).collect()
-    windows = network.program_windows(grammar.programs(rows)).collect()
+    windows = network.program_windows(texts.programs(rows)).collect()
     key = lambda r: (r["network_id"], r["pos"], round(r["x"], 6), round(r["y"], 6), round(r["z"], 6), round(r["diam"], 6))
     assert len(stems) == len(windows) == 3 * 6 * (2 ** (n - 2) - 1)
     assert sorted(map(key, stems)) == sorted(map(key, windows))
@@ -157,15 +158,15 @@ def test_discs_by_lines(spark, tissue):
 
 
 def test_turtle_row_law(spark):
-    rows = turtle.turtle(grammar.programs(given_params(spark, 6, 6.0)))
+    rows = turtle.turtle(texts.programs(given_params(spark, 6, 6.0)))
     assert rows.filter("network_id = 0").count() == 504
 
 
 @pytest.mark.parametrize("rule", list("FSDGABRI"))
 def test_rules(spark, rule):
-    program = grammar.Program(1, 2).rule(rule, 4, 20.0)
-    assert program and grammar.Program(1, 2).rule(rule, 0, 20.0) == ("{S}" if rule == "S" else rule)
-    list(turtle.states(program, 20.0))
+    program = plain.Program(1, 2).rule(rule, 4, 20.0)
+    assert program and plain.Program(1, 2).rule(rule, 0, 20.0) == ("{S}" if rule == "S" else rule)
+    list(plain.states(program, 20.0))
     assert rule not in "FSDG" or program.count("[") == program.count("]")
 
 
