@@ -2,6 +2,7 @@
 
 import math
 
+import plain
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,7 +43,7 @@ def test_even_bifurcation(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.floats(0.5, 50), st.floats(-3, 3))
 def test_power_law_holds(d0, z):
-    b = physics.bifurcation_py(d0, 3, 5.0, True, z)
+    b = plain.bifurcation_py(d0, 3, 5.0, True, z)
     assert b["d1"] ** 3 + b["d2"] ** 3 == pytest.approx(d0**3) and 0 <= b["th1"] <= 180 and 0 <= b["th2"] <= 180
 
 
