@@ -614,8 +614,8 @@ _LOW, _HIGH = (10, 12, 5), (40, 45, 20)
 def brick_box(spark, sf_dir):
     """Voxels of every network in a box, read from written bricks."""
     path = scratch(spark, "bricks")
-    bricks.write_bricks(bricks.bricks(network.network_lines(parameters(spark, sf_dir), TISSUE)), path, 16)
-    return bricks.box(spark, path, _LOW, _HIGH, 16)
+    bricks.write_bricks(bricks.bricks(network.network_lines(parameters(spark, sf_dir), TISSUE)), path, 32)
+    return bricks.box(spark, path, _LOW, _HIGH, 32)
 
 
 @query(f"{oracles.voxels(TISSUE)} SELECT network_id, CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM voxels")
