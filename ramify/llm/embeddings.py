@@ -6,7 +6,8 @@ cosine without bias, and its error stays below WIDTH * sqrt((1 - f^2) / f^2 / (D
 probability (Gao and Long 2024). Codes and factors are made once per vector and stored, with the rotated vector in
 steps of a 254th of its range (what that can add to the error is added to the bound). Only these are sent to the
 buckets. Vectors are fetched for those members of a bucket alone that have a pair there whose upper bound reaches the
-threshold; these pairs are recomputed exactly, in double precision, and only what the exact cosine confirms is a link.
+threshold. Their codes come with them and bound each pair once more, so only pairs whose upper bound reaches the threshold
+are recomputed exactly, in double precision, and only what the exact cosine confirms is a link.
 
 Pairs to look at share one of several bands of sign bits (as many rotations as the bands need). The bits
 of a band grow with the logarithm of the number of vectors, so chance meetings in a bucket do not; the
@@ -24,7 +25,7 @@ empty table; other columns are not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,8 +137,8 @@ def _groups(frame: pd.DataFrame) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]).any(axis=1)])
 
 
-def likely(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """The rows of whole groups, by their codes, that have a pair whose upper bound reaches the threshold."""
+def bounded(frame: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Upper bounds of the cosines of pairs of rows of one dimension, by their codes."""
     dim = int(frame["dim"].iloc[0])
     signs = np.unpackbits(np.stack([np.frombuffer(v, dtype=np.uint8) for v in frame["signs"]]), axis=1)[:, :dim]
     signs = np.where(signs > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dim))
@@ -146,24 +147,33 @@ def likely(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     # The steps' own error is half a step in each of dim places, each weighing 1 / sqrt(dim).
     own = WIDTH * np.sqrt(np.maximum(0.0, 1.0 - factor**2) / factor**2 / max(1, dim - 1)) + 1e-4
     rounding = 0.5 * step * math.sqrt(dim)
-    new, hit = _groups(frame), np.zeros(len(frame), dtype=bool)
+    return lambda i, j: (np.einsum("ij,ij->i", signs[i], turned[j]) + rounding[j]) / factor[i] + own[i]
+
+
+def likely(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows of whole groups, by their codes, that have a pair whose upper bound reaches the threshold."""
+    new, hit, bound = _groups(frame), np.zeros(len(frame), dtype=bool), bounded(frame)
     for i, j in _pairs(frame, new, np.r_[new[1:], len(frame)]):
-        bound = (np.einsum("ij,ij->i", signs[i], turned[j]) + rounding[j]) / factor[i] + own[i]
-        hit[i[bound >= threshold]] = True
-        hit[j[bound >= threshold]] = True
+        near = bound(i, j) >= threshold
+        hit[i[near]] = True
+        hit[j[near]] = True
     return frame.loc[hit, [*_GROUP, "block", "id"]]
 
 
 def linked(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """id, links and root of the rows of whole groups that link with a row of their group."""
+    """id, links, root and recomputed (pairs, at the first of their rows) of the rows of whole groups that link with a row of
+    their group or have such a pair."""
     nodes, times, band = frame["id"].to_numpy(), frame["times"].to_numpy(), frame["band"].to_numpy()
     new = _groups(frame)
     x = np.stack([np.frombuffer(v, dtype="<f8") for v in frame["vec"]])
     keys = np.stack([np.frombuffer(v, dtype="<u8") for v in frame["keys"]])
     norm = np.sqrt((x * x).sum(axis=1))
-    links, label = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
-    before = np.arange(keys.shape[1])
+    links, label, recomputed = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame)), np.zeros(len(frame), dtype=np.int64)
+    before, bound = np.arange(keys.shape[1]), bounded(frame)
     for i, j in _pairs(frame, new, np.r_[new[1:], len(frame)]):
+        near = bound(i, j) >= threshold
+        i, j = i[near], j[near]
+        np.add.at(recomputed, i, 1)
         cosine = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j])
         i, j = i[cosine >= threshold], j[cosine >= threshold]
         first = ~((keys[i] == keys[j]) & (before < band[i][:, None])).any(axis=1)
@@ -176,8 +186,8 @@ def linked(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 break
             np.minimum.at(label, i, low)
             np.minimum.at(label, j, low)
-    found = np.flatnonzero(links)
-    return pd.DataFrame({"id": nodes[found], "links": links[found], "root": nodes[label[found]]})
+    found = np.flatnonzero(links + recomputed)
+    return pd.DataFrame({"id": nodes[found], "links": links[found], "root": nodes[label[found]], "recomputed": recomputed[found]})
 
 
 def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -205,7 +215,7 @@ def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 def link_counts(held: DataFrame, number: int, threshold: float) -> DataFrame:
-    """id, links and root by group, from distinct vectors (id, times, dim, vec, keys and code)."""
+    """id, links, root and recomputed by group, from distinct vectors (id, times, dim, vec, keys and code)."""
     key = lambda b: F.conv(F.hex(F.substring(F.col("keys"), b * 8 + 1, F.lit(8))), 16, -10).cast("long")
     each = F.transform(F.sequence(F.lit(0), F.lit(max(0, number - 1))), lambda b: F.struct(b.alias("band"), key(b).alias("key")))
     keyed = held.select("id", "dim", F.explode(each).alias("k")).select("id", "dim", "k.band", "k.key")
@@ -214,9 +224,10 @@ def link_counts(held: DataFrame, number: int, threshold: float) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("id", "dim", "band", "key", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    codes = placed.join(held.select("id", "signs", "factor", "steps", "step"), "id")
+    code = ["signs", "factor", "steps", "step"]
+    codes = placed.join(held.select("id", *code), "id")
     some = checkpointed(by_group(codes, lambda frame: likely(frame, threshold), _MEMBER))
-    return by_group(some.join(held.select("id", "times", "vec", "keys"), "id"), lambda frame: linked(frame, threshold), "id long, links long, root long")
+    return by_group(some.join(held.select("id", "times", "vec", "keys", *code), "id"), lambda frame: linked(frame, threshold), "id long, links long, root long, recomputed long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -246,7 +257,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL)) = 0 THEN CAST(embedding AS DOUBLE[]) END e FROM embeddings),
  valid AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
  links AS (SELECT a.vec_id a, b.vec_id b FROM valid a JOIN valid b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= {THRESHOLD}),
  reach AS (SELECT vec_id, vec_id r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
