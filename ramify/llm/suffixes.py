@@ -33,6 +33,8 @@ from .common import checkpointed, lean, released, stored, table
 LENGTH, GRAM, LIMIT = 200, 64, 512
 SPAN = LENGTH - GRAM + 1
 _BATCH, _SHARD, _LANES = 1 << 19, 1 << 20, 4096
+#: Bits of a place among the texts of a batch; Spark's longest text has 2^31 bytes.
+_PLACE = 32
 _NONE = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.dtype([("hi", "<u8"), ("lo", "<u8")])
@@ -80,8 +82,9 @@ def anchored(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
 def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     hashes = grams(words_at(np.frombuffer(b"".join(texts), dtype=np.uint8)))
     n = len(hashes)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    # The hash's top bits and the place from the right: of equal strings the last one counts.
+    bits = np.uint64(_PLACE)
+    # The hash's top bits and the place from the right: of equal strings, and of strings equal in these bits, the last one
+    # counts. As many bits in every batch, so equal windows have equal anchors in any two.
     low = (hashes >> bits << bits) | (np.uint64(n) - np.arange(n, dtype=np.uint64))
     width = 1
     while width * 2 <= SPAN:
