@@ -8,7 +8,8 @@ quota covers it whole, and of the rest the blocks that come first by a seeded ha
 but where a block's edge runs through it. No row is taken more than `repeats` times.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own and
-comes last; rows that share a doc_id stay separate rows; rows without one are dealt by their row's key; an empty table
+comes last; rows that share a doc_id stay separate rows, dealt by the digest of their content too where there is one (rows
+equal in id and content are dealt to one shard); rows without an id are dealt by their row's key; an empty table
 gives an empty table; columns beside those named are carried along where asked for and never looked at, whatever their
 names.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from .common import checkpointed, lean, packed, stored, table, unpacked, word_co
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of a block.
 BLOCK = 1024
+#: Up to so many sources their list is broadcast (a row of some 100 bytes each); more are joined by shuffles.
+SOURCES = 50_000
 #: A source has a shard for every 256 to 512 of its rows, but no more than SHARDS; a shard is a unit of work.
 ROWS_PER_SHARD, SHARDS = 512, 1 << 16
 
@@ -134,25 +138,34 @@ def chosen(sizes: np.ndarray, quota: int, name: str, block: int) -> np.ndarray:
     return rounds * sizes + given(ends) - given(ends - sizes)
 
 
-def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, block: int = BLOCK) -> DataFrame:
-    """row, doc_id, size, source_size, target and taken of sized (row, doc_id, source, size); row: a key of each row.
-
-    sized is gone through several times, so it should be a table, not a plan that makes keys anew.
-    """
+def dealt(sized: DataFrame, seed: int = 0) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows of sized with their source's key, shard and turn in it, and the hint for tables with a row for each source."""
     hex_ = lambda c, a, n: F.conv(F.substring(c, a, n), 16, 10).cast("long")
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
     key: Column = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("size").cast("string")))
+    content = ["content"] if "content" in sized.columns else []
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("size").cast("string"), *content))
     rows = sized.select("row", "doc_id", "size", key.alias("key"), digest.alias("digest"))
     counts = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     bits = F.length(F.regexp_replace(F.bin(F.floor(F.col("n") / ROWS_PER_SHARD)), "^0$", ""))
     # One row per source.
-    shards = F.broadcast(counts.select("key", F.least(F.lit(SHARDS), F.pow(F.lit(2), bits)).cast("long").alias("shards")))
-    rows = rows.join(shards, "key").select("row", "doc_id", "size", "key", hex_(F.col("digest"), 1, 15).alias("turn"), (hex_(F.col("digest"), 16, 8) % F.col("shards")).alias("shard"))
+    few = F.broadcast if counts.count() <= SOURCES else lambda df: df
+    shards = few(counts.select("key", F.least(F.lit(SHARDS), F.pow(F.lit(2), bits)).cast("long").alias("shards")))
+    shard = (hex_(F.col("digest"), 16, 8) % F.col("shards")).alias("shard")
+    return rows.join(shards, "key").select("row", "doc_id", "size", "key", hex_(F.col("digest"), 1, 15).alias("turn"), shard), few
+
+
+def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, block: int = BLOCK) -> DataFrame:
+    """row, doc_id, size, source_size, target and taken of sized (row, doc_id, source, size, and content, if there is one);
+    row: a key of each row; content: a digest of its text.
+
+    sized is gone through several times, so it should be a table, not a plan that makes keys anew.
+    """
+    rows, few = dealt(sized, seed)
     sums = checkpointed(rows.groupBy("key", "shard").agg(F.sum("size").alias("shard_size")))
     sources = sums.groupBy("key").agg(F.sum("shard_size").alias("source_size"))
     sources = sources.groupBy(F.lit("all").alias("all")).applyInPandas(lambda pdf: plan_sources(pdf, weights, repeats, block), "key string, source_size long, target double, seats long")
-    quotas = sums.join(F.broadcast(sources), "key").groupBy("key").applyInPandas(
+    quotas = sums.join(few(sources), "key").groupBy("key").applyInPandas(
         lambda pdf: plan_shards(pdf, repeats, block), "key string, shard long, shard_size long, source_size long, target double, quota long"
     )
     quotas = checkpointed(quotas.drop("shard_size"))
@@ -167,6 +180,10 @@ def mix(sized: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, r
     return rows.join(quotas, ["key", "shard"]).groupBy("key", "shard").applyInArrow(shard, f"row long, doc_id {doc}, size long, source_size long, target double, taken long")
 
 
+def _content(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit(""))).alias("content")
+
+
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, the last time cut to the words left.
 
@@ -174,9 +191,9 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     lean(docs.sparkSession)
     # Rows are stored with their keys, as keys made again could be others.
-    rows = packed(docs).select("row", F.monotonically_increasing_id().alias("key"), word_count(F.col("row.text")).alias("size"))
+    rows = packed(docs).select("row", F.monotonically_increasing_id().alias("key"), word_count(F.col("row.text")).alias("size"), _content(F.col("row.text")))
     rows = stored(rows)
-    taken = mix(rows.select(F.col("key").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size"), seed)
+    taken = mix(rows.select(F.col("key").alias("row"), F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size", "content"), seed)
     taken = taken.filter("taken > 0").select(F.col("row").alias("its"), "taken")
     both = rows.join(taken, F.col("key") == F.col("its"))
     whole, rest = F.expr("taken div size"), F.expr("taken % size")
@@ -189,7 +206,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's part in the mix of all documents."""
     lean(spark)
-    sized = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), _content(F.col("text")))
     return mix(checkpointed(sized)).drop("row")
 
 
@@ -200,8 +217,8 @@ def _seats(source: str, votes: str, cap: str, seats: str, by: str, tie: str) ->
 
 
 _SQL = f"""WITH RECURSIVE sized AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
-  CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) size FROM documents),
- counted AS (SELECT *, md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))) digest, count(*) OVER (PARTITION BY key) n FROM sized),
+  CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) size, md5(coalesce(text, '')) content FROM documents),
+ counted AS (SELECT *, md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR), content)) digest, count(*) OVER (PARTITION BY key) n FROM sized),
  dealt AS (SELECT *, CAST('0x' || substr(digest, 1, 15) AS BIGINT) turn, CAST('0x' || substr(digest, 16, 8) AS BIGINT)
   % CAST(least({SHARDS}, CASE WHEN n < {ROWS_PER_SHARD} THEN 1 ELSE pow(2, length(bin(n // {ROWS_PER_SHARD}))) END) AS BIGINT) shard FROM counted),
  src AS (SELECT key, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY key) - 1 i FROM dealt GROUP BY key),

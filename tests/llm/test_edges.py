@@ -1,5 +1,7 @@
 """Nulls, empty tables, repeated rows and clashing columns, for every operator."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,23 @@ def test_mixing_deals_rows_without_an_id(spark):
     assert mixing.mix(sized.limit(0)).count() == 0
 
 
+def test_mixing_spreads_rows_of_one_id_by_their_content(spark):
+    sized = spark.createDataFrame([(i, 7, "s", 10, f"{i:032x}") for i in range(4000)], "row long, doc_id long, source string, size long, content string")
+    shards = Counter(r["shard"] for r in mixing.dealt(sized)[0].collect())
+    assert len(shards) == 8 and max(shards.values()) < 700
+    assert sum(r["taken"] for r in mixing.mix(sized).collect()) == 40_000
+    assert len({r["shard"] for r in mixing.dealt(sized.drop("content"))[0].collect()}) == 1
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    sized = spark.createDataFrame([(i, i, f"s{i % 50}", i % 40) for i in range(2000)], "row long, doc_id long, source string, size long")
+    want = sorted(mixing.mix(sized).collect())
+    assert mixing.dealt(sized)[0]._jdf.queryExecution().toString().count("broadcast") > 0
+    monkeypatch.setattr(mixing, "SOURCES", 10)
+    assert "strategy=broadcast" not in mixing.dealt(sized)[0]._jdf.queryExecution().toString()
+    assert sorted(mixing.mix(sized).collect()) == want
+
+
 def test_toxicity_learns_from_few_rows(spark):
     rows = [(i, f"common words {'vile' if i % 2 else 'kind'} here {i}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -212,6 +212,20 @@ def test_codes_bound_the_cosine():
     assert sorted(embeddings.likely(coded_frame(x)[1], 0.95)["id"]) == [0, 1]
 
 
+def test_only_pairs_whose_bound_reaches_are_recomputed():
+    rng = np.random.RandomState(16)
+    x = rng.standard_normal((40, 256))
+    x = np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)])
+    unit, frame = coded_frame(x)
+    assert len(embeddings.likely(frame, 0.95)) == 80, "every vector has a partner"
+    frame = frame.assign(vec=[v.astype("<f8").tobytes() for v in x], keys=[np.zeros(1, dtype="<u8").tobytes()] * 80, times=1)
+    got = embeddings.linked(frame, 0.95)
+    assert len(got) == 80 and (got["links"] == 1).all() and (got["root"] == got["id"] % 40).all()
+    bound = embeddings.bounded(frame)
+    i, j = np.triu_indices(80, 1)
+    assert got["recomputed"].sum() == (bound(i, j) >= 0.95).sum() < 80, "of 3,160 pairs"
+
+
 def test_rotated_codes_are_unbiased():
     rng = np.random.RandomState(5)
     x, y = rng.standard_normal((2, 4000, 64))
@@ -338,6 +352,20 @@ def test_kasai_and_refinement(enough):
         assert got[k] == min(n, suffixes.LENGTH)
 
 
+def test_anchors_do_not_depend_on_the_batch(monkeypatch):
+    rng = random.Random(12)
+    text = bytes(rng.choice(b"abcdef") for _ in range(1000))
+    others = [bytes(rng.choice(b"abcdef") for _ in range(n)) for n in (300, 70_000)]
+    grams = suffixes.grams
+    # Hashes that many strings have in common, in their top bits at least.
+    for hashed in (grams, lambda eight: grams(eight) >> np.uint64(40), lambda eight: grams(eight) & np.uint64(0xFFFFFFFFFFFF0000)):
+        monkeypatch.setattr(suffixes, "grams", hashed)
+        alone = suffixes.anchored([text])[0]
+        for texts in ([others[0], text], [text, others[1]], [others[1], text, others[0]]):
+            own = suffixes.anchored(texts)[texts.index(text)]
+            assert all((a == b).all() for a, b in zip(alone, own))
+
+
 def test_periodic_texts_have_few_runs(spark):
     own = lambda i: "".join(random.Random(i).choice("abcdefgh") for _ in range(400))
     texts = {0: "a" * 5000, 1: "a" * 150, 2: "ab" * 90, 3: own(1) + "xy" * 400, 4: own(2) + "q" * 210, 5: own(3), 6: own(3)[:300] + own(4)}
