@@ -1,6 +1,7 @@
-"""Sparse volumes as bricks of 4 x 4 x 4 voxels: 64 bits each, in the order of a Morton code, in files by network and cell.
+"""Sparse volumes as bricks of 4 x 4 x 4 voxels: 64 bits each, in the order of a Morton code, in files by cell.
 
 A cell is a cube of SIDE voxels and a folder of the table, so a box is read from the folders of the cells that it touches.
+Folders and files are as many as cells and tasks, whatever the number of networks; in a file networks are in order.
 Bit (z mod 4) + 4 (x mod 4) + 16 (y mod 4) of a brick is a voxel.
 """
 
@@ -73,15 +74,16 @@ def _levels(side: int) -> int:
 
 
 def write_bricks(found: DataFrame, path: str, side: int = SIDE, mode: str = "overwrite") -> None:
-    """Bricks as Parquet, in a folder for each network and cell, in each file by code."""
+    """Bricks as Parquet, in a folder for each cell, in each file by network and code. A task takes a range of these."""
     cell = F.call_function("shiftright", F.col("brick"), F.lit(3 * _levels(side)))
-    rows = found.withColumn("cell", cell).repartition("network_id", "cell").sortWithinPartitions("network_id", "cell", "brick")
-    rows.write.mode(mode).partitionBy("network_id", "cell").parquet(path)
+    rows = found.withColumn("cell", cell).repartitionByRange("cell", "network_id", "brick").sortWithinPartitions("cell", "network_id", "brick")
+    rows.write.mode(mode).partitionBy("cell").parquet(path)
 
 
 def read_box(spark: SparkSession, path: str, low: tuple[int, int, int], high: tuple[int, int, int], side: int = SIDE, networks: list[int] | None = None) -> DataFrame:
-    """Bricks of the written table that a box (low and high included) touches; only files of its cells are read."""
-    rows = spark.read.schema("brick long, bits long, network_id long, cell long").parquet(path)
+    """Bricks of the written table that a box (low and high included) touches; only files of its cells are read,
+    and of these, where networks are named, the row groups that can hold them."""
+    rows = spark.read.schema("network_id long, brick long, bits long, cell long").parquet(path)
     if networks is not None:
         rows = rows.filter(F.col("network_id").isin(networks))
     spans = [range(a // side, b // side + 1) for a, b in zip(low, high)]
