@@ -5,10 +5,13 @@ write_stacks. A task streams its stacks into a folder of its own, blank pages be
 all tasks have ended the driver moves the files to their names; where one failed nothing is left. Options: tissue
 (sizes along x, y, z), bigtiff (true for stacks beyond 4 GB).
 
-Reading gives (volume_id, z, y, x, value): a file's name, its page, row, column and number. The driver walks each file's
-chain of page directories, and a task reads a range of pages, so a file of many pages is many tasks' work. Pages may be in
+Reading gives (volume_id, z, y, x, value): a file's name, its page, row, column and number. The driver walks a file's
+chain of page directories, and a task reads a range of pages, so a file of many pages is many tasks' work. Of more than FEW
+files only those beyond GROUP bytes are walked so; the others are dealt to tasks whole, many to a task, and their chains are
+the tasks' work. Pages may be in
 either byte order, BigTIFF, in strips or tiles, raw, deflated or PackBits, of whole or floating numbers, one sample a pixel.
-Options: pages (of a task).
+Options: pages (of a task), only (a number: places that hold it), limits (true: a row for each page with its least and largest number, NaN
+where it holds one: volume_id, lo, hi).
 """
 
 from __future__ import annotations
@@ -32,7 +35,10 @@ TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325,
 #: Letters and sizes of the types of tag values.
 KINDS = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 5: ("Q", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
 SCHEMA = "volume_id string, z int, y int, x int, value double"
+LIMITS = "volume_id string, lo double, hi double"
 PAGES = 16
+#: Files up to which all are read by ranges of pages; bytes of whole files that a task takes where there are more.
+FEW, GROUP = 64, 32 << 20
 
 
 def opened(path: str):
@@ -147,13 +153,16 @@ class StackWriter(DataSourceArrowWriter):
         fs.delete_dir(own)
 
 
-def stacks_in(path: str) -> list[str]:
-    """Names of the stacks in a folder (nothing in its folders counts)."""
+def stacks_in(path: str) -> dict[str, int]:
+    """Names of the stacks in a folder (nothing in its folders counts), in order, and their sizes; of a file, itself."""
     from pyarrow import fs as kinds
 
     fs, root = opened(path)
+    own = fs.get_file_info(root)
+    if own.is_file:
+        return {own.base_name: own.size}
     found = fs.get_file_info(kinds.FileSelector(root, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.is_file and f.base_name.lower().endswith((".tif", ".tiff")))
+    return dict(sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.lower().endswith((".tif", ".tiff"))))
 
 
 # --- reading
@@ -264,35 +273,82 @@ class PageRange(InputPartition):
     places: tuple[int, ...]
 
 
+@dataclass
+class Files(InputPartition):
+    """Whole files of a folder."""
+
+    root: str
+    names: tuple[str, ...]
+
+
+def dealt(sizes: dict[str, int]) -> tuple[list[tuple[str, ...]], list[str]]:
+    """Groups of files that are read whole, and the files that are read by ranges of pages."""
+    if len(sizes) <= FEW:
+        return [], list(sizes)
+    small = {n: size for n, size in sizes.items() if size <= GROUP}
+    most = min(GROUP, sum(small.values()) // FEW + 1)
+    groups, own, total = [], [], 0
+    for name, size in small.items():
+        if own and total + size > most:
+            groups.append(tuple(own))
+            own, total = [], 0
+        own.append(name)
+        total += size
+    return groups + ([tuple(own)] if own else []), [n for n in sizes if n not in small]
+
+
 class StackReader(DataSourceReader):
-    def __init__(self, path: str, pages: int):
-        self.path, self.pages = path, pages
+    def __init__(self, path: str, pages: int, only: float | None = None, limits: bool = False):
+        self.path, self.pages, self.only, self.limits = path, pages, only, limits
 
-    def partitions(self) -> list[PageRange]:
+    def partitions(self) -> list[InputPartition]:
         fs, root = opened(self.path)
-        folder = not fs.get_file_info(root).is_file
-        out = []
-        for path in [f"{root}/{n}" for n in stacks_in(self.path)] if folder else [root]:
+        if fs.get_file_info(root).is_file:
+            groups, walked = [], [root]
+        else:
+            groups, walked = dealt(stacks_in(self.path))
+            walked = [f"{root}/{n}" for n in walked]
+        out: list[InputPartition] = [Files(root, names) for names in groups]
+        for path in walked:
             with fs.open_input_file(path) as source:
                 places = list(Chain(source).places())
             out += [PageRange(path, path.rsplit("/", 1)[-1], k, tuple(places[k : k + self.pages])) for k in range(0, len(places), self.pages)]
         return out or [PageRange("", "", 0, ())]
 
+    def pages_of(self, partition: InputPartition) -> Iterator[tuple[str, int, np.ndarray]]:
+        """Names, numbers and pages of a partition."""
+        fs, _ = opened(self.path)
+        if isinstance(partition, Files):
+            for name in partition.names:
+                with fs.open_input_file(f"{partition.root}/{name}") as source:
+                    chain = Chain(source)
+                    for z, at in enumerate(chain.places()):
+                        yield name, z, chain.page(at)
+        elif partition.places:
+            with fs.open_input_file(partition.path) as source:
+                chain = Chain(source)
+                for z, at in enumerate(partition.places, partition.first):
+                    yield partition.name, z, chain.page(at)
+
     def read(self, partition: PageRange) -> Iterator:
         import pyarrow as pa
 
-        if not partition.places:
-            return
-        fs, _ = opened(self.path)
-        with fs.open_input_file(partition.path) as source:
-            chain = Chain(source)
-            for z, at in enumerate(partition.places, partition.first):
-                page = chain.page(at)
-                y, x = np.indices(page.shape, dtype=np.int32)
-                n = page.size
-                names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, dtype=np.int32)), pa.array([partition.name])).dictionary_decode()
-                columns = [names, np.full(n, z, dtype=np.int32), y.ravel(), x.ravel(), page.ravel().astype(np.float64)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["volume_id", "z", "y", "x", "value"])
+        for name, z, page in self.pages_of(partition):
+            value = page.astype(np.float64)
+            if self.limits:
+                if page.size:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([value.min()]), pa.array([value.max()])], names=["volume_id", "lo", "hi"])
+                continue
+            if self.only is None:
+                y, x = (at.ravel() for at in np.indices(page.shape, dtype=np.int32))
+                value = value.ravel()
+            else:
+                y, x = (at.astype(np.int32) for at in np.nonzero(value == self.only))
+                value = np.full(len(y), self.only)
+            n = len(value)
+            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, dtype=np.int32)), pa.array([name])).dictionary_decode()
+            columns = [names, *map(pa.array, (np.full(n, z, dtype=np.int32), y, x, value))]
+            yield pa.RecordBatch.from_arrays(columns, names=["volume_id", "z", "y", "x", "value"])
 
 
 class StackSource(DataSource):
@@ -301,10 +357,14 @@ class StackSource(DataSource):
         return "tiff_stack"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LIMITS if self._limits() else SCHEMA
+
+    def _limits(self) -> bool:
+        return self.options.get("limits", "false").lower() == "true"
 
     def reader(self, schema) -> StackReader:
-        return StackReader(self.options["path"], int(self.options.get("pages", PAGES)))
+        only = self.options.get("only")
+        return StackReader(self.options["path"], int(self.options.get("pages", PAGES)), None if only is None else float(only), self._limits())
 
     def writer(self, schema, overwrite: bool) -> StackWriter:
         missing = {"name", "z", "spots"} - set(schema.fieldNames())
@@ -328,7 +388,14 @@ def write_stacks(voxels: DataFrame, params: DataFrame, path: str, tissue: tuple[
     rows.write.format("tiff_stack").mode(mode).option("tissue", ",".join(map(str, tissue))).option("bigtiff", str(big).lower()).save(path)
 
 
-def read_stacks(spark: SparkSession, path: str, pages: int = PAGES) -> DataFrame:
-    """volume_id, z, y, x and value of the stacks in a folder, or of one, as they are stored."""
+def read_stacks(spark: SparkSession, path: str, pages: int = PAGES, only: float | None = None) -> DataFrame:
+    """volume_id, z, y, x and value of the stacks in a folder, or of one, as they are stored; only: of places with this value."""
+    spark.dataSource.register(StackSource)
+    rows = spark.read.format("tiff_stack").option("pages", str(pages))
+    return (rows if only is None else rows.option("only", repr(float(only)))).load(path)
+
+
+def read_limits(spark: SparkSession, path: str, pages: int = PAGES) -> DataFrame:
+    """volume_id, lo and hi of every page of the stacks in a folder, or of one."""
     spark.dataSource.register(StackSource)
-    return spark.read.format("tiff_stack").option("pages", str(pages)).load(path)
+    return spark.read.format("tiff_stack").option("pages", str(pages)).option("limits", "true").load(path)
