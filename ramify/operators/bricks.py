@@ -12,11 +12,13 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .voxel import set_bits
+from .voxel import bit_rows
 
 SIDE = 64
 #: Cells of a box that are named one by one; of larger ones the range of their codes is read.
 CELLS = 4096
+#: Parts of a cell's networks that tasks write, as a file each at most.
+PARTS = 64
 #: Steps and masks that put two empty places behind each of 21 bits.
 _SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
@@ -51,18 +53,20 @@ def _together(c: Column) -> Column:
 
 def bricks(lines: DataFrame) -> DataFrame:
     """network_id, brick (code) and bits of lines along z (network_id, x, y, word, bits), as voxel.lines gives them."""
-    part = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(k.alias("k"), F.call_function("shiftrightunsigned", F.col("bits"), k * 4).bitwiseAND(F.lit(15)).alias("four")))
-    fours = lines.select("network_id", "x", "y", "word", F.explode(F.filter(part, lambda p: p["four"] != 0)).alias("p"))
+    # Rows, not lambdas: these are generated code.
+    part = F.call_function("shiftrightunsigned", F.col("bits"), F.col("k") * 4).bitwiseAND(F.lit(15))
+    fours = lines.select("network_id", "x", "y", "word", "bits", F.explode(F.array(*[F.lit(k) for k in range(16)])).alias("k"))
+    fours = fours.withColumn("four", part).filter("four != 0")
     four = lambda c: F.floor(c / 4)
-    code = morton(four(F.col("x")), four(F.col("y")), F.col("word") * 16 + F.col("p.k"))
-    bits = F.call_function("shiftleft", F.col("p.four"), (F.pmod("x", F.lit(4)) * 4 + F.pmod("y", F.lit(4)) * 16).cast("int"))
+    code = morton(four(F.col("x")), four(F.col("y")), F.col("word") * 16 + F.col("k"))
+    bits = F.call_function("shiftleft", F.col("four"), (F.pmod("x", F.lit(4)) * 4 + F.pmod("y", F.lit(4)) * 16).cast("int"))
     return fours.select("network_id", code.alias("brick"), bits.alias("bits")).groupBy("network_id", "brick").agg(F.bit_or("bits").alias("bits"))
 
 
 def voxels(found: DataFrame) -> DataFrame:
     """network_id, x, y, z of bricks."""
     low = {"x": _together(F.col("brick")), "y": _together(F.call_function("shiftright", F.col("brick"), F.lit(1))), "z": _together(F.call_function("shiftright", F.col("brick"), F.lit(2)))}
-    rows = found.select("network_id", *[(v * 4).alias(c) for c, v in low.items()], F.explode(set_bits(F.col("bits"))).alias("k"))
+    rows = bit_rows(found.select("network_id", *[(v * 4).alias(c) for c, v in low.items()], "bits"))
     k = F.col("k")
     return rows.select("network_id", (F.col("x") + F.floor(k / 4) % 4).alias("x"), (F.col("y") + F.floor(k / 16)).alias("y"), (F.col("z") + k % 4).alias("z"))
 
@@ -74,9 +78,11 @@ def _levels(side: int) -> int:
 
 
 def write_bricks(found: DataFrame, path: str, side: int = SIDE, mode: str = "overwrite") -> None:
-    """Bricks as Parquet, in a folder for each cell, in each file by network and code. A task takes a range of these."""
+    """Bricks as Parquet, in a folder for each cell, in each file by network and code. They are dealt by cell and part of the
+    networks: for ranges Spark would make all bricks once more, to find the limits."""
     cell = F.call_function("shiftright", F.col("brick"), F.lit(3 * _levels(side)))
-    rows = found.withColumn("cell", cell).repartitionByRange("cell", "network_id", "brick").sortWithinPartitions("cell", "network_id", "brick")
+    part = F.pmod(F.xxhash64("network_id"), F.lit(PARTS))
+    rows = found.withColumn("cell", cell).repartition("cell", part).sortWithinPartitions("cell", "network_id", "brick")
     rows.write.mode(mode).partitionBy("cell").parquet(path)
 
 
