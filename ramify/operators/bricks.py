@@ -1,7 +1,7 @@
 """Sparse volumes as bricks of 4 x 4 x 4 voxels: 64 bits each, in the order of a Morton code, in files by cell.
 
 A cell is a cube of SIDE voxels and a folder of the table, so a box is read from the folders of the cells that it touches.
-Folders and files are as many as cells and tasks, whatever the number of networks; in a file networks are in order.
+Folders are as many as cells and files at most PARTS a folder, whatever the number of networks; in a file networks are in order.
 Bit (z mod 4) + 4 (x mod 4) + 16 (y mod 4) of a brick is a voxel.
 """
 
